@@ -81,10 +81,9 @@ def envelope_ring(latitude: Column, longitude: Column, radius_km: float = ENVELO
 
 
 def rounded_ring(ring: Column, digits: int = 5) -> Column:
-    return F.transform(ring, lambda p: F.struct(
-        exact_round(p["latitude"], digits).alias("latitude"),
-        exact_round(p["longitude"], digits).alias("longitude"),
-    ))
+    return F.transform(ring, lambda p: F.named_struct(
+        F.lit("latitude"), exact_round(p["latitude"], digits),
+        F.lit("longitude"), exact_round(p["longitude"], digits)))
 
 
 def geojson_polygon(ring: Column) -> Column:
@@ -203,7 +202,11 @@ class SpaceTimeGrid:
         row = _floor((latitude + 90.0) / self.block_deg)
         count = self._block_columns(row)
         column = F.pmod(_floor((longitude + 180.0) / 360.0 * count), count)
-        return F.struct(row.alias("row"), column.alias("column"))
+        return self._block_key(row, column)
+
+    @staticmethod
+    def _block_key(row: Column, column: Column) -> Column:
+        return F.shiftleft(row, 32).bitwiseOR(column)
 
     def reachable_blocks(self, prefix: str = "") -> Column:
         """Array of every block that may hold a slot corner within reach of this slot's box."""
@@ -225,6 +228,6 @@ class SpaceTimeGrid:
                 F.least(_floor((lon_max + pad + 180.0) / 360.0 * count), west + count - 1))
             return F.transform(
                 F.sequence(west, east),
-                lambda c: F.struct(row.alias("row"), F.pmod(c, count).alias("column")))
+                lambda c: self._block_key(row, F.pmod(c, count)))
 
         return F.flatten(F.transform(F.sequence(first, last), in_row))
