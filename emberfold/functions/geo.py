@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberfold.functions.numeric import exact_round
+from emberfold.functions.numeric import exact_round, plain_number_text
 from emberfold.settings import (
     CLUSTER_RADIUS_KM, CLUSTER_WINDOW_HOURS, EARTH_RADIUS_KM, ENVELOPE_BUFFER_KM, ENVELOPE_MIN_COS,
     ENVELOPE_STEPS, KM_PER_DEGREE,
@@ -88,12 +88,15 @@ def rounded_ring(ring: Column, digits: int = 5) -> Column:
 
 def geojson_polygon(ring: Column) -> Column:
     """Compact GeoJSON Polygon text, closed, [longitude, latitude] order."""
-    pairs = F.transform(ring, lambda p: F.array(p["longitude"], p["latitude"]))
+    pairs = F.transform(ring, lambda p: F.concat(
+        F.lit("["), plain_number_text(p["longitude"]), F.lit(","),
+        plain_number_text(p["latitude"]), F.lit("]")))
     closed = F.when(
         (F.size(pairs) > 0) & (F.element_at(pairs, 1) != F.element_at(pairs, -1)),
         F.concat(pairs, F.slice(pairs, 1, 1)),
     ).otherwise(pairs)
-    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates")))
+    return F.concat(
+        F.lit('{"type":"Polygon","coordinates":[['), F.array_join(closed, ","), F.lit("]]}"))
 
 
 def _floor(value: Column) -> Column:
