@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def detections(events: DataFrame) -> DataFrame:
+def detections(events: DataFrame, *extra: str) -> DataFrame:
     """Each user is a hot spot and each event one detection near it."""
     return events.selectExpr(
+        *extra,
         "event_id",
         "round(36.0e0 + (user_id * 37 % 790) / 100.0e0 + ((event_id * 7919) % 41 - 20) / 1000.0e0, 5)"
         " AS latitude",

@@ -63,11 +63,11 @@ def check_bytes(spark: SparkSession, paths: str | list[str], max_bytes: int) ->
     return total
 
 
-def missing_columns(df: DataFrame) -> DataFrame:
-    """(column, present) for every required column, from the schema alone."""
-    spark = df.sparkSession
-    return spark.createDataFrame(
-        [(c, c in df.columns) for c in DETECTION_COLUMNS], "column string, present boolean")
+def column_presence(df: DataFrame) -> DataFrame:
+    """(column, present_values) of every required column, in one pass; a missing column fails first."""
+    require_columns(df)
+    counts = df.agg(*[F.count(c).alias(c) for c in DETECTION_COLUMNS])
+    return counts.unpivot([], DETECTION_COLUMNS, "column", "present_values")
 
 
 def select_area(
