@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,42 +27,35 @@ def nearest_unit(value: Column, digits: int, half_up: bool = False) -> Column:
     """`value * 10**digits` rounded to the nearest whole number, as BIGINT.
 
     The exact binary value decides and ties go to even, so 2.675 gives 267 and 0.125 gives 12 for
-    two digits (`half_up` sends ties up: 13). The error of the floating product is recovered exactly
-    by splitting both factors.
+    two digits (`half_up` sends ties up: 13). Splitting `value` into two halves recovers the error of
+    the floating product exactly. Kept short: long expressions compile to code the JVM will not
+    optimise.
     """
+    if not 0 <= digits <= 7:
+        raise ValueError("digits must be between 0 and 7")
     scale = float(10**digits)
-    split = 134217729.0  # 2**27 + 1
+    wide = value * 134217729.0  # 2**27 + 1
+    high = wide - (wide - value)
     product = value * scale
-    high = value * split - (value * split - value)
-    low = value - high
-    scale_high = scale * split - (scale * split - scale)
-    scale_low = scale - scale_high
-    error = (high * scale_high - product + high * scale_low + low * scale_high) + low * scale_low
+    error = (high * scale - product) + (value - high) * scale
     whole = F.floor(product)
-    excess = (product - whole - 0.5) + error
-    tie_up = F.lit(True) if half_up else F.pmod(whole, F.lit(2)) == 1
-    return whole + F.when((excess > 0) | ((excess == 0) & tie_up), 1).otherwise(0)
+    tie = F.lit(-5e-324) if half_up else F.when(whole % 2 != 0, F.lit(-5e-324)).otherwise(0.0)
+    return whole + F.when((product - whole - 0.5) + error > tie, 1).otherwise(0)
 
 
 def exact_round(value: Column, digits: int) -> Column:
     """Round half-even on the exact binary value; huge values have no fraction and pass through."""
-    small = F.abs(value) < 2.0**51 / 10**digits
+    small = F.abs(value) < 1e15 / 10**digits
     rounded = nearest_unit(F.when(small, value), digits).cast("double") / float(10**digits)
     return F.when(small, rounded).otherwise(value)
 
 
 def fixed_text(value: Column, digits: int, half_up: bool = False) -> Column:
-    """Fixed-point text with exactly `digits` decimals, for example 41.12345."""
-    scale = 10**digits
-    unit = nearest_unit(F.abs(value), digits, half_up)
+    """Fixed-point text with exactly `digits` decimals (at least one), for example 41.12345."""
+    unit = nearest_unit(F.abs(value), digits, half_up).cast("decimal(18,0)")
     minus = (value < 0) | ((value == 0) & value.cast("string").startswith("-"))
-    text = F.concat(
-        F.when(minus, "-").otherwise(""),
-        ((unit - unit % scale) / F.lit(scale)).cast("bigint").cast("string"),
-        F.lit("."),
-        F.lpad((unit % scale).cast("string"), digits, "0"),
-    )
-    return F.when(F.abs(value) < 2.0**51 / scale, text).otherwise(
+    text = (unit * F.lit(Decimal(1).scaleb(-digits))).cast("string")
+    return F.when(F.abs(value) < 1e15 / 10**digits, F.concat(F.when(minus, "-").otherwise(""), text)).otherwise(
         F.format_string(f"%.{digits}f", value))
 
 
@@ -95,17 +90,14 @@ def array_sum(values: Column) -> Column:
 def plain_number_text(value: Column) -> Column:
     """A DOUBLE as the shortest text that reads back to it: 20.0, 0.0005, 12345678.5, 1e-05, 1e+16."""
     raw = value.cast("string")
-    digits = F.rtrim(raw.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
-    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    mantissa = F.regexp_replace(F.split_part(raw, F.lit("E"), F.lit(1)), r"\.0$", "")
-    power = F.split_part(raw, F.lit("E"), F.lit(2))
-    power_text = F.concat(
-        F.when(power.startswith("-"), "e-").otherwise("e+"),
-        F.lpad(F.ltrim(power, F.lit("-")), 2, "0"),
-    )
+    # Spark switches to exponents earlier than this format; only those values are rewritten.
+    digits = F.regexp_replace(raw.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
+    plain = F.regexp_replace(digits, r"\.$", ".0")
+    power = F.regexp_replace(F.regexp_replace(raw, r"\.0E", "E"), r"E(\d)", "e+$1")
+    power = F.regexp_replace(F.replace(power, F.lit("E-"), F.lit("e-")), r"e([+-])(\d)$", "e$10$2")
     size = F.abs(value)
     return (
-        F.when(size == 0, raw)
+        F.when((size == 0) | size.between(1e-3, 9.999999e6), raw)
         .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(F.concat(mantissa, power_text))
+        .otherwise(power)
     )

@@ -116,7 +116,7 @@ def snapshot_rows(
     times = ["first_detected_at", "last_detected_at", "confidence", "trend", "severity"]
     tail = [F.lit(SOURCE_DATASET).alias("source_dataset"), moment.cast("date").alias("snapshot_date")]
     active = whole.select(
-        "cluster_id", *shared, F.array_sort("ids").alias("member_detection_ids"),
+        "cluster_id", *shared, F.sort_array("ids").alias("member_detection_ids"),
         F.col("distinct_members").alias("detection_count"), "total_frp_mw", "maximum_frp_mw", *times,
         F.lit("active").alias("status"), F.lit(None).cast("string").alias("merged_into_cluster_id"),
         *tail)

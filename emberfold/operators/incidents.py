@@ -86,13 +86,13 @@ def cluster_aggregates(members: DataFrame) -> DataFrame:
         *_digest_parts(),
     )
     return grouped.withColumn(
-        "members", F.when(F.size("members") > 0, F.array_sort("members")))
+        "members", F.when(F.size("members") > 0, F.sort_array("members")))
 
 
 def incident_id() -> Column:
     """Short hash of the member fingerprints; independent of row order, repeated rows count."""
     exact = F.array_join(
-        F.array_sort(F.transform("members", lambda m: m["fingerprint"])), "|")
+        F.sort_array(F.transform("members", lambda m: m["fingerprint"])), "|")
     merged = F.concat_ws("|", "detection_count", *[f"digest_{i}" for i in range(4)])
     return F.concat(
         F.lit("incident-"), F.substring(F.sha2(F.coalesce(exact, merged), 256), 1, 10))

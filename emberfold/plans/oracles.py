@@ -347,7 +347,8 @@ FROM events GROUP BY CAST(ts AS DATE)""",
         "p06_coordinates_label": det + "SELECT event_id, printf('%.4f', latitude) || ', ' || printf('%.4f', longitude) AS coordinates_label FROM det",
         "p07_detection_key": det + "SELECT event_id, concat_ws('-', CAST(latitude AS VARCHAR), CAST(longitude AS VARCHAR), acq_date, CAST(acq_time AS VARCHAR), satellite) AS detection_key FROM det",
         "p08_duration_label": spot + """SELECT user_id, acq_date, CASE WHEN duration_hours = 0 THEN 'Single observation' WHEN duration_hours < 1 THEN CAST(CAST(floor(duration_hours * 60 + 0.5) AS BIGINT) AS VARCHAR) || ' min'
-  ELSE printf('%.1f', floor(duration_hours * 10 + 0.5) / 10) || ' h' END AS duration_label FROM spot""",
+  WHEN duration_hours * 4 = floor(duration_hours * 4) AND duration_hours * 2 <> floor(duration_hours * 2) THEN printf('%.1f', duration_hours + 0.01) || ' h'
+  ELSE printf('%.1f', duration_hours) || ' h' END AS duration_label FROM spot""",
         "p09_trend_label": spot + "SELECT user_id, acq_date, CASE trend WHEN 'increasing' THEN 'Increasing' WHEN 'stable' THEN 'Stable' WHEN 'decreasing' THEN 'Decreasing' ELSE 'Unknown' END AS trend_label FROM spot",
         "p10_age_label": spot + """SELECT user_id, acq_date, CASE WHEN minutes < 60 THEN minutes || CASE WHEN minutes = 1 THEN ' minute ago' ELSE ' minutes ago' END
   ELSE hours || CASE WHEN hours = 1 THEN ' hour ago' ELSE ' hours ago' END END AS age_label

@@ -30,9 +30,17 @@ def build_session(app: str = "emberfold", master: str | None = None, **conf: str
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
-    """All times are UTC: date functions must not go through a local zone."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Apply the run-time settings results or speed depend on to any session.
+
+    All times are UTC: date functions must not go through a local zone. Generated methods above
+    8000 bytes are never compiled by HotSpot, so Spark must split such stages instead.
+    """
+    for key, value in (
+        ("spark.sql.session.timeZone", "UTC"),
+        ("spark.sql.codegen.hugeMethodLimit", "8000"),
+    ):
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 
