@@ -463,7 +463,8 @@ def _identities(spark, d):
     described, _ = written(I.describe(members, clusters.largest).drop("members", "first_member"), "described")
     facts = H.first_per_id(members)
     prior = facts.where(F.col("observed_at") < F.lit(MIDDLE)).select(
-        "detection_id", F.concat(F.lit("cluster-"), F.col("user_id").cast("string")).alias("prior_id"))
+        "detection_id", F.concat_ws(
+            "-", F.lit("cluster"), "user_id", F.floor(F.hour("observed_at") / 12)).alias("prior_id"))
     identities, merged = H.resolve_identities(facts, H.heads_of(described), prior)
     return described, facts, identities, merged, state["rows"]
 

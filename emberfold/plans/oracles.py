@@ -123,7 +123,7 @@ SELECT inc.*,
 FROM inc JOIN halves USING (component))"""
 
 _IDENTITY = _INC + """,
-prior AS (SELECT detection_id, 'cluster-' || user_id AS prior_id FROM members WHERE observed_at < TIMESTAMP '2024-01-16 00:00:00'),
+prior AS (SELECT detection_id, 'cluster-' || user_id || '-' || (hour(observed_at) // 12) AS prior_id FROM members WHERE observed_at < TIMESTAMP '2024-01-16 00:00:00'),
 held AS (
 SELECT component, prior_id, min(observed_at) AS seen_at FROM members JOIN prior USING (detection_id) GROUP BY ALL),
 owned AS (

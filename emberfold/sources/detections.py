@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberfold.operators.normalize import InvalidBatch, instant, require_columns, utc
+from emberfold.session import written
 from emberfold.settings import BOUNDS, DETECTION_COLUMNS, FUTURE_TOLERANCE_S
 
 
@@ -41,6 +42,8 @@ def read_with_quarantine(spark: SparkSession, paths: str | list[str]) -> tuple[D
     df = spark.read.csv(
         paths, header=True, schema=schema, enforceSchema=False, mode="PERMISSIVE",
         columnNameOfCorruptRecord="_malformed")
+    # Written once: both results then come from the same parse.
+    df, _ = written(df.select(*DETECTION_COLUMNS, "_malformed"), "parsed")
     good = df.where(F.col("_malformed").isNull()).select(*DETECTION_COLUMNS)
     return good, df.where(F.col("_malformed").isNotNull()).select(F.col("_malformed").alias("record"))
 
