@@ -185,6 +185,13 @@ class SpaceTimeGrid:
     def slot_bin(self, slot: Column) -> Column:
         return F.shiftright(slot, self.row_bits + self.column_bits)
 
+    def slot_tile(self, slot: Column, log2_cells: int = 5) -> Column:
+        """A square of cells around a slot, over all times: where connected slots tend to be."""
+        cell = self.slot_cell(slot)
+        row = F.shiftright(cell, self.column_bits + log2_cells)
+        column = F.shiftright(cell.bitwiseAND(F.lit((1 << self.column_bits) - 1)), log2_cells)
+        return F.shiftleft(row, 32).bitwiseOR(column)
+
     def sub_cell(self, latitude: Column, longitude: Column, level: int) -> tuple[Column, Column]:
         """Cell of the grid refined `level` times (each side cut in four), nested in the parent."""
         fine = float(4**level)

@@ -6,13 +6,19 @@ and Beyond" (2014).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from emberfold import settings
 from emberfold.operators.joins import join_lookup
 from emberfold.session import written
 
 MAX_ROUNDS = 60
+CHUNK_EDGES = 200_000
 
 
 def _keep(edges: DataFrame) -> tuple[DataFrame, dict]:
@@ -20,15 +26,50 @@ def _keep(edges: DataFrame) -> tuple[DataFrame, dict]:
     return written(edges, "edges", checksum)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def _stars(chunk: pd.DataFrame) -> pd.DataFrame:
+    """Edges (u, v) of a chunk replaced by one edge per node to the smallest node it reaches there."""
+    parent: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        while (above := parent.setdefault(node, node)) != node:
+            parent[node] = parent[above]
+            node = above
+        return node
+
+    for u, v in zip(chunk["u"].tolist(), chunk["v"].tolist()):
+        a, b = root(u), root(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    pairs = [(n, root(n)) for n in list(parent)]
+    return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["u", "v"], dtype="int64")
+
+
+def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= CHUNK_EDGES:
+            yield _stars(pd.concat(held))
+            held, size = [], 0
+    if held:
+        yield _stars(pd.concat(held))
+
+
+def connected_components(
+    edges: DataFrame, src: str = "src", dst: str = "dst", place: Column | None = None
+) -> DataFrame:
     """(node, component): every node that has an edge, with the smallest node id it can reach.
 
-    Each round writes the edge set, so a lost executor repeats one round at most. Rounds end when
-    the set stops changing, which an order-independent checksum taken during the write shows.
+    Each task first turns chunks of its edges into stars, which keeps connectivity; `place` groups
+    edges that are likely to meet, so most components close in this step. Each following round writes the edge set, so a lost executor
+    repeats one round at most. Rounds end when the set stops changing, which an order-independent
+    checksum taken during the write shows.
     """
-    pairs = edges.select(
-        F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
-    current, state = _keep(pairs)
+    if place is not None:
+        edges = edges.repartition(place)
+    pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v")
+    current, state = _keep(pairs.mapInPandas(_contract, pairs.schema).distinct())
     for _ in range(MAX_ROUNDS):
         if state["rows"] == 0:
             break
@@ -43,17 +84,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _with_low(edges: DataFrame, size: int) -> DataFrame:
+    """Add `m`, the smallest neighbour of each u. A window while one task can hold any node's edges,
+    otherwise a mergeable minimum and a join that splits hot nodes."""
+    if size <= settings.HOT_MIN_ROWS:
+        return edges.withColumn("m", F.min("v").over(W.partitionBy("u")))
+    return join_lookup(edges, edges.groupBy("u").agg(F.min("v").alias("m")), "u", size)
+
+
 def _round(edges: DataFrame, size: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = (
-        join_lookup(both, low, "u", 2 * size).where("v > u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-    )
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    return (
-        join_lookup(large, low, "u", size)
-        .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
-                F.col("m").alias("v"))
-        .distinct()
-    )
+    large = _with_low(both, 2 * size).where("v > u").select(
+        F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return _with_low(large, size).select(
+        F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+        F.col("m").alias("v")).distinct()

@@ -126,7 +126,7 @@ def find_clusters(
         F.count_if(~F.col("certain")).alias("open"))
     nodes = slots.select("node").distinct()
     links = pairs.where("certain").select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
-    labels = _label_nodes(nodes, connected_components(links), slot_state["rows"])
+    labels = _label_nodes(nodes, connected_components(links, place=grid.slot_tile(F.col("src"))), slot_state["rows"])
     if state["open"]:
         labels = _settle_open_pairs(detections, pairs, labels, grid, state)
     labelled = join_lookup(

@@ -174,9 +174,7 @@ def _history_rows(facts: DataFrame, at: datetime, frp=None) -> DataFrame:
 
 def _stored_facts(spark, d) -> str:
     root = new_path(spark, "history")
-    store.write_partitions(
-        _history_rows(_facts(spark, d), NOW), f"{root}/fire_detections", "observation_date",
-        ["cluster_id", "satellite"])
+    store.write_partitions(_history_rows(_facts(spark, d), NOW), root, "fire_detections")
     return root
 
 
@@ -451,8 +449,7 @@ def h04_prior_assignments(spark, d):
     root = new_path(spark, "history")
     facts = _facts(spark, d)
     earlier = facts.where(F.col("observed_at") < F.lit(MIDDLE))
-    store.write_partitions(
-        _history_rows(earlier, NOW), f"{root}/fire_detections", "observation_date", ["cluster_id"])
+    store.write_partitions(_history_rows(earlier, NOW), root, "fire_detections")
     past = store.read_history(spark, root, "fire_detections", date(2024, 1, 10), LAST_DAY)
     return H.prior_assignments(facts, past, facts.count())
 
@@ -614,9 +611,8 @@ def h17_schema_evolution(spark, d):
     root = new_path(spark, "history")
     rows = _history_rows(_facts(spark, d), NOW)
     old = F.col("observed_at") < F.lit(MIDDLE)
-    path = f"{root}/fire_detections"
-    store.write_partitions(rows.where(old).drop("quality_flags"), path, "observation_date", ["cluster_id"])
-    store.write_partitions(rows.where(~old), path, "observation_date", ["cluster_id"])
+    store.write_partitions(rows.where(old).drop("quality_flags"), root, "fire_detections")
+    store.write_partitions(rows.where(~old), root, "fire_detections")
     return _per_day(spark, root).agg(
         F.count(F.lit(1)).alias("detections"),
         F.count_if(F.col("quality_flags").isNull()).alias("without_flags"))
@@ -771,16 +767,19 @@ def t04_token_bucket(spark, d):
 def t04_token_bucket_stream(spark, d):
     from emberfold.streaming.token_bucket import rate_limit_stream
 
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = new_path(spark, "decisions")
-    (
-        rate_limit_stream(_requests(_event_stream(spark, d)), "client", "event_id")
-        .writeStream.format("parquet").option("path", path)
-        .option("checkpointLocation", new_path(spark, "offsets")).outputMode("append")
-        .trigger(availableNow=True).start().awaitTermination()
-    )
+    try:
+        (
+            rate_limit_stream(_requests(_event_stream(spark, d)), "client", "event_id")
+            .writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", new_path(spark, "offsets")).outputMode("append")
+            .trigger(availableNow=True).start().awaitTermination()
+        )
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.parquet(path).select("client", "event_id", "outcome", "retry_after")
 
 

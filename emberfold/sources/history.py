@@ -108,18 +108,22 @@ def upsert(spark: SparkSession, root: str, table: str, batch: DataFrame) -> None
         F.broadcast(days), partition, "left_semi").select(*columns)
     merged, _ = written(
         merge_rows(current, batch, spec["keys"] + [partition], spec["update"]), f"merged-{table}")
-    write_partitions(merged.select(*columns), _path(root, table), partition, spec["layout"])
+    write_partitions(merged.select(*columns), root, table)
 
 
-def write_partitions(df: DataFrame, path: str, partition: str, layout: list[str]) -> None:
-    """Replace the partitions present in `df`; rows of a partition are ranged and sorted by `layout`.
+def write_partitions(df: DataFrame, root: str, table: str) -> None:
+    """Replace the partitions present in `df`, ranged and sorted by the table's layout columns.
 
-    Range partitioning on (date, layout) splits a large date over many files whose statistics let a
-    read by cluster skip most of them.
+    Ranges over (date, layout) split a large date over many files whose statistics let a read by
+    cluster skip most of them. The row key comes last, so a cluster holding a large share of the
+    rows still spreads over many tasks.
     """
+    spec = TABLES[table]
+    partition, path = spec["partition"], _path(root, table)
+    order = [partition, *spec["layout"], *[k for k in spec["keys"] if k not in spec["layout"]]]
     (
-        df.repartitionByRange(partition, *layout)
-        .sortWithinPartitions(partition, *layout)
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition).parquet(path)
     )
