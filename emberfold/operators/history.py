@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from emberfold import settings
 from emberfold.functions.geo import geojson_polygon
 from emberfold.functions.numeric import fixed_text
-from emberfold.operators.incidents import describe, iso_utc
+from emberfold.operators.incidents import iso_utc
 from emberfold.operators.joins import join_lookup
+from emberfold.session import written
 from emberfold.settings import FIRE_CLUSTERS, FIRE_DETECTIONS, SOURCE_DATASET
 
 
@@ -160,7 +161,6 @@ def merged_lineage(snapshots: DataFrame, rounds: int = 20) -> DataFrame:
         .groupBy("cluster_id").agg(F.max(F.struct("snapshot_at", "merged_into_cluster_id")).alias("last"))
         .select("cluster_id", F.col("last.merged_into_cluster_id").alias("survivor"))
     )
-    from emberfold.session import written
     current, _ = written(step, "lineage")
     for _ in range(rounds):
         onward = current.select(F.col("cluster_id").alias("survivor"), F.col("survivor").alias("next"))

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberfold.session import written
 from emberfold.settings import (
-    ENVELOPE_BUFFER_KM, ENVELOPE_MIN_COS, ENVELOPE_STEPS, KM_PER_DEGREE, POINT,
+    ENVELOPE_BUFFER_KM, ENVELOPE_MIN_COS, ENVELOPE_STEPS, KM_PER_DEGREE,
 )
 
 _PAIR_LIST = T.ArrayType(T.ArrayType(T.DoubleType()))
@@ -99,8 +100,6 @@ def envelopes_of_large(members: DataFrame, part: int = PART_POSITIONS) -> DataFr
     hull, and the hull vertices are spread again until one part per cluster is left. The hull of
     partial hulls is the hull of everything, so no task ever holds a whole cluster.
     """
-    from emberfold.session import written
-
     points = members.select("component", "longitude", "latitude").distinct()
     shrink = _part_envelope
     while True:
@@ -132,6 +131,3 @@ def envelopes_of_large(members: DataFrame, part: int = PART_POSITIONS) -> DataFr
     return rings.select("component", F.transform(rotated, lambda v: F.named_struct(
         F.lit("latitude"), v["latitude"], F.lit("longitude"), v["longitude"])).alias("boundary"))
 
-
-def boundary_type() -> T.ArrayType:
-    return T.ArrayType(POINT)

@@ -11,6 +11,7 @@ from emberfold.functions.geo import envelope_ring, rounded_ring
 from emberfold.functions.labels import severity
 from emberfold.functions.numeric import array_sum, exact_round, exact_sum, fixed_text
 from emberfold.operators import hull
+from emberfold.operators.joins import join_lookup
 from emberfold.operators.links import Clusters, find_clusters
 from emberfold.operators.normalize import coerce_for_clustering
 from emberfold.session import written
@@ -195,7 +196,10 @@ def describe(members: DataFrame, largest: int) -> DataFrame:
             F.when(several, _positions("longitude")), F.when(several, _positions("latitude"))))
     described = grouped.withColumns({"ring": ring, "trend": inline_trend()})
     if largest > settings.INLINE_MEMBERS:
-        large = members.where(F.col("cluster_size") > settings.INLINE_MEMBERS)
+        # Several passes follow over these rows: label them once.
+        large, _ = written(
+            members.where(F.col("cluster_size") > settings.INLINE_MEMBERS)
+            .select("component", *MEMBER_ORDER), "large")
         described = (
             described.join(hull.envelopes_of_large(large), "component", "left")
             .join(large_trends(large), "component", "left")
@@ -251,7 +255,6 @@ def detection_clusters(detections: DataFrame) -> DataFrame:
     """Flat lookup: every source detection with the id of its incident, for clusters of any size."""
     members, clusters = assign_clusters(detections)
     grouped = cluster_aggregates(members).select("component", incident_id().alias("incident_id"))
-    from emberfold.operators.joins import join_lookup
     return join_lookup(members, grouped, "component", clusters.total_rows)
 
 

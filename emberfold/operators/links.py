@@ -161,10 +161,11 @@ def _settle_open_pairs(detections, pairs, labels, grid, state) -> DataFrame:
         "frontier")
     if state["rows"] == 0:
         return labels
-    points = _frontier_points(detections, frontier, grid)
+    points = _frontier_points(detections, frontier, grid, state["rows"])
     links = None
+    undecided = state["rows"]
     level = 0
-    while state["rows"]:
+    while undecided:
         level += 1
         if level > MAX_LEVELS:
             raise RuntimeError("slot pairs stayed undecided at the finest cell size")
@@ -172,17 +173,18 @@ def _settle_open_pairs(detections, pairs, labels, grid, state) -> DataFrame:
             _refine(points, frontier, grid, level), "refined",
             F.count_if(F.col("certain")).alias("linked"))
         frontier = tested.where("NOT certain").drop("certain")
+        undecided = outcome["rows"] - outcome["linked"]
         if outcome["linked"]:
             found = tested.where("certain").select(
                 F.col("a_component").alias("src"), F.col("b_component").alias("dst")).distinct()
             links = found if links is None else links.unionByName(found)
+        if outcome["linked"] and undecided:
             # Components just joined need no further test between them.
             frontier, state = written(
                 frontier.join(found, (F.col("a_component") == F.col("src"))
                               & (F.col("b_component") == F.col("dst")), "left_anti"),
                 "frontier")
-        else:
-            state = {"rows": outcome["rows"]}
+            undecided = state["rows"]
     if links is None:
         return labels
     merged = connected_components(links).select(
@@ -191,12 +193,14 @@ def _settle_open_pairs(detections, pairs, labels, grid, state) -> DataFrame:
         "node", F.coalesce("merged", "component").alias("component"))
 
 
-def _frontier_points(detections: DataFrame, frontier: DataFrame, grid: SpaceTimeGrid) -> DataFrame:
-    """Distinct positions, with their time extent, of the slots that are still open."""
+def _frontier_points(
+    detections: DataFrame, frontier: DataFrame, grid: SpaceTimeGrid, pairs: int
+) -> DataFrame:
+    """Distinct positions, with their time extent, of the slots in the `pairs` still open."""
     open_slots = frontier.select(F.explode(F.array("a_slot", "b_slot")).alias("slot_id")).distinct()
     keyed = detections.select(
         _slot(grid).alias("slot_id"), "latitude", "longitude", F.unix_seconds("observed_at").alias("t"))
-    if open_slots.limit(settings.BROADCAST_ROWS + 1).count() <= settings.BROADCAST_ROWS:
+    if 2 * pairs <= settings.BROADCAST_ROWS:
         keyed = keyed.join(F.broadcast(open_slots), "slot_id", "left_semi")
     else:
         keyed = join_lookup(keyed, open_slots, "slot_id", settings.HOT_MIN_ROWS + 1, "left_semi")
