@@ -17,7 +17,12 @@ from emberfold.settings import BROADCAST_ROWS, LEGACY_CLIENT_NAMESPACE, MAX_LOG_
 UUID_ANY = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 UUID_V4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
-_NON_ASCII = r"[^\x00-\x7F]"
+_PLAIN = r"^[!-~]+$"
+
+
+def _non_ascii(value: Column) -> Column:
+    """Whether UTF-8 text has a character above 127: only then has it more bytes than characters."""
+    return F.octet_length(value) > F.length(value)
 
 
 @F.pandas_udf(T.StringType())
@@ -35,15 +40,14 @@ def with_compatible_text(df: DataFrame, columns: list[str], suffix: str = "_nfkc
     """
     if df.isStreaming:
         return df.withColumns({c + suffix: _inline_compatible(F.col(c)) for c in columns})
+    any_odd = F.greatest(*[F.coalesce(_non_ascii(F.col(c)), F.lit(False)) for c in [*columns, columns[0]]])
+    if not df.agg(F.max(any_odd)).first()[0]:
+        return df.withColumns({c + suffix: F.col(c) for c in columns})
     odd = (
         df.select(F.explode(F.array(*columns)).alias("raw"))
-        .where(F.col("raw").rlike(_NON_ASCII))
-        .distinct()
+        .where(_non_ascii(F.col("raw"))).distinct()
     )
-    found = odd.limit(BROADCAST_ROWS + 1).count()
-    if found == 0:
-        return df.withColumns({c + suffix: F.col(c) for c in columns})
-    if found > BROADCAST_ROWS:
+    if odd.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return df.withColumns({c + suffix: _inline_compatible(F.col(c)) for c in columns})
     lookup = odd.select("raw", _compose_compatible("raw").alias("composed"))
     for c in columns:
@@ -57,15 +61,18 @@ def with_compatible_text(df: DataFrame, columns: list[str], suffix: str = "_nfkc
 
 
 def _inline_compatible(value: Column) -> Column:
-    odd = value.rlike(_NON_ASCII)
-    return F.coalesce(_compose_compatible(F.when(odd, value)), value)
+    return F.coalesce(_compose_compatible(F.when(_non_ascii(value), value)), value)
 
 
 def clean_text(composed: Column, maximum: int = MAX_TEXT_LENGTH) -> Column:
     """Drop control and other category-C characters, strip; NULL when empty or longer than `maximum`."""
     kept = F.regexp_replace(composed, r"\p{C}", "")
     stripped = F.regexp_replace(kept, r"^\p{Z}+|\p{Z}+$", "")
-    return F.when(F.length(stripped).between(1, maximum), stripped)
+    # Printable ASCII without spaces, the usual case, needs no cleaning.
+    return (
+        F.when(composed.rlike(_PLAIN) & (F.length(composed) <= maximum), composed)
+        .when(F.length(stripped).between(1, maximum), stripped)
+    )
 
 
 def sanitize_log_text(text: Column, secrets: Iterable[str] = ()) -> Column:

@@ -121,13 +121,14 @@ def annotate(
         F.coalesce("confidence_clean", F.lit("unknown")).alias("confidence"),
     )
     flag = lambda condition, name: F.when(F.coalesce(condition, F.lit(False)), name)
-    flags = F.array_sort(F.array_compact(F.array(
-        flag(F.col("satellite") != F.col("satellite_raw"), "satellite_sanitized"),
+    # In alphabetical order already, so the array needs no sort.
+    flags = F.array_compact(F.array(
         flag(F.col("confidence_clean") != F.col("confidence_raw"), "confidence_sanitized"),
         flag(normal_confidence(F.col("confidence")) == "unknown", "confidence_unknown"),
         F.when(F.coalesce(frp_ok, F.lit(False)), flag(F.col("frp") > HIGH_FRP_MW, "frp_high"))
         .otherwise("frp_invalid"),
-    )))
+        flag(F.col("satellite") != F.col("satellite_raw"), "satellite_sanitized"),
+    ))
     return sealed(checked.select(
         *extras,
         "latitude", "longitude", "confidence",
