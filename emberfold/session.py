@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "emberfold", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,9 +44,23 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     ):
         if spark.conf.get(key) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='emberfold-package-')}/{package.name}", "zip",
+        root_dir=package.parent, base_dir=package.name)
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediates: the cluster's `spark.checkpoint.dir`.
 
@@ -70,7 +87,7 @@ def written(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict
 
     `metrics` are aggregates observed during the write, so they cost no extra pass.
     """
-    spark = df.sparkSession
+    spark = pin_utc(df.sparkSession)
     path = new_path(spark, name)
     observation = Observation()
     observed = df.observe(observation, F.count(F.lit(1)).alias("rows"), *metrics)
