@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+import emberfold
 from emberfold.operators.timeline import GUARD, SHARED, Bucket, decide
 
 _STATE = T.StructType([
@@ -51,6 +53,11 @@ def rate_limit_stream(
         events.schema[key], T.StructField("ts", T.TimestampType()), events.schema[tie],
         T.StructField("outcome", T.StringType()), T.StructField("retry_after", T.LongType())])
     keyed = events.select(key, "ts", tie, F.unix_micros("ts").alias("us"))
-    return keyed.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Limiter(key, tie, guard, shared), outputStructType=schema,
-        outputMode="Append", timeMode="None")
+    # The process that initialises state does not see shipped packages: send the code by value.
+    cloudpickle.register_pickle_by_value(emberfold)
+    try:
+        return keyed.groupBy(key).transformWithStateInPandas(
+            statefulProcessor=_Limiter(key, tie, guard, shared), outputStructType=schema,
+            outputMode="Append", timeMode="None")
+    finally:
+        cloudpickle.unregister_pickle_by_value(emberfold)
