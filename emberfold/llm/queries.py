@@ -6,20 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberfold.llm import mixture, quality_rules
-from emberfold.llm.common import table
+import corpus_pipeline
+from emberfold.llm import decontaminate, jaccard_join, line_dedup, mixture, quality_rules
+from emberfold.llm.common import prepare, table
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = line_dedup.dedup(table(spark, sf_dir, "documents"), "lines_deleted")
+    return deduped.select("doc_id", "lines_deleted", "text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(prepare(spark), sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_source_mixing, op9_quality_rules)}
+    return {q.__name__: q for q in (
+        op1_decontamination, op2_source_mixing, op3_ngram_jaccard_join, op7_line_dedup, op9_quality_rules,
+        pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
