@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from emberfold.llm import decontaminate, jaccard_join, line_dedup, mixture, quality_rules
+from emberfold.llm import chat, decontaminate, jaccard_join, line_dedup, mixture, quality_rules, urls, warc
 from emberfold.llm.common import prepare, table
 
 
@@ -23,6 +23,19 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.conversations(rows))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduped = line_dedup.dedup(table(spark, sf_dir, "documents"), "lines_deleted")
     return deduped.select("doc_id", "lines_deleted", "text")
@@ -38,9 +51,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
-        op1_decontamination, op2_source_mixing, op3_ngram_jaccard_join, op7_line_dedup, op9_quality_rules,
+        op1_decontamination, op2_source_mixing, op3_ngram_jaccard_join, op4_chat_formatting,
+        op5_url_filters, op6_warc, op7_line_dedup, op9_quality_rules,
         pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixture.ORACLE_SQL}
+    return {"op2_source_mixing": mixture.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL,
+            "op6_warc": warc.ORACLE_SQL}
