@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from emberfold.llm import chat, decontaminate, jaccard_join, line_dedup, mixture, quality_rules, urls, warc
+from emberfold.llm import chat, classifier, decontaminate, extract, jaccard_join, line_dedup, mixture, quality_rules, urls, warc
 from emberfold.llm.common import prepare, table
 
 
@@ -41,10 +41,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped.select("doc_id", "lines_deleted", "text")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(prepare(spark), sf_dir)
 
@@ -52,7 +60,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
         op1_decontamination, op2_source_mixing, op3_ngram_jaccard_join, op4_chat_formatting,
-        op5_url_filters, op6_warc, op7_line_dedup, op9_quality_rules,
+        op5_url_filters, op6_warc, op7_line_dedup,
+        op8_quality_classifier, op9_quality_rules, op10_html_extraction,
         pipeline)}
 
 
