@@ -139,7 +139,7 @@ def train(examples: list[tuple[np.ndarray, int]], share: float) -> Weights:
     random = np.random.default_rng(SEED)
     w = initial(random)
     labels = np.array([y for _, y in examples], np.float32)
-    ones = float(labels.mean()) if len(labels) else 0.5
+    ones = float(labels.mean()) if len(labels) else 0.0
     if not 0 < ones < 1:
         w["out"][:] = 0
         w["out_bias"][:] = np.log((share + 1e-6) / (1 - share + 1e-6))
