@@ -106,10 +106,7 @@ def snapshot_rows(
     described: DataFrame, facts: DataFrame, identities: DataFrame, merged: DataFrame, at: datetime
 ) -> DataFrame:
     """Active rows of every cluster plus one tombstone per merged id, in the history schema."""
-    inline = F.col("cluster_size") <= settings.INLINE_MEMBERS
-    counted = facts.groupBy("component").agg(
-        F.count(F.lit(1)).alias("distinct_members"),
-        F.collect_list(F.when(inline, F.col("detection_id"))).alias("ids"))
+    counted = facts.groupBy("component").agg(F.count(F.lit(1)).alias("distinct_members"))
     moment = F.lit(at).cast("timestamp")
     whole = described.join(counted, "component").join(identities, "component")
     shared = [
@@ -117,19 +114,24 @@ def snapshot_rows(
     times = ["first_detected_at", "last_detected_at", "confidence", "trend", "severity"]
     tail = [F.lit(SOURCE_DATASET).alias("source_dataset"), moment.cast("date").alias("snapshot_date")]
     active = whole.select(
-        "cluster_id", *shared, F.sort_array("ids").alias("member_detection_ids"),
-        F.col("distinct_members").alias("detection_count"), "total_frp_mw", "maximum_frp_mw", *times,
+        "cluster_id", *shared, F.col("distinct_members").alias("detection_count"), "total_frp_mw", "maximum_frp_mw", *times,
         F.lit("active").alias("status"), F.lit(None).cast("string").alias("merged_into_cluster_id"),
         *tail)
     tombstones = whole.join(merged, "component").select(
         F.col("merged_id").alias("cluster_id"), *shared,
-        F.array().cast("array<string>").alias("member_detection_ids"),
         F.lit(0).cast("bigint").alias("detection_count"), F.lit(0.0).alias("total_frp_mw"),
         F.lit(0.0).alias("maximum_frp_mw"), *times, F.lit("merged").alias("status"),
         F.col("cluster_id").alias("merged_into_cluster_id"), *tail)
     return active.unionByName(tombstones).select(*[f.name for f in FIRE_CLUSTERS])
 
 
+def snapshot_members(facts: DataFrame, identities: DataFrame, at: datetime, total_rows: int) -> DataFrame:
+    """One row per detection of a cluster in this snapshot, in the history schema."""
+    moment = F.lit(at).cast("timestamp")
+    return join_lookup(facts, identities, "component", total_rows).select(
+        "cluster_id", moment.alias("snapshot_at"), "detection_id", moment.cast("date").alias("snapshot_date"))
+
+
 def detection_facts(
     facts: DataFrame, identities: DataFrame, at: datetime, total_rows: int
 ) -> DataFrame:

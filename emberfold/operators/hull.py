@@ -98,14 +98,20 @@ def envelopes_of_large(members: DataFrame, part: int = PART_POSITIONS) -> DataFr
 
     The positions of a cluster are spread over parts of about `part` rows, each part shrinks to its
     hull, and the hull vertices are spread again until one part per cluster is left. The hull of
-    partial hulls is the hull of everything, so no task ever holds a whole cluster.
+    partial hulls is the hull of everything, so no task ever holds a whole cluster. A pass that drops
+    less than a tenth of the largest cluster's points ends the spreading: what is left is nearly all
+    of the final ring, which is one value of the result anyway.
     """
     points = members.select("component", "longitude", "latitude").distinct()
     shrink = _part_envelope
+    before = None
     while True:
         points = written(points, "hull-points")[0]
         largest = _largest_group(points)
-        parts = max(1, math.ceil(largest / part))
+        stuck = before is not None and largest > 0.9 * before
+        parts = 1 if stuck else max(1, math.ceil(largest / part))
+        # The first pass adds a ring around each position, so only later ones can be compared.
+        before = largest if shrink is _part_hull else None
         salt = F.pmod(F.xxhash64("longitude", "latitude"), F.lit(parts)).alias("salt")
         points = (
             points.select("component", salt, "longitude", "latitude")

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from emberfold import settings
 from emberfold.functions.geo import envelope_ring, rounded_ring
 from emberfold.functions.labels import severity
-from emberfold.functions.numeric import array_sum, exact_round, exact_sum, fixed_text
+from emberfold.functions.numeric import exact_round, exact_sum, fixed_text
 from emberfold.operators import hull
 from emberfold.operators.joins import join_lookup
 from emberfold.operators.links import Clusters, find_clusters
 from emberfold.operators.normalize import coerce_for_clustering
+from emberfold.operators.ranking import with_place
 from emberfold.session import written
 from emberfold.settings import DETECTION_COLUMNS
 
 MEMBER_ORDER = ["observed_at", "latitude", "longitude", "satellite", "frp"]
 INCIDENT_COLUMNS = [
-    "id", "center", "boundary", "detections", "detection_count", "total_frp_mw", "maximum_frp_mw",
+    "id", "center", "boundary", "detection_count", "total_frp_mw", "maximum_frp_mw",
     "first_detected_at", "last_detected_at", "duration_hours", "confidence", "trend", "severity",
 ]
 
@@ -40,40 +40,42 @@ def assign_clusters(
     radius_km: float = settings.CLUSTER_RADIUS_KM,
     window_hours: float = settings.CLUSTER_WINDOW_HOURS,
 ) -> tuple[DataFrame, Clusters]:
-    """Every usable detection with its `component` and `cluster_size`, plus the cluster table."""
+    """Every usable detection with its `component`, `cluster_size` and `place` in its cluster by time.
+
+    Clusters of any size keep their members as such rows; no cluster is one value or one task.
+    """
     usable, _ = written(coerce_for_clustering(detections), "usable")
     clusters = find_clusters(usable, radius_km, window_hours)
-    return clusters.label(usable), clusters
+    labelled, _ = written(clusters.label(usable), "labelled")
+    seconds = F.unix_seconds("observed_at")
+    bins = [F.floor(seconds / 3600), F.floor(seconds / 60), F.floor(F.col("latitude") * 100)]
+    members, _ = written(with_place(labelled, ["component"], MEMBER_ORDER, bins), "members")
+    return members, clusters
 
 
 def _digest_parts() -> list[Column]:
-    """Order-independent digest of the fingerprints of clusters too large to hash as one text.
+    """Order-independent digest of a cluster's fingerprints.
 
     Sums of hash slices merge in any order, so rows never meet in one place.
     """
-    large = F.col("cluster_size") > settings.INLINE_MEMBERS
-    digest = F.sha2("fingerprint", 256)
+    digest = F.sha2(fingerprint(), 256)
     return [
-        F.sum(F.when(large, F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(18,0)")))
-        .alias(f"digest_{i}")
+        F.sum(F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(18,0)")).alias(f"digest_{i}")
         for i in range(4)
     ]
 
 
 def cluster_aggregates(members: DataFrame) -> DataFrame:
-    """One row per component. Inline clusters carry `members` in time order; large ones carry NULL.
-
-    Everything else is a mergeable aggregate, so a giant cluster is combined before the shuffle.
-    """
-    inline = F.col("cluster_size") <= settings.INLINE_MEMBERS
-    extras = [c for c in ("detection_id", "quality_flags") if c in members.columns]
-    member = F.struct(*MEMBER_ORDER, "confidence", "acq_date", "acq_time_text", "fingerprint", *extras)
+    """One row per component, by mergeable aggregates only: a giant cluster is combined before the shuffle."""
     degrees = lambda c: F.sum(F.col(c).cast("decimal(13,10)")).cast("double") / F.count(c)
     votes = lambda name: F.count_if(F.col("confidence_normalized") == name)
     tally = F.array_max(F.array(*[
         F.struct(votes(name).alias("n"), F.lit(rank).alias("rank"), F.lit(name).alias("label"))
         for name, rank in settings.CONFIDENCE_RANK.items()]))
-    grouped = members.withColumn("fingerprint", fingerprint()).groupBy("component").agg(
+    early = F.col("place") <= F.floor(F.col("cluster_size") / 2)
+    mean = lambda half: exact_sum(F.when(half, F.col("frp"))) / F.nullif(F.count(F.when(half, F.col("frp"))), F.lit(0))
+    few = F.col("cluster_size") <= hull.PART_POSITIONS
+    return members.groupBy("component").agg(
         F.count(F.lit(1)).alias("detection_count"),
         degrees("latitude").alias("mean_latitude"),
         degrees("longitude").alias("mean_longitude"),
@@ -82,21 +84,18 @@ def cluster_aggregates(members: DataFrame) -> DataFrame:
         F.min("observed_at").alias("first_detected_at"),
         F.max("observed_at").alias("last_detected_at"),
         tally["label"].alias("confidence"),
+        mean(early).alias("earlier"), mean(~early).alias("later"),
         F.min(F.struct("observed_at", "latitude", "longitude", "satellite")).alias("first_member"),
-        F.collect_list(F.when(inline, member)).alias("members"),
+        # Positions of a bounded number of rows; larger clusters go through partial hulls.
+        F.collect_set(F.when(few, F.struct("longitude", "latitude"))).alias("positions"),
         *_digest_parts(),
     )
-    return grouped.withColumn(
-        "members", F.when(F.size("members") > 0, F.sort_array("members")))
 
 
 def incident_id() -> Column:
-    """Short hash of the member fingerprints; independent of row order, repeated rows count."""
-    exact = F.array_join(
-        F.sort_array(F.transform("members", lambda m: m["fingerprint"])), "|")
+    """Short hash of the number of members and their digest; repeated rows count."""
     merged = F.concat_ws("|", "detection_count", *[f"digest_{i}" for i in range(4)])
-    return F.concat(
-        F.lit("incident-"), F.substring(F.sha2(F.coalesce(exact, merged), 256), 1, 10))
+    return F.concat(F.lit("incident-"), F.substring(F.sha2(merged, 256), 1, 10))
 
 
 def _trend_of(distinct_times_many: Column, count: Column, earlier: Column, later: Column) -> Column:
@@ -111,113 +110,33 @@ def _trend_of(distinct_times_many: Column, count: Column, earlier: Column, later
     )
 
 
-def inline_trend() -> Column:
-    """Trend of the chronological halves of an inline member array."""
-    count = F.col("detection_count")
-    half = F.floor(count / 2).cast("int")
-    frps = lambda part: F.transform(part, lambda m: m["frp"])
-
-    def mean(part: Column) -> Column:
-        known = F.size(F.filter(part, lambda v: v.isNotNull()))
-        return F.when(known > 0, array_sum(part) / known)
-
-    earlier = mean(frps(F.slice("members", F.lit(1), half)))
-    later = mean(frps(F.slice("members", half + 1, F.size("members"))))
-    many = F.col("first_detected_at") < F.col("last_detected_at")
-    return _trend_of(many, count, earlier, later)
-
-
-def large_trends(members: DataFrame) -> DataFrame:
-    """(component, trend) of clusters too large for one array, by narrowing in on the median row.
-
-    Rows are first counted per minute: whole minutes fall in the earlier or later half, and only the
-    minute that holds the median row is looked at again, by latitude and then by the remaining
-    order. No step sorts the rows of a cluster in one place.
-    """
-    extent = members.groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.min("observed_at") < F.max("observed_at")).alias("many"),
-        exact_sum(F.col("frp")).alias("all_sum"), F.count("frp").alias("all_known"))
-    rows = members.select("component", *MEMBER_ORDER)
-    target = extent.select("component", F.floor(F.col("n") / 2).alias("wanted"))
-    before = None
-    for keys in (["observed_at"], ["latitude"], ["longitude", "satellite", "frp"]):
-        bins = rows.groupBy("component", *keys).agg(
-            F.count(F.lit(1)).alias("n"), exact_sum(F.col("frp")).alias("frp_sum"),
-            F.count("frp").alias("known")) if keys[-1] != "frp" else rows.groupBy(
-            "component", *keys).agg(F.count(F.lit(1)).alias("n")).withColumns({
-                "known": F.when(F.col("frp").isNotNull(), F.col("n")).otherwise(0),
-                "frp_sum": F.col("frp") * F.col("n")})
-        order = W.partitionBy("component").orderBy(*keys)
-        placed = bins.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        placed = placed.join(target, "component")
-        inside = placed.where(F.col("upto") <= F.col("wanted")).select(
-            "component", "n", F.coalesce("frp_sum", F.lit(0.0)).alias("frp_sum"), "known")
-        split = placed.where(
-            (F.col("upto") > F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-        before = inside if before is None else before.unionByName(inside)
-        rest = F.col("wanted") - (F.col("upto") - F.col("n"))
-        if keys[-1] == "frp":
-            # Equal rows: any of them may fall before the median.
-            before = before.unionByName(split.select(
-                "component", rest.alias("n"),
-                F.coalesce(F.col("frp") * rest, F.lit(0.0)).alias("frp_sum"),
-                F.when(F.col("frp").isNotNull(), rest).otherwise(0).alias("known")))
-        else:
-            target = split.select("component", rest.alias("wanted"))
-            rows = rows.join(split.select("component", *keys), ["component", *keys], "left_semi")
-    earlier = before.groupBy("component").agg(
-        exact_sum(F.col("frp_sum")).alias("sum_1"), F.sum("known").alias("known_1"))
-    joined = extent.join(earlier, "component", "left")
-    known_2 = F.col("all_known") - F.col("known_1")
-    mean_1 = F.when(F.col("known_1") > 0, F.col("sum_1") / F.col("known_1"))
-    mean_2 = F.when(known_2 > 0, (F.coalesce("all_sum", F.lit(0.0)) - F.col("sum_1")) / known_2)
-    return joined.select(
-        "component", _trend_of(F.col("many"), F.col("n"), mean_1, mean_2).alias("large_trend"))
-
-
-def _positions(name: str) -> Column:
-    return F.transform("members", lambda m: m[name])
-
-
 def describe(members: DataFrame, largest: int) -> DataFrame:
-    """Incident columns plus `component`, `members`, `first_member` and unrounded `total_frp`.
+    """Incident columns plus `component`, `first_member` and unrounded `total_frp`.
 
-    `largest` is the size of the biggest cluster: without any cluster above INLINE_MEMBERS the plan
-    has no branch for them.
+    `largest` is the size of the biggest cluster: where all are small, the plan has no branch for
+    hulls of partial hulls. Both ways give the same envelope.
     """
-    grouped = cluster_aggregates(members).withColumn("single", (
-        F.size(F.array_distinct(F.transform(
-            "members", lambda m: F.struct(m["latitude"], m["longitude"])))) == 1))
-    several = ~F.coalesce(F.col("single"), F.lit(True))
-    first = lambda c: F.col("members")[0][c]
-    ring = F.when(F.col("single"), envelope_ring(first("latitude"), first("longitude"))).otherwise(
-        hull.envelope_of_lists(
-            F.when(several, _positions("longitude")), F.when(several, _positions("latitude"))))
-    described = grouped.withColumns({"ring": ring, "trend": inline_trend()})
-    if largest > settings.INLINE_MEMBERS:
-        # Several passes follow over these rows: label them once.
-        large, _ = written(
-            members.where(F.col("cluster_size") > settings.INLINE_MEMBERS)
-            .select("component", *MEMBER_ORDER), "large")
-        described = (
-            described.join(hull.envelopes_of_large(large), "component", "left")
-            .join(large_trends(large), "component", "left")
-            .withColumns({"ring": F.coalesce("ring", "boundary"),
-                          "trend": F.when(F.col("members").isNull(), F.col("large_trend"))
-                          .otherwise(F.col("trend"))})
-            .drop("boundary", "large_trend")
-        )
+    count = F.size("positions")
+    only = lambda c: F.element_at("positions", 1)[c]
+    lists = lambda c: F.when(count > 1, F.transform("positions", lambda p: p[c]))
+    ring = F.when(count == 1, envelope_ring(only("latitude"), only("longitude"))).otherwise(
+        hull.envelope_of_lists(lists("longitude"), lists("latitude")))
+    many = F.col("first_detected_at") < F.col("last_detected_at")
+    described = cluster_aggregates(members).withColumns({
+        "ring": ring, "trend": _trend_of(many, F.col("detection_count"), F.col("earlier"), F.col("later"))})
+    if largest > hull.PART_POSITIONS:
+        large = members.where(F.col("cluster_size") > hull.PART_POSITIONS)
+        described = described.join(hull.envelopes_of_large(large), "component", "left").withColumn(
+            "ring", F.coalesce("ring", "boundary")).drop("boundary")
     hours = (F.unix_seconds("last_detected_at") - F.unix_seconds("first_detected_at")) / 3600
     described = described.withColumn("hours", hours)
     return described.select(
-        "component", "first_member", "members", "total_frp", "mean_latitude", "mean_longitude",
+        "component", "first_member", "total_frp", "mean_latitude", "mean_longitude",
         incident_id().alias("id"),
         F.struct(
             exact_round(F.col("mean_latitude"), 5).alias("latitude"),
             exact_round(F.col("mean_longitude"), 5).alias("longitude")).alias("center"),
         rounded_ring(F.col("ring")).alias("boundary"),
-        member_list().alias("detections"),
         "detection_count",
         exact_round(F.col("total_frp"), 2).alias("total_frp_mw"),
         exact_round(F.col("maximum_frp"), 2).alias("maximum_frp_mw"),
@@ -228,13 +147,12 @@ def describe(members: DataFrame, largest: int) -> DataFrame:
     )
 
 
-def member_list() -> Column:
-    """Every source row of an inline cluster in time order, with its original confidence text."""
-    return F.transform("members", lambda m: F.named_struct(
-        F.lit("latitude"), m["latitude"], F.lit("longitude"), m["longitude"],
-        F.lit("confidence"), m["confidence"], F.lit("acq_date"), m["acq_date"],
-        F.lit("acq_time"), m["acq_time_text"], F.lit("satellite"), m["satellite"],
-        F.lit("frp"), m["frp"]))
+def member_list(members: DataFrame, described: DataFrame, total_rows: int) -> DataFrame:
+    """Every source row with its incident and place in time order, and its original confidence text."""
+    ids = described.select("component", "id")
+    return join_lookup(members, ids, "component", total_rows).select(
+        "id", "place", "latitude", "longitude", "confidence", "acq_date", F.col("acq_time_text").alias("acq_time"),
+        "satellite", "frp")
 
 
 def incidents(
@@ -251,6 +169,13 @@ def ranked(described: DataFrame) -> DataFrame:
     return described.orderBy(F.desc("total_frp_mw"), "first_member")
 
 
+def with_rank(described: DataFrame) -> DataFrame:
+    """Every incident with its `rank` in that order, counted over bins of its total."""
+    total = F.coalesce("total_frp_mw", F.lit(0.0))
+    bins = [-F.floor(F.log2(total + 1)), -F.floor(total), -F.floor(total * 100)]
+    return with_place(described, [], [F.desc("total_frp_mw"), "first_member"], bins, "rank")
+
+
 def detection_clusters(detections: DataFrame) -> DataFrame:
     """Flat lookup: every source detection with the id of its incident, for clusters of any size."""
     members, clusters = assign_clusters(detections)
@@ -258,12 +183,12 @@ def detection_clusters(detections: DataFrame) -> DataFrame:
     return join_lookup(members, grouped, "component", clusters.total_rows)
 
 
-def spread_diagnostics(described: DataFrame) -> DataFrame:
-    """Span in degrees and hours of each inline cluster: chained groups reach far beyond the limits."""
-    span = lambda c: F.array_max(_positions(c)) - F.array_min(_positions(c))
-    return described.select(
-        "id", span("latitude").alias("latitude_span"), span("longitude").alias("longitude_span"),
-        "duration_hours", "detection_count")
+def spread_diagnostics(members: DataFrame, described: DataFrame) -> DataFrame:
+    """Span in degrees and hours of each cluster: chained groups reach far beyond the limits."""
+    spans = members.groupBy("component").agg(*[
+        (F.max(c) - F.min(c)).alias(f"{c}_span") for c in ("latitude", "longitude")])
+    return described.join(spans, "component").select(
+        "id", "latitude_span", "longitude_span", "duration_hours", "detection_count")
 
 
 def has_area() -> Column:
@@ -271,29 +196,34 @@ def has_area() -> Column:
     return (F.col("detection_count") > 1) & (F.coalesce(F.size("boundary"), F.lit(0)) >= 3)
 
 
-def area_members(records: DataFrame) -> DataFrame:
-    """Members of inline incidents, one row each, marked as part of an area or as a singleton."""
-    return records.select(
-        F.col("id").alias("incident_id"),
-        F.when(has_area(), "area").otherwise("singleton").alias("layer"),
-        F.explode("detections").alias("d"),
-    ).select("incident_id", "layer", "d.*")
+def area_members(members: DataFrame, described: DataFrame, total_rows: int) -> DataFrame:
+    """Members of all incidents, one row each, marked as part of an area or as a singleton."""
+    layers = described.select(
+        "component", F.col("id").alias("incident_id"),
+        F.when(has_area(), "area").otherwise("singleton").alias("layer"))
+    return join_lookup(members, layers, "component", total_rows).select(
+        "incident_id", "layer", "latitude", "longitude", "confidence", "acq_date",
+        F.col("acq_time_text").alias("acq_time"), "satellite", "frp")
 
 
-def contract_violations(records: DataFrame) -> DataFrame:
-    """(id, violation) for every broken rule of the incident contract; empty when all is well."""
-    inline = F.col("detection_count") <= settings.INLINE_MEMBERS
+def contract_violations(records: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, violation) for every broken rule of the incident contract; empty when all is well.
+
+    `members` are the rows of all clusters, so the rules on members hold at any cluster size.
+    """
+    counted = members.groupBy("component").agg(
+        F.count(F.lit(1)).alias("member_rows"), F.count_if(F.col("frp") < 0).alias("negative_rows"))
     one_of = lambda c, names: F.coalesce(F.col(c).isin(*names), F.lit(False))
+    held = F.coalesce("member_rows", F.lit(0))
     rules = {
         "id_missing": F.col("id").isNotNull(),
         "ring_too_short": F.size("boundary") >= 3,
-        "no_detections": ~inline | (F.size("detections") >= 1),
+        "no_detections": held >= 1,
         "count_not_positive": F.col("detection_count") >= 1,
+        "count_differs": F.col("detection_count") == held,
         "total_frp_negative": F.col("total_frp_mw") >= 0,
         "maximum_frp_negative": F.col("maximum_frp_mw") >= 0,
-        "member_frp_negative": ~F.exists(
-            F.coalesce("detections", F.array().cast(records.schema["detections"].dataType)),
-            lambda d: d["frp"] < 0),
+        "member_frp_negative": F.coalesce("negative_rows", F.lit(0)) == 0,
         "duration_negative": F.col("duration_hours") >= 0,
         "confidence_unknown_label": one_of("confidence", settings.CONFIDENCE_RANK),
         "trend_unknown_label": one_of("trend", settings.TREND_LABELS),
@@ -301,7 +231,7 @@ def contract_violations(records: DataFrame) -> DataFrame:
     }
     broken = F.array_compact(F.array(*[
         F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
-    return records.select("id", F.explode(broken).alias("violation"))
+    return records.join(counted, "component", "left").select("id", F.explode(broken).alias("violation"))
 
 
 def collection(records: DataFrame, days: int, generated_at: Column) -> DataFrame:

@@ -120,7 +120,8 @@ def find_clusters(
     pairs need refining, so pass a written or cached table if it is costly to compute.
     """
     grid = SpaceTimeGrid(float(radius_km), int(window_hours * 3600))
-    slots, slot_state = written(add_runs(build_slots(detections, grid), grid), "slots")
+    slots, slot_state = written(
+        add_runs(build_slots(detections, grid), grid), "slots", F.sum("n").alias("detections"))
     pairs, state = written(
         slot_pairs(slots, grid), "pairs",
         F.count_if(~F.col("certain")).alias("open"))
@@ -128,7 +129,7 @@ def find_clusters(
     links = pairs.where("certain").select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
     labels = _label_nodes(nodes, connected_components(links, place=grid.slot_tile(F.col("src"))), slot_state["rows"])
     if state["open"]:
-        labels = _settle_open_pairs(detections, pairs, labels, grid, state)
+        labels = _settle_open_pairs(detections, pairs, labels, grid, state, slot_state["detections"])
     labelled = join_lookup(
         slots.select("slot_id", "node", "n"), labels, "node", slot_state["rows"])
     sizes = labelled.groupBy("component").agg(F.sum("n").alias("cluster_size"))
@@ -144,7 +145,7 @@ def _label_nodes(nodes: DataFrame, components: DataFrame, size: int) -> DataFram
         "node", F.coalesce("component", "node").alias("component"))
 
 
-def _settle_open_pairs(detections, pairs, labels, grid, state) -> DataFrame:
+def _settle_open_pairs(detections, pairs, labels, grid, state, rows) -> DataFrame:
     """Decide the slot pairs whose boxes did not, between components that are still apart."""
     labels, label_state = written(labels, "labels")
     side = lambda p: labels.select(
@@ -161,7 +162,7 @@ def _settle_open_pairs(detections, pairs, labels, grid, state) -> DataFrame:
         "frontier")
     if state["rows"] == 0:
         return labels
-    points = _frontier_points(detections, frontier, grid, state["rows"])
+    points = _frontier_points(detections, frontier, grid, state["rows"], rows)
     links = None
     undecided = state["rows"]
     level = 0
@@ -194,7 +195,7 @@ def _settle_open_pairs(detections, pairs, labels, grid, state) -> DataFrame:
 
 
 def _frontier_points(
-    detections: DataFrame, frontier: DataFrame, grid: SpaceTimeGrid, pairs: int
+    detections: DataFrame, frontier: DataFrame, grid: SpaceTimeGrid, pairs: int, rows: int
 ) -> DataFrame:
     """Distinct positions, with their time extent, of the slots in the `pairs` still open."""
     open_slots = frontier.select(F.explode(F.array("a_slot", "b_slot")).alias("slot_id")).distinct()
@@ -203,7 +204,7 @@ def _frontier_points(
     if 2 * pairs <= settings.BROADCAST_ROWS:
         keyed = keyed.join(F.broadcast(open_slots), "slot_id", "left_semi")
     else:
-        keyed = join_lookup(keyed, open_slots, "slot_id", settings.HOT_MIN_ROWS + 1, "left_semi")
+        keyed = join_lookup(keyed, open_slots, "slot_id", rows, "left_semi")
     positions = keyed.groupBy("slot_id", "latitude", "longitude").agg(
         F.min("t").alias("t_low"), F.max("t").alias("t_high"))
     return written(positions, "positions")[0]

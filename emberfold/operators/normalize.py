@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberfold.functions.labels import normal_confidence
 from emberfold.functions.numeric import finite, nearest_unit, parse_number, plain_number_text
 from emberfold.functions.text import clean_text, with_compatible_text
+from emberfold.operators.ranking import with_place
 from emberfold.settings import BOUNDS, DETECTION_COLUMNS, FUTURE_TOLERANCE_S, HIGH_FRP_MW
 
 CANONICAL_ORDER = ["acq_date", "acq_time", "latitude", "longitude", "satellite"]
@@ -260,6 +261,13 @@ def canonical_sort(df: DataFrame) -> DataFrame:
     return df.orderBy(*CANONICAL_ORDER)
 
 
+def canonical_places(df: DataFrame) -> DataFrame:
+    """Every row with its `place` in canonical order, counted over days and minutes."""
+    day = F.coalesce(F.unix_date(F.to_date("acq_date")), F.lit(-1))
+    minute = F.coalesce(F.col("acq_time").cast("int"), F.lit(-1))
+    return with_place(df, [], CANONICAL_ORDER, [day, minute])
+
+
 def coerce_for_clustering(df: DataFrame) -> DataFrame:
     """Rows that were never normalised, made usable for clustering.
 

@@ -53,11 +53,14 @@ def severity_histogram(snapshots: DataFrame, today: date, days: int = 7) -> Data
     )
 
 
-def satellites_per_incident(incidents: DataFrame) -> DataFrame:
-    """Distinct satellites of each inline incident in first-seen order, or 'Unknown'."""
-    names = F.filter(F.transform("detections", lambda d: d["satellite"]),
-                     lambda s: s.isNotNull() & (s != ""))
-    joined = F.array_join(F.array_distinct(names), ", ")
-    known = F.coalesce(joined, F.lit(""))
-    return incidents.select(
-        "id", F.when(known == "", "Unknown").otherwise(known).alias("satellites"))
+def satellites_per_incident(members: DataFrame, described: DataFrame) -> DataFrame:
+    """Distinct satellites of each incident in first-seen order, or 'Unknown'.
+
+    Rows shrink to one per cluster and satellite before the few names of a cluster meet.
+    """
+    named = members.where(F.col("satellite").isNotNull() & (F.col("satellite") != ""))
+    first = named.groupBy("component", "satellite").agg(F.min("place").alias("place"))
+    names = first.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("place", "satellite"))).alias("seen"))
+    joined = F.array_join(F.transform("seen", lambda s: s["satellite"]), ", ")
+    return described.join(names, "component", "left").select(
+        "id", F.coalesce(joined, F.lit("Unknown")).alias("satellites"))

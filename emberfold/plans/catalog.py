@@ -76,6 +76,11 @@ def _described(spark, d) -> DataFrame:
     return I.describe(members, clusters.largest)
 
 
+def _clustered(spark, d):
+    members, clusters = _members(spark, d)
+    return members, I.describe(members, clusters.largest), clusters.total_rows
+
+
 def _stamp(name: str, alias: str | None = None):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(alias or name)
 
@@ -265,8 +270,8 @@ def v12_quality_report(spark, d):
 
 @query
 def v13_canonical_sort(spark, d):
-    """The first hundred rows in canonical order: a wrong order shows as other rows."""
-    return N.canonical_sort(_deduplicated(spark, d)).select(*N.CANONICAL_ORDER).limit(100)
+    """Every row with its position in canonical order."""
+    return N.canonical_places(_deduplicated(spark, d)).select(*N.CANONICAL_ORDER, "place")
 
 
 @query
@@ -303,7 +308,8 @@ def a04_severity_histogram(spark, d):
 
 @query
 def a05_satellites(spark, d):
-    return stats.satellites_per_incident(_described(spark, d))
+    members, described, _ = _clustered(spark, d)
+    return stats.satellites_per_incident(members, described)
 
 
 # --- Clustering ---------------------------------------------------------------------------------
@@ -377,8 +383,7 @@ def c11_severity(spark, d):
 
 @query
 def c12_members(spark, d):
-    return _described(spark, d).select("id", F.posexplode("detections").alias("place", "m")).select(
-        "id", (F.col("place") + 1).cast("bigint").alias("place"), "m.*")
+    return I.member_list(*_clustered(spark, d))
 
 
 @query
@@ -403,26 +408,50 @@ def c14_envelope(spark, d):
 
 @query
 def c15_ranked(spark, d):
-    return I.incidents(_clean(spark, d)).select(
-        "id", "total_frp_mw", "confidence", "trend", "severity").limit(50)
+    return I.with_rank(_described(spark, d)).select(
+        "rank", "id", "total_frp_mw", "confidence", "trend", "severity")
 
 
 @query
 def c16_contract(spark, d):
     """Violations of the incident contract after faults were planted in two columns."""
-    faulty = _described(spark, d).withColumns({
+    members, described, _ = _clustered(spark, d)
+    faulty = described.withColumns({
         "severity": F.when(F.col("confidence") == "low", "none").otherwise(F.col("severity")),
         "duration_hours": F.when(F.col("trend") == "decreasing", -1.0).otherwise(F.col("duration_hours")),
     })
-    return I.contract_violations(faulty)
+    return I.contract_violations(faulty, members)
 
 
 @query
 def c17_area_members(spark, d):
-    return I.area_members(_described(spark, d)).select(
+    return I.area_members(*_clustered(spark, d)).select(
         "incident_id", "layer", "latitude", "longitude", "acq_date", "acq_time")
 
 
+def _crowd(spark, d):
+    """All events on one spot, each seen by three satellites: one cluster, at any size of the table."""
+    events = derive.detections(_events(spark, d), "user_id")
+    satellites = F.explode(F.array(*[F.lit(n) for n in ("N20", "N21", "NPP")]))
+    return events.withColumns({
+        "latitude": F.lit(40.0) + F.col("event_id") % 7 / 1000, "longitude": F.lit(-3.0) + F.col("event_id") % 5 / 1000,
+    }).withColumn("satellite", satellites)
+
+
+@query
+def c18_large_cluster(spark, d):
+    """Every value of a cluster that holds all rows."""
+    members, clusters = I.assign_clusters(_crowd(spark, d))
+    described, _ = written(I.describe(members, clusters.largest), "described")
+    held = I.member_list(members, described, clusters.total_rows).groupBy("id").agg(
+        F.count(F.lit(1)).alias("members"), F.max("place").alias("last_place"))
+    names = stats.satellites_per_incident(members, described)
+    broken = I.contract_violations(described, members).groupBy("id").agg(F.count(F.lit(1)).alias("broken"))
+    return described.join(held, "id").join(names, "id").join(broken, "id", "left").select(
+        "id", "detection_count", "total_frp_mw", "trend", "members", "last_place", "satellites",
+        F.coalesce("broken", F.lit(0)).alias("violations"))
+
+
 # --- History ------------------------------------------------------------------------------------
 
 
@@ -457,7 +486,7 @@ def h04_prior_assignments(spark, d):
 def _identities(spark, d):
     members, clusters = _members(spark, d)
     members, state = written(H.with_ids(members), "members")
-    described, _ = written(I.describe(members, clusters.largest).drop("members", "first_member"), "described")
+    described, _ = written(I.describe(members, clusters.largest).drop("first_member"), "described")
     facts = H.first_per_id(members)
     prior = facts.where(F.col("observed_at") < F.lit(MIDDLE)).select(
         "detection_id", F.concat_ws(
@@ -484,10 +513,16 @@ def h07_active_snapshots(spark, d):
     described, facts, identities, merged, _ = _identities(spark, d)
     rows = H.snapshot_rows(described, facts, identities, merged, NOW)
     return rows.where("status = 'active'").select(
-        "cluster_id", "detection_count", F.array_join("member_detection_ids", ",").alias("member_ids"),
+        "cluster_id", "detection_count",
         "total_frp_mw", "maximum_frp_mw", "confidence", "trend", "severity", "status")
 
 
+@query
+def h07_snapshot_members(spark, d):
+    _, facts, identities, _, rows = _identities(spark, d)
+    return H.snapshot_members(facts, identities, NOW, rows).select("cluster_id", "detection_id")
+
+
 @query
 def h08_merged_snapshots(spark, d):
     described, facts, identities, merged, _ = _identities(spark, d)

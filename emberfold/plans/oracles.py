@@ -103,7 +103,9 @@ SELECT component,
   sum(CAST(round(frp * 100) AS BIGINT)) FILTER (WHERE place > n // 2) / 1e2 / nullif(count(frp) FILTER (WHERE place > n // 2), 0) AS later
 FROM members GROUP BY component),
 inc AS (
-SELECT component, 'incident-' || substr(sha256(string_agg(fingerprint, '|' ORDER BY fingerprint)), 1, 10) AS id,
+SELECT component, 'incident-' || substr(sha256(concat_ws('|', count(*),
+    sum(CAST('0x' || substr(sha256(fingerprint), 1, 12) AS BIGINT)), sum(CAST('0x' || substr(sha256(fingerprint), 13, 12) AS BIGINT)),
+    sum(CAST('0x' || substr(sha256(fingerprint), 25, 12) AS BIGINT)), sum(CAST('0x' || substr(sha256(fingerprint), 37, 12) AS BIGINT)))), 1, 10) AS id,
   count(*) AS detection_count,
   CAST(printf('%.5f', sum(CAST(round(latitude * 1000) AS BIGINT)) / 1e3 / count(*)) AS DOUBLE) AS center_latitude,
   CAST(printf('%.5f', sum(CAST(round(longitude * 1000) AS BIGINT)) / 1e3 / count(*)) AS DOUBLE) AS center_longitude,
@@ -122,6 +124,13 @@ SELECT inc.*,
   CASE WHEN total_frp_mw < 10 THEN 'low' WHEN total_frp_mw < 50 THEN 'moderate' WHEN total_frp_mw < 150 THEN 'high' ELSE 'extreme' END AS severity
 FROM inc JOIN halves USING (component))"""
 
+_CROWD = _INC.replace(_COMP + """,
+members AS (""", _DET + """,
+crowd AS (
+SELECT det.* REPLACE (40.0e0 + event_id % 7 / 1e3 AS latitude, -3.0e0 + event_id % 5 / 1e3 AS longitude, s.name AS satellite), 1 AS component
+FROM det, (VALUES ('N20'), ('N21'), ('NPP')) AS s(name)),
+members AS (""").replace("det.*, component,", "det.*,").replace("FROM det JOIN comp USING (event_id))", "FROM crowd AS det)")
+
 _IDENTITY = _INC + """,
 prior AS (SELECT detection_id, 'cluster-' || user_id || '-' || (hour(observed_at) // 12) AS prior_id FROM members WHERE observed_at < TIMESTAMP '2024-01-16 00:00:00'),
 held AS (
@@ -266,8 +275,8 @@ FROM annotated WHERE reject_reason IS DISTINCT FROM 'invalid_coordinates'""",
   (SELECT count(*) FROM grouped WHERE frp_invalid) AS invalid_frp,
   (SELECT count(*) FROM grouped WHERE frp_high) AS high_frp,
   (SELECT count(*) FROM grouped WHERE confidence_unknown) AS unknown_confidence""",
-        "v13_canonical_sort": ann + """SELECT strftime(observed_at, '%Y-%m-%d') AS acq_date, acq_time, latitude, longitude, satellite FROM grouped WHERE place = 1
-ORDER BY ALL LIMIT 100""",
+        "v13_canonical_sort": ann + """SELECT strftime(observed_at, '%Y-%m-%d') AS acq_date, acq_time, latitude, longitude, satellite,
+  row_number() OVER (ORDER BY strftime(observed_at, '%Y-%m-%d'), acq_time, latitude, longitude, satellite) AS place FROM grouped WHERE place = 1""",
         "v14_coerce": ann + f"""SELECT event_id, latitude, longitude, CASE WHEN lower(confidence) IN ('l', 'low') THEN 'low' WHEN lower(confidence) IN ('n', 'nominal') THEN 'nominal'
   WHEN lower(confidence) IN ('h', 'high') THEN 'high' ELSE 'unknown' END AS confidence_normalized, frp, {iso('observed_at')} AS observed_at
 FROM annotated WHERE latitude IS NOT NULL AND observed_at IS NOT NULL""",
@@ -300,8 +309,11 @@ FROM members JOIN incident USING (component)""",
   min(CAST(round(1e5 * (longitude - 1.0e0 / (111.32e0 * cos(radians(latitude))))) AS BIGINT)) AS west,
   max(CAST(round(1e5 * (longitude + 1.0e0 / (111.32e0 * cos(radians(latitude))))) AS BIGINT)) AS east
 FROM members JOIN incident USING (component) GROUP BY id""",
-        "c15_ranked": inc + """SELECT id, total_frp_mw, incident.confidence AS confidence, trend, severity FROM incident JOIN members USING (component) WHERE place = 1
-ORDER BY total_frp_mw DESC, observed_at, latitude, longitude, satellite LIMIT 50""",
+        "c15_ranked": inc + """SELECT row_number() OVER (ORDER BY total_frp_mw DESC, observed_at, latitude, longitude, satellite) AS rank,
+  id, total_frp_mw, incident.confidence AS confidence, trend, severity FROM incident JOIN members USING (component) WHERE place = 1""",
+        "c18_large_cluster": "WITH " + _CROWD + """ SELECT id, detection_count, total_frp_mw, trend, detection_count AS members, detection_count AS last_place,
+  (SELECT string_agg(satellite, ', ' ORDER BY place) FROM (SELECT satellite, min(place) AS place FROM members GROUP BY satellite)) AS satellites, 0 AS violations
+FROM incident""",
         "c16_contract": inc + """SELECT id, 'severity_unknown_label' AS violation FROM incident WHERE confidence = 'low'
 UNION ALL SELECT id, 'duration_negative' FROM incident WHERE trend = 'decreasing'""",
         "c17_area_members": inc + """SELECT id AS incident_id, CASE WHEN detection_count > 1 THEN 'area' ELSE 'singleton' END AS layer, latitude, longitude, acq_date,
@@ -315,8 +327,9 @@ QUALIFY row_number() OVER (PARTITION BY satellite, observed_at, latitude, longit
 WHERE observed_at < TIMESTAMP '2024-01-16 00:00:00' AND CAST(observed_at AS DATE) >= DATE '2024-01-10'""",
         "h05_new_cluster_id": ident + "SELECT id AS incident_id, new_id FROM fresh JOIN incident USING (component)",
         "h06_identity": ident + "SELECT id AS incident_id, cluster_id FROM identity",
-        "h07_active_snapshots": ident + """SELECT cluster_id, count(DISTINCT detection_id) AS detection_count, string_agg(DISTINCT detection_id, ',' ORDER BY detection_id) AS member_ids,
+        "h07_active_snapshots": ident + """SELECT cluster_id, count(DISTINCT detection_id) AS detection_count,
   total_frp_mw, maximum_frp_mw, identity.confidence AS confidence, trend, severity, 'active' AS status FROM identity JOIN members USING (component) GROUP BY ALL""",
+        "h07_snapshot_members": ident + "SELECT DISTINCT cluster_id, detection_id FROM identity JOIN members USING (component)",
         "h08_merged_snapshots": ident + f"""SELECT merged_id AS cluster_id, cluster_id AS merged_into_cluster_id, 0 AS detection_count, 0e0 AS total_frp_mw, severity, {iso('first_at')} AS first_detected_at
 FROM merged JOIN identity USING (component)""",
         "h09_detection_facts": ident + """SELECT detection_id, cluster_id, strftime(observed_at, '%Y-%m-%d') AS observation_date, latitude, longitude, satellite, members.confidence AS confidence, frp AS frp_mw

@@ -26,6 +26,7 @@ class Batch:
 
     detections: DataFrame
     clusters: DataFrame
+    members: DataFrame
     detection_rows: int
     cluster_rows: int
     merged: int
@@ -38,8 +39,7 @@ def build_batch(
     at = H.hour_of(N.utc(at))
     members, clusters = assign_clusters(detections)
     members, state = written(H.with_ids(members), "members")
-    described, _ = written(
-        describe(members, clusters.largest).drop("members", "detections", "first_member"), "described")
+    described, _ = written(describe(members, clusters.largest).drop("first_member"), "described")
     facts, unique = written(H.first_per_id(members), "facts")
     prior = prior_of(facts, unique["rows"])
     identities, merged = H.resolve_identities(facts, H.heads_of(described), prior)
@@ -49,7 +49,8 @@ def build_batch(
         F.count_if(F.col("status") == "merged").alias("merged"))
     records, record_state = written(
         H.detection_facts(facts, identities, at, state["rows"]), "detection-rows")
-    return Batch(records, rows, record_state["rows"], row_state["rows"], row_state["merged"])
+    member_rows = H.snapshot_members(facts, identities, at, state["rows"])
+    return Batch(records, rows, member_rows, record_state["rows"], row_state["rows"], row_state["merged"])
 
 
 def run_snapshot(
@@ -61,17 +62,23 @@ def run_snapshot(
     bounds: tuple[float, float, float, float] = settings.BOUNDS,
     stale: bool = False,
     storage_limit: int | None = None,
+    held: DataFrame | None = None,
 ) -> DataFrame:
     """Write one fresh snapshot of raw detections to the history under `root`; returns the result row.
 
     Nothing is written when the source is stale, empty or invalid, when a relationship check fails,
-    or when the tables are at their size limit.
+    or when the tables are at their size limit. `held` adds normalised rows of earlier batches; a row of
+    `source` replaces the held one of the same detection.
     """
     pin_utc(spark)
     if stale:
         raise StaleSource("a snapshot needs fresh data")
     hour = H.hour_of(N.utc(at))
     clean, report = N.normalize(source, days, at, bounds)
+    if held is not None:
+        new = H.with_ids(clean).select("detection_id").distinct()
+        kept = H.with_ids(held).join(new, "detection_id", "left_anti")
+        clean = clean.unionByName(kept.select(*clean.columns))
     clean, state = written(
         clean, "clean", F.min(F.to_date("observed_at")).alias("start"),
         F.max(F.to_date("observed_at")).alias("end"))
@@ -88,6 +95,7 @@ def run_snapshot(
     store.check_storage(spark, root, storage_limit)
     # Clusters first: a reader never sees a detection whose snapshot row is not there yet.
     store.upsert(spark, root, "fire_clusters", batch.clusters)
+    store.upsert(spark, root, "fire_cluster_members", batch.members)
     store.upsert(spark, root, "fire_detections", batch.detections)
     return _result(
         spark, "ingested", hour, batch.detection_rows, batch.cluster_rows, batch.merged)

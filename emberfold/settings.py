@@ -55,9 +55,6 @@ LEGACY_CLIENT_NAMESPACE = b"legacy-client-without-installation-id"
 
 # --- Scale limits of this engine --------------------------------------------------------------
 
-# Clusters up to this many rows carry their members inline as one array; larger ones keep every
-# member in the flat table and their per-cluster values are computed by mergeable aggregates only.
-INLINE_MEMBERS = 10_000
 # A key is "hot" when it holds more than 1/HOT_SHARE of the rows, so there are at most HOT_SHARE
 # hot keys and their unique partner rows always fit a broadcast.
 HOT_SHARE = 1_000
@@ -98,7 +95,6 @@ FIRE_CLUSTERS = T.StructType([
     T.StructField("snapshot_at", T.TimestampType()),
     T.StructField("center", POINT),
     T.StructField("boundary", T.StringType()),
-    T.StructField("member_detection_ids", T.ArrayType(T.StringType())),
     T.StructField("detection_count", T.LongType()),
     T.StructField("total_frp_mw", T.DoubleType()),
     T.StructField("maximum_frp_mw", T.DoubleType()),
@@ -112,3 +108,10 @@ FIRE_CLUSTERS = T.StructType([
     T.StructField("source_dataset", T.StringType()),
     T.StructField("snapshot_date", T.DateType()),
 ])
+
+FIRE_CLUSTER_MEMBERS = T.StructType([
+    T.StructField("cluster_id", T.StringType()),
+    T.StructField("snapshot_at", T.TimestampType()),
+    T.StructField("detection_id", T.StringType()),
+    T.StructField("snapshot_date", T.DateType()),
+])

@@ -1,4 +1,4 @@
-"""The two history tables: partitioned Parquet, read by date range, upserted by partition.
+"""The history tables: partitioned Parquet, read by date range, upserted by partition.
 
 Parquet has no MERGE, so an upsert rewrites the partitions a batch touches. The merged rows are
 written aside first and then replace those partitions with dynamic partition overwrite. Re-running
@@ -16,7 +16,11 @@ from pyspark.sql import types as T
 from emberfold import settings
 from emberfold.operators.normalize import InvalidBatch
 from emberfold.session import written
-from emberfold.settings import FIRE_CLUSTERS, FIRE_DETECTIONS
+from emberfold.settings import FIRE_CLUSTER_MEMBERS, FIRE_CLUSTERS, FIRE_DETECTIONS
+
+
+class DuplicateKeys(ValueError):
+    """A batch names one row of a table twice, so what it means to write is not defined."""
 
 
 class StorageLimit(RuntimeError):
@@ -32,9 +36,12 @@ TABLES = {
     "fire_clusters": dict(
         schema=FIRE_CLUSTERS, partition="snapshot_date", keys=["cluster_id", "snapshot_at"],
         layout=["cluster_id", "severity"],
-        update=["center", "boundary", "member_detection_ids", "detection_count", "total_frp_mw",
+        update=["center", "boundary", "detection_count", "total_frp_mw",
                 "maximum_frp_mw", "first_detected_at", "last_detected_at", "confidence", "trend",
                 "severity", "status", "merged_into_cluster_id"]),
+    "fire_cluster_members": dict(
+        schema=FIRE_CLUSTER_MEMBERS, partition="snapshot_date", keys=["cluster_id", "snapshot_at", "detection_id"],
+        layout=["cluster_id"], update=[]),
 }
 
 
@@ -102,6 +109,9 @@ def upsert(spark: SparkSession, root: str, table: str, batch: DataFrame) -> None
         F.min(partition).alias("start"), F.max(partition).alias("end"))
     if state["rows"] == 0:
         return
+    repeated = batch.groupBy(*spec["keys"]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if repeated:
+        raise DuplicateKeys(f"a batch for {table} must be unique on {', '.join(spec['keys'])}")
     # Distinct partition dates: bounded by the retention, a few in practice.
     days = batch.select(partition).distinct()
     current = read_history(spark, root, table, state["start"], state["end"]).join(

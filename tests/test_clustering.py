@@ -4,15 +4,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF, spot
+from conftest import SF, seen
 from emberfold import settings
 from emberfold.operators import hull, incidents as I, joins, links
 from emberfold.operators.components import connected_components
 from emberfold.operators.normalize import coerce_for_clustering
 from emberfold.plans import derive
 
-DAY = "2026-09-10"
-
 
 def km(a, b):
     la, lo, lb, ob = map(math.radians, (a[0], a[1], b[0], b[1]))
@@ -128,68 +126,83 @@ def test_components_of_chains_and_stars(spark):
     assert got[5001] == got[5000] == 5000
 
 
+def described(raw, *rows):
+    members, clusters = I.assign_clusters(raw(*rows))
+    return members, I.describe(members, clusters.largest)
+
+
 def records(raw, *rows):
-    return I.incidents(raw(*rows)).collect()
-
-
-def test_examples(raw):
-    one = records(raw, spot(42.100, -8.600, DAY, 900, 8), spot(42.115, -8.590, DAY, 1100, 12, "h"))
-    assert len(one) == 1 and one[0].detection_count == 2 and one[0].total_frp_mw == 20
-    assert one[0].severity == "moderate" and one[0].confidence == "high" and one[0].duration_hours == 2.0
-    assert [m.acq_time for m in one[0].detections] == ["0900", "1100"] and one[0].detections[1].confidence == "h"
-    assert len(records(raw, spot(40.4168, -3.7038, DAY, 900, 5), spot(41.3874, 2.1686, DAY, 930, 5))) == 2
-    assert len(records(raw, spot(42.1, -8.6, DAY, 100, 5), spot(42.101, -8.601, "2026-09-11", 200, 5))) == 2
-    assert len(records(raw, spot(43.52459, -5.73016, "2026-09-11", 1336, 5),
-                       spot(43.52444, -5.73749, "2026-09-12", 152, 5))) == 1
-    assert len(records(raw, *[spot(42 + i * 0.015, -8.6, DAY, 900 + i * 100, 5) for i in range(3)])) == 1
-    assert len(records(raw, spot(42.0, -8.6, DAY, 900, 5), spot(42.02, -8.6, DAY, 930, 5))) == 2
-    alone = records(raw, spot(42.1, -8.6, DAY, 900, None))[0]
-    assert (alone.total_frp_mw, alone.severity, alone.detections[0].frp, len(alone.boundary)) == (0, "low", None, 12)
-
-
-def test_identity_and_trend(raw):
-    rows = [spot(42.100, -8.600, DAY, 900, 5), spot(42.101, -8.601, DAY, 1000, 8)]
-    assert records(raw, *rows)[0].id == records(raw, *rows[::-1])[0].id
+    return I.ranked(described(raw, *rows)[1]).collect()
+
+
+@pytest.mark.parametrize("gap_m,gap_min,together", [
+    (1990, 0, True), (2010, 0, False), (0, 1440, True), (0, 1441, False), (1990, 1440, True), (1500, -1441, False)])
+def test_both_limits_must_hold(raw, gap_m, gap_min, together):
+    assert len(records(raw, seen(0), seen(gap_min, north=gap_m))) == (1 if together else 2)
+
+
+def test_chains_reach_beyond_the_limits(raw):
+    steps = [seen(700 * k, north=1900 * k, frp=1.25) for k in range(6)]
+    one = records(raw, *steps)
+    assert [(r.detection_count, r.total_frp_mw, r.duration_hours) for r in one] == [(6, 7.5, round(3500 / 60, 2))]
+    assert sorted(r.detection_count for r in records(raw, *steps[:2], *steps[3:])) == [2, 3]
+
+
+def test_values_of_one_record(raw):
+    rows = [seen(30, frp=30, level="l"), seen(10, north=400, frp=None, level="l"), seen(20, north=800, frp=12.5, level="h")]
+    members, table = described(raw, *rows)
+    record = table.first()
+    assert (record.total_frp_mw, record.maximum_frp_mw, record.confidence, record.severity) == (42.5, 30.0, "low", "moderate")
+    listed = I.member_list(members, table, 3).orderBy("place").collect()
+    assert [(r.place, r.acq_time, r.frp, r.confidence) for r in listed] == [
+        (1, "0010", None, "l"), (2, "0020", 12.5, "h"), (3, "0030", 30.0, "l")]
+    single = records(raw, seen(5, frp=None))[0]
+    assert (single.total_frp_mw, single.severity, single.trend, len(single.boundary)) == (0, "low", "stable", 12)
+
+
+def test_identity_is_a_digest_of_the_members(raw):
     import hashlib
-    text = "|".join(sorted(["42.10000,-8.60000,2026-09-10T09:00:00+00:00,N20",
-                            "42.10100,-8.60100,2026-09-10T10:00:00+00:00,N20"]))
-    assert records(raw, *rows)[0].id == "incident-" + hashlib.sha256(text.encode()).hexdigest()[:10]
-    same = [spot(42.1 + i / 1000, -8.6, DAY, 900, f) for i, f in enumerate((2, 5, 20))]
-    assert records(raw, *same)[0].trend == "stable"
-    rising = [spot(42.1, -8.6, DAY, 900 + 100 * i, f) for i, f in enumerate((5, 5, 9, 9))]
-    assert records(raw, *rising)[0].trend == "increasing"
-    assert records(raw, *[spot(42.1, -8.6, DAY, 900 + 100 * i, f) for i, f in enumerate((9, 9, 5, 5))])[0].trend == "decreasing"
-    assert records(raw, *[spot(42.1, -8.6, DAY, 900 + 100 * i, f) for i, f in enumerate((None, 9, 5, 5))])[0].trend == "decreasing"
-    assert records(raw, *[spot(42.1, -8.6, DAY, 900 + 100 * i, f) for i, f in enumerate((None, None, None))])[0].trend == "stable"
-    assert records(raw, *[spot(42.1, -8.6, DAY, 900 + 100 * i, f) for i, f in enumerate((0, 0, 5, 5))])[0].trend == "increasing"
+    rows = [seen(0), seen(15, east=700), seen(15, east=700)]
+    texts = [f"{float(r[0]):.5f},{float(r[1]):.5f},{r[3]}T{r[4][:2]}:{r[4][2:]}:00+00:00,{r[5]}" for r in rows]
+    sums = [sum(int(hashlib.sha256(t.encode()).hexdigest()[12 * k : 12 * k + 12], 16) for t in texts) for k in range(4)]
+    want = hashlib.sha256("|".join(map(str, [3, *sums])).encode()).hexdigest()[:10]
+    assert {records(raw, *order)[0].id for order in (rows, rows[::-1])} == {f"incident-{want}"}
+    assert records(raw, *rows[:2])[0].id != f"incident-{want}"
+
+
+@pytest.mark.parametrize("powers,trend", [
+    ([4, 4, 8, 8], "increasing"), ([8, 8, 4, 4], "decreasing"), ([4, 4, 4.7, 4.7], "stable"), ([0, 0, 0, 2], "increasing"),
+    ([None, 7, 3, 3], "decreasing"), ([None, None, None], "stable"), ([3, 9], "stable"), ([0.1, 0.12, 0.12], "stable")])
+def test_trend_compares_the_halves(raw, powers, trend):
+    assert records(raw, *[seen(40 * k, frp=p) for k, p in enumerate(powers)])[0].trend == trend
+    if trend != "stable":
+        assert records(raw, *[seen(0, north=20 * k, frp=p) for k, p in enumerate(powers)])[0].trend == "stable"
 
 
 def sample(spark):
     return derive.detections(derive.table(spark, SF, "events"))
 
 
-def test_large_cluster_paths_agree_with_inline_ones(spark, monkeypatch):
-    """Every per-cluster value must not depend on which path computed it."""
-    compared = ["id", "center", "detection_count", "total_frp_mw", "maximum_frp_mw", "first_detected_at",
-                "last_detected_at", "duration_hours", "confidence", "trend", "severity", "boundary"]
+def test_values_do_not_depend_on_the_size_that_counts_as_large(spark, monkeypatch):
+    """The way to an envelope may change with the size; no value may."""
     events = sample(spark)
-    # Equal times and repeated rows inside one cluster exercise the median search.
+    # Equal times and repeated rows inside one cluster exercise the order of members.
     crowd = events.where("event_id < 40").withColumns({
         "latitude": 42 + F.col("event_id") % 7 / 1000, "longitude": F.lit(-8.6) + F.col("event_id") % 5 / 1000,
         "acq_date": F.lit("2024-01-05"), "acq_time": F.lit(1200) + F.col("event_id") % 3})
-    data = events.unionByName(crowd).unionByName(crowd.where("event_id % 4 = 0"))
-    members, clusters = I.assign_clusters(data)
-    inline = {r.component: r for r in I.describe(members, clusters.largest).select("component", *compared).collect()}
-    monkeypatch.setattr(settings, "INLINE_MEMBERS", 4)
-    large = {r.component: r for r in I.describe(members, clusters.largest).select(
-        "component", "detections", *compared).collect()}
-    assert inline.keys() == large.keys() and any(r.detections is None for r in large.values())
-    for key, row in inline.items():
-        other = large[key]
-        for name in compared[1:]:
-            assert row[name] == other[name], (name, row[name], other[name])
-        assert (row.id == other.id) == (other.detections is not None)
-    assert len({r.id for r in large.values()}) == len(large)
+    members, clusters = I.assign_clusters(events.unionByName(crowd).unionByName(crowd.where("event_id % 4 = 0")))
+    usual = {r.component: r for r in I.describe(members, clusters.largest).collect()}
+    monkeypatch.setattr(hull, "PART_POSITIONS", 4)
+    assert {r.component: r for r in I.describe(members, clusters.largest).collect()} == usual
+    places = members.groupBy("component").agg(F.sort_array(F.collect_list("place")).alias("p")).collect()
+    assert all(r.p == list(range(1, len(r.p) + 1)) for r in places)
+
+
+def test_hull_with_more_vertices_than_a_part_ends(spark):
+    ring = [(1, math.cos(k / 20 * math.tau), math.sin(k / 20 * math.tau)) for k in range(20)]
+    members = spark.createDataFrame(ring, "component long, longitude double, latitude double")
+    whole, parts = (hull.envelopes_of_large(members, part=n).first().boundary for n in (4000, 12))
+    assert whole == parts and len(whole) >= 20
 
 
 def test_hull_of_parts_equals_whole_hull(spark):
@@ -207,12 +220,16 @@ def test_results_do_not_depend_on_row_order_or_partitioning(spark):
 
 
 def test_ranking_and_contract(spark):
-    found = I.incidents(sample(spark))
-    totals = [r.total_frp_mw for r in found.collect()]
-    assert totals == sorted(totals, reverse=True)
-    assert I.contract_violations(found).count() == 0
-    bad = found.withColumn("trend", F.lit("sideways")).limit(3)
-    assert {r.violation for r in I.contract_violations(bad).collect()} == {"trend_unknown_label"}
+    members, clusters = I.assign_clusters(sample(spark))
+    table = I.describe(members, clusters.largest)
+    ordered = [r.id for r in I.ranked(table).collect()]
+    assert [r.id for r in I.with_rank(table).orderBy("rank").collect()] == ordered
+    assert I.contract_violations(table, members).count() == 0
+    bad = table.withColumn("trend", F.lit("sideways")).limit(3)
+    assert {r.violation for r in I.contract_violations(bad, members).collect()} == {"trend_unknown_label"}
+    short = members.where("place > 1")
+    found = {r.violation for r in I.contract_violations(table, short).collect()}
+    assert found == {"no_detections", "count_differs"}
 
 
 def test_no_pairwise_join_in_the_plan(spark):

@@ -1,18 +1,17 @@
 import random
-from datetime import date, datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import UTC, spot
-from emberfold import settings
+from conftest import DAY, NOW, START, UTC, seen, where
 from emberfold.operators import history as H
 from emberfold.operators import normalize as N
 from emberfold.plans import snapshot
 from emberfold.sources import history as store
+from emberfold.streaming import ingest
 
-AT = datetime(2026, 9, 14, 12, 37, tzinfo=UTC)
-DAY = "2026-09-14"
+AT = NOW
 
 
 def clean(raw, *rows, at=AT):
@@ -28,45 +27,43 @@ def ids_of(detections):
     return {(r.latitude, r.longitude): r.detection_id for r in H.with_ids(detections).collect()}
 
 
-def test_identity_of_one_observation(spark, raw):
-    a = raw(spot(42.1, -8.6, DAY, 900, 5)).withColumn("observed_at", F.to_timestamp(F.lit("2026-09-14 09:00:00")))
-    rows = a.select(F.col("latitude").cast("double"), F.col("longitude").cast("double"), "observed_at",
-                    F.explode(F.array(F.lit("N20"), F.lit(" N20 "))).alias("satellite"))
+def test_identity_of_one_observation(spark):
     import hashlib
-    want = hashlib.sha256(b"VIIRS_NOAA20_NRT|N20|2026-09-14T09:00:00+00:00|42.10000|-8.60000").hexdigest()
-    assert {r.d for r in rows.select(H.detection_id().alias("d")).collect()} == {want}
-    assert H.hour_of(AT) == datetime(2026, 9, 14, 12, tzinfo=UTC)
+    latitude, longitude = where(250, -90)
+    rows = spark.createDataFrame(
+        [(latitude, longitude, START, name) for name in ("N21", " N21 ")],
+        "latitude double, longitude double, observed_at timestamp, satellite string")
+    text = f"VIIRS_NOAA20_NRT|N21|2025-03-05T00:00:00+00:00|{latitude:.5f}|{longitude:.5f}"
+    assert {r.d for r in rows.select(H.detection_id().alias("d")).collect()} == {hashlib.sha256(text.encode()).hexdigest()}
+    assert H.hour_of(AT) == datetime(2025, 3, 5, 12, tzinfo=UTC)
 
 
-def test_single_detection_and_duplicates(spark, raw):
-    batch = batch_of(spark, raw(spot(42.1, -8.6, DAY, 900, 5), spot(42.1, -8.6, DAY, 900, 5)), {})
-    facts, rows = batch.detections.collect(), batch.clusters.collect()
-    assert len(facts) == len(rows) == 1
-    assert facts[0].cluster_id == rows[0].cluster_id and rows[0].detection_count == 1
-    assert rows[0].member_detection_ids == [facts[0].detection_id]
-    assert rows[0].total_frp_mw == 10.0
+def test_repeated_detection_is_one_member(spark, raw):
+    batch = batch_of(spark, raw(seen(50, frp=2), seen(50, frp=2), seen(50, frp=2)), {})
+    facts, rows, members = batch.detections.collect(), batch.clusters.collect(), batch.members.collect()
+    assert len(facts) == len(rows) == len(members) == 1
+    assert facts[0].cluster_id == rows[0].cluster_id == members[0].cluster_id and rows[0].detection_count == 1
+    assert members[0].detection_id == facts[0].detection_id and rows[0].total_frp_mw == 6.0
 
 
 def test_bridge_merges_into_the_earliest_assignment(spark, raw):
-    data = clean(raw, *[spot(42 + 0.015 * i, -8.6, DAY, 900 + 100 * i, 5) for i in range(3)])
+    data = clean(raw, *[seen(60 * k, north=1800 * k) for k in range(3)])
     ids = ids_of(data)
-    batch = batch_of(spark, data, {ids[(42.0, -8.6)]: "cluster-old", ids[(42.03, -8.6)]: "cluster-new"})
+    batch = batch_of(spark, data, {ids[where(0)]: "cluster-south", ids[where(3600)]: "cluster-north"})
     rows = {r.status: r for r in batch.clusters.collect()}
-    assert rows["active"].cluster_id == "cluster-old"
-    assert rows["merged"].cluster_id == "cluster-new"
-    assert rows["merged"].merged_into_cluster_id == "cluster-old"
-    assert (rows["merged"].detection_count, rows["merged"].total_frp_mw, rows["merged"].member_detection_ids) == (0, 0, [])
-    assert {r.cluster_id for r in batch.detections.collect()} == {"cluster-old"}
-    assert batch.merged == 1
-    assert {r.cluster_id: r.survivor for r in H.merged_lineage(batch.clusters).collect()} == {
-        "cluster-new": "cluster-old"}
+    assert (rows["active"].cluster_id, rows["merged"].cluster_id) == ("cluster-south", "cluster-north")
+    assert rows["merged"].merged_into_cluster_id == "cluster-south"
+    assert (rows["merged"].detection_count, rows["merged"].total_frp_mw) == (0, 0)
+    assert {r.cluster_id for r in batch.detections.collect()} == {"cluster-south"}
+    assert batch.members.count() == 3 and batch.merged == 1
+    assert {r.cluster_id: r.survivor for r in H.merged_lineage(batch.clusters).collect()} == {"cluster-north": "cluster-south"}
 
 
 def test_split_keeps_one_owner(spark, raw):
-    data = clean(raw, spot(42.0, -8.6, DAY, 900, 5), spot(42.05, -8.6, DAY, 1000, 5))
+    data = clean(raw, seen(100), seen(130, north=7000))
     batch = batch_of(spark, data, {i: "cluster-before" for i in ids_of(data).values()})
     owners = {r.latitude: r.cluster_id for r in batch.detections.collect()}
-    assert owners[42.0] == "cluster-before" and owners[42.05] != "cluster-before"
+    assert owners[where(0)[0]] == "cluster-before" and owners[where(7000)[0]] != "cluster-before"
 
 
 def greedy(components, prior):
@@ -116,25 +113,26 @@ def test_ownership_equals_the_oldest_first_walk(spark):
 
 def test_snapshots_over_hours(spark, raw, tmp_path):
     root = str(tmp_path)
-    hour = lambda h: datetime(2026, 9, 14, h, 5, tzinfo=UTC)
-    first = snapshot.run_snapshot(spark, raw(spot(42.1, -8.6, DAY, 900, 5)), root, hour(10)).first()
+    hour = lambda h: START + timedelta(hours=h, minutes=8)
+    first = snapshot.run_snapshot(spark, raw(seen(90, frp=3)), root, hour(4)).first()
     assert (first.status, first.detections_processed, first.cluster_snapshots_processed) == ("ingested", 1, 1)
-    grown = raw(spot(42.1, -8.6, DAY, 900, 7), spot(42.101, -8.601, DAY, 1000, 5))
+    grown = raw(seen(90, frp=4), seen(200, east=600, frp=9))
     for _ in range(2):  # the second run is a retry of the same hour
-        again = snapshot.run_snapshot(spark, grown, root, hour(11)).first()
+        again = snapshot.run_snapshot(spark, grown, root, hour(6)).first()
         assert (again.detections_processed, again.clusters_merged) == (2, 0)
-    days = (date(2026, 9, 14), date(2026, 9, 14))
+    days = (DAY, DAY)
     clusters = store.read_history(spark, root, "fire_clusters", *days).orderBy("snapshot_at").collect()
     assert len(clusters) == 2 and len({c.cluster_id for c in clusters}) == 1
+    assert store.read_history(spark, root, "fire_cluster_members", *days).count() == 3
     facts = {r.longitude: r for r in store.read_history(spark, root, "fire_detections", *days).collect()}
     assert len(facts) == 2
-    old = facts[-8.6]
-    assert (old.first_ingested_at.hour, old.last_ingested_at.hour, old.frp_mw) == (10, 11, 7.0)
-    assert snapshot.run_snapshot(spark, grown.limit(0), root, hour(12)).first().status == "no_data"
+    old = facts[where()[1]]
+    assert (old.first_ingested_at.hour, old.last_ingested_at.hour, old.frp_mw) == (4, 6, 4.0)
+    assert snapshot.run_snapshot(spark, grown.limit(0), root, hour(7)).first().status == "no_data"
     with pytest.raises(snapshot.StaleSource):
-        snapshot.run_snapshot(spark, grown, root, hour(12), stale=True)
+        snapshot.run_snapshot(spark, grown, root, hour(7), stale=True)
     with pytest.raises(store.StorageLimit):
-        snapshot.run_snapshot(spark, grown, root, hour(12), storage_limit=1)
+        snapshot.run_snapshot(spark, grown, root, hour(7), storage_limit=1)
     assert len(store.read_history(spark, root, "fire_clusters", *days).collect()) == 2
     with pytest.raises(TypeError):
         store.read_history(spark, root, "fire_clusters", None, None)
@@ -143,7 +141,7 @@ def test_snapshots_over_hours(spark, raw, tmp_path):
 
 
 def test_orphans_and_repeats_refuse_the_batch(spark, raw):
-    batch = batch_of(spark, clean(raw, spot(42.1, -8.6, DAY, 900, 5)), {})
+    batch = batch_of(spark, clean(raw, seen(75)), {})
     store.check_relationships(batch.detections, batch.clusters)
     with pytest.raises(N.InvalidBatch, match="orphan_cluster_reference"):
         store.check_relationships(batch.detections.withColumn("cluster_id", F.lit("missing")), batch.clusters)
@@ -154,7 +152,7 @@ def test_orphans_and_repeats_refuse_the_batch(spark, raw):
 
 
 def test_json_pages_keep_every_value(spark, raw):
-    batch = batch_of(spark, clean(raw, *[spot(42 + 0.1 * i, -8.6, DAY, 900, 5 if i else None) for i in range(9)]), {})
+    batch = batch_of(spark, clean(raw, *[seen(30, north=9000 * i, frp=4 if i else None) for i in range(9)]), {})
     for df in (batch.detections, batch.clusters):
         dates = {n: F.col(n).cast("string") for n, t in df.dtypes if t == "date"}
         df = df.withColumns(dates)
@@ -164,19 +162,38 @@ def test_json_pages_keep_every_value(spark, raw):
 
 
 def test_retention(spark, raw, tmp_path):
-    batch = batch_of(spark, clean(raw, spot(42.1, -8.6, DAY, 900, 5), spot(42.1, -8.6, "2026-09-13", 2300, 5)), {})
+    batch = batch_of(spark, clean(raw, seen(80), seen(-45)), {})
     store.upsert(spark, str(tmp_path), "fire_detections", batch.detections)
-    listed = store.expire_partitions(spark, str(tmp_path), "fire_detections", date(2026, 9, 14), days=0)
-    assert listed == [date(2026, 9, 13)]
-    assert store.partitions(spark, str(tmp_path), "fire_detections") == [date(2026, 9, 13), date(2026, 9, 14)]
-    store.expire_partitions(spark, str(tmp_path), "fire_detections", date(2026, 9, 14), days=0, dry_run=False)
-    assert store.partitions(spark, str(tmp_path), "fire_detections") == [date(2026, 9, 14)]
-
-
-def test_large_clusters_keep_their_members_in_the_flat_table(spark, raw, monkeypatch):
-    data = clean(raw, *[spot(42 + i / 1000, -8.6, DAY, 900 + i, 5) for i in range(6)])
-    monkeypatch.setattr(settings, "INLINE_MEMBERS", 3)
-    batch = batch_of(spark, data, {})
-    row = batch.clusters.first()
-    assert row.detection_count == 6 and row.member_detection_ids == []
-    assert batch.detections.where(F.col("cluster_id") == row.cluster_id).count() == 6
+    listed = store.expire_partitions(spark, str(tmp_path), "fire_detections", DAY, days=0)
+    assert listed == [DAY - timedelta(days=1)]
+    assert store.partitions(spark, str(tmp_path), "fire_detections") == [DAY - timedelta(days=1), DAY]
+    store.expire_partitions(spark, str(tmp_path), "fire_detections", DAY, days=0, dry_run=False)
+    assert store.partitions(spark, str(tmp_path), "fire_detections") == [DAY]
+
+
+def test_a_batch_with_repeated_keys_is_refused(spark, raw, tmp_path):
+    batch = batch_of(spark, clean(raw, seen(75)), {})
+    with pytest.raises(store.DuplicateKeys):
+        store.upsert(spark, str(tmp_path), "fire_detections", batch.detections.unionByName(batch.detections))
+
+
+def test_held_rows_keep_flags_and_new_rows_win(spark, raw, tmp_path):
+    root = str(tmp_path)
+    at = lambda m: START + timedelta(minutes=m)
+    snapshot.run_snapshot(spark, raw(seen(60, craft="N21\x07", frp=5.5), seen(60, east=500, frp=7)), root, at(60))
+    later = raw(seen(60, east=500, frp=9.9), seen(90, east=900))
+    snapshot.run_snapshot(spark, later, root, at(90), held=ingest.held_detections(spark, root, at(90), 1))
+    rows = {r.longitude: r for r in store.read_history(spark, root, "fire_detections", DAY, DAY).collect()}
+    assert len(rows) == 3 and len({r.cluster_id for r in rows.values()}) == 1
+    assert (rows[where()[1]].frp_mw, rows[where()[1]].quality_flags) == (5.5, ["satellite_sanitized"])
+    assert rows[where(0, 500)[1]].frp_mw == 9.9
+
+
+def test_a_backlog_longer_than_the_window_reaches_history(spark, raw, tmp_path):
+    root, landing = str(tmp_path / "history"), str(tmp_path / "landing")
+    raw(seen(100), seen(100 - 2880), seen(100 - 5760)).write.parquet(landing)
+    stream = spark.readStream.schema(raw(seen()).schema).parquet(landing)
+    ingest.start_snapshots(stream, root, str(tmp_path / "offsets"), clock=lambda: NOW, availableNow=True).awaitTermination()
+    days = (DAY - timedelta(days=9), DAY)
+    assert store.read_history(spark, root, "fire_detections", *days).count() == 3
+    assert store.read_history(spark, root, "fire_clusters", *days).count() == 3
