@@ -13,6 +13,8 @@ from emberfold.session import pin_utc, written
 
 #: Most rows of a side that is broadcast; the callers count the rows before.
 BROADCAST_ROWS = 50_000
+#: Most bytes that values of no fixed width add to such a side.
+BROADCAST_BYTES = 64 << 20
 #: Rows of an Arrow batch, so that a batch of very long texts still fits a Python worker.
 BATCH_ROWS = 256
 NULL_ID = (1 << 63) - 1
@@ -62,9 +64,12 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def lookup(small: DataFrame, rows: int) -> DataFrame:
-    """`small` marked for broadcast while its known row count is within the bound."""
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+def lookup(small: DataFrame, rows: int, size: int | None = 0) -> DataFrame:
+    """`small` marked for broadcast while its known row count is within the bound.
+
+    `size` is the number of bytes of its values that have no fixed width (null: none were seen).
+    """
+    return F.broadcast(small) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else small
 
 
 def split_by_keys(docs: DataFrame, keys: DataFrame, rows: int, how: str) -> DataFrame:

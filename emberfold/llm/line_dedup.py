@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from emberfold.llm.common import doc_key, lookup, prepare, spare, stored, text_tie
 
 RUN_WORDS = 50
+SPAN_BYTES = 32  # of one span in an array of Spark
 GRAM_WORDS = 25
 
 SCHEMA = "doc long, tie long, print binary, at int, run binary, first int, last int"
@@ -131,8 +132,9 @@ def dedup(docs: DataFrame, count_column: str | None = None) -> DataFrame:
     prepare(docs.sparkSession)
     doc, tie, spans, result = spare(docs, "run_doc", "run_tie", "run_spans", "run_result")
     cuts, seen = stored(later_runs(docs).groupBy("doc", "tie").agg(
-        F.collect_set(F.struct("first", "last")).alias("spans")), "cuts")
-    cuts = lookup(cuts.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("spans").alias(spans)), seen["rows"])
+        F.collect_set(F.struct("first", "last")).alias("spans")), "cuts", F.sum(F.size("spans")).alias("spans"))
+    cuts = lookup(cuts.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("spans").alias(spans)), seen["rows"],
+                  SPAN_BYTES * (seen["spans"] or 0))
     joined = docs.withColumns({doc: doc_key(), tie: text_tie()}).join(cuts, [doc, tie], "left")
     cut = F.pandas_udf(_without_runs, "struct<text: string, lines_deleted: int>")
     changed = joined.withColumn(result, cut(F.col("text"), F.col(spans)))

@@ -1,5 +1,6 @@
 import random
 
+from emberfold.llm import common
 from emberfold.llm import line_dedup as d
 
 from . import odd
@@ -58,3 +59,13 @@ def test_odd_rows(spark):
     assert [t for k, t in got if k in (0, 2)] == ["", ""]
     assert (6, odd.LONG) in got and out.where("text is null").count() == 2
     assert d.dedup(odd.empty(spark)).count() == 0
+
+
+def test_joins_without_a_broadcast_beyond_the_bytes(spark, monkeypatch):
+    run = "\n".join(f"line {k} " + "word " * 12 for k in range(8))
+    docs = odd.documents(spark, [(k, f"{run}\nown {k}", "en", "s") for k in range(4)])
+    wide = {(r.doc_id, r.text) for r in d.dedup(docs).collect()}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 3 * 8 * d.SPAN_BYTES // 2)
+    assert {(r.doc_id, r.text) for r in d.dedup(docs).collect()} == wide
+    assert common.lookup(docs, 1, common.BROADCAST_BYTES + 1) is docs
+    assert len(wide) == 4 and sum(t.startswith("line") for _, t in wide) == 1
