@@ -9,9 +9,8 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from emberfold.settings import BROADCAST_ROWS, LEGACY_CLIENT_NAMESPACE, MAX_LOG_TEXT, MAX_TEXT_LENGTH
+from emberfold.settings import LEGACY_CLIENT_NAMESPACE, MAX_LOG_TEXT, MAX_TEXT_LENGTH
 
 # Canonical UUID text, any version and strictly version 4.
 UUID_ANY = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -25,43 +24,22 @@ def _non_ascii(value: Column) -> Column:
     return F.octet_length(value) > F.length(value)
 
 
-@F.pandas_udf(T.StringType())
-def _compose_compatible(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+def _compose_compatible(values: pd.DataFrame) -> pd.DataFrame:
+    return values.apply(lambda c: c.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore"))
 
 
 def with_compatible_text(df: DataFrame, columns: list[str], suffix: str = "_nfkc") -> DataFrame:
     """Add `<column><suffix>`: each text column in Unicode NFKC form.
 
-    ASCII text is already in that form, so Python only ever sees non-ASCII values. The distinct ones
-    are counted first: none (the usual feed) leaves the plan JVM-only, up to BROADCAST_ROWS are
-    normalised once and joined back as a broadcast lookup, and beyond that the conversion runs
-    inline, where no join key can become hot.
+    ASCII text is already in that form, so Python only ever gets the non-ASCII values, those of all
+    columns in one call; NULLs stand for the others. Narrow, and no job runs while the plan is built.
     """
-    if df.isStreaming:
-        return df.withColumns({c + suffix: _inline_compatible(F.col(c)) for c in columns})
-    any_odd = F.greatest(*[F.coalesce(_non_ascii(F.col(c)), F.lit(False)) for c in [*columns, columns[0]]])
-    if not df.agg(F.max(any_odd)).first()[0]:
-        return df.withColumns({c + suffix: F.col(c) for c in columns})
-    odd = (
-        df.select(F.explode(F.array(*columns)).alias("raw"))
-        .where(_non_ascii(F.col("raw"))).distinct()
-    )
-    if odd.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return df.withColumns({c + suffix: _inline_compatible(F.col(c)) for c in columns})
-    lookup = odd.select("raw", _compose_compatible("raw").alias("composed"))
-    for c in columns:
-        side = lookup.select(F.col("raw").alias(c), F.col("composed").alias("_composed"))
-        df = (
-            df.join(F.broadcast(side), c, "left")
-            .withColumn(c + suffix, F.coalesce("_composed", c))
-            .drop("_composed")
-        )
-    return df
-
-
-def _inline_compatible(value: Column) -> Column:
-    return F.coalesce(_compose_compatible(F.when(_non_ascii(value), value)), value)
+    fields = [f"c{k}" for k in range(len(columns))]
+    compose = F.pandas_udf(_compose_compatible, ", ".join(f"{f} string" for f in fields))
+    odd = F.struct(*[F.when(_non_ascii(F.col(c)), F.col(c)).alias(f) for c, f in zip(columns, fields)])
+    return df.withColumn("_composed", compose(odd)).withColumns({
+        c + suffix: F.coalesce(F.col("_composed")[f], F.col(c)) for c, f in zip(columns, fields)
+    }).drop("_composed")
 
 
 def clean_text(composed: Column, maximum: int = MAX_TEXT_LENGTH) -> Column:

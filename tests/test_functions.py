@@ -58,9 +58,19 @@ def test_exact_sum_does_not_depend_on_order(spark):
     assert huge.where("x IS NULL").agg(numeric.exact_sum(F.col("x")).alias("s")).first().s is None
 
 
-@pytest.mark.parametrize("bound", [100_000, 1])
-def test_text_cleaning(spark, monkeypatch, bound):
-    monkeypatch.setattr(text, "BROADCAST_ROWS", bound)
+def test_text_cleaning_starts_no_job(spark):
+    spark.sparkContext.setJobGroup("plan", "plan only")
+    try:
+        df = spark.createDataFrame([("N２", None), (None, "n"), ("a", "ｈ")], "x string, y string")
+        made = text.with_compatible_text(df, ["x", "y"])
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("plan") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert made.columns == ["x", "y", "x_nfkc", "y_nfkc"]
+    assert {(r.x_nfkc, r.y_nfkc) for r in made.collect()} == {("N2", None), (None, "n"), ("a", "h")}
+
+
+def test_text_cleaning(spark):
     items = ["N20", "N20\x00", "\x00\n", " N20 ", " N２①", "x" * 33, "x" * 32, "​N", "", "ﬁre"]
     df = spark.createDataFrame([(i,) for i in items], "x string")
     rows = text.with_compatible_text(df, ["x"]).select("x", text.clean_text(F.col("x_nfkc")).alias("c")).collect()
