@@ -144,7 +144,8 @@ def scores(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     items, seen = stored(
         items.mapInArrow(_items, "item_id long, item_words binary, codes array<long>").withColumn(
-            "item", F.monotonically_increasing_id()), "items", F.max(F.length("item_words")).alias("longest"))
+            "item", F.monotonically_increasing_id()), "items", F.max(F.length("item_words")).alias("longest"),
+        F.sum(F.length("item_words")).alias("bytes"))
     grams = items.select("item", F.posexplode("codes").alias("at", "code"))
     flags = spark.sparkContext.broadcast(_bitmap(spark, grams))
     longest = (seen["longest"] or 0) // 8
@@ -159,7 +160,7 @@ def scores(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]
     seeds, counted = stored(seeds, "seeds")
     pairs = hits.join(lookup(seeds, counted["rows"]), "code").select("passage", "item").distinct()
     aligned = passages.drop("codes").join(pairs, "passage").join(
-        lookup(items.select("item", "item_words"), seen["rows"]), "item")
+        lookup(items.select("item", "item_words"), seen["rows"], seen["bytes"]), "item")
     return aligned.select("doc", "tie", "item", "item_words", "words").mapInArrow(
         _score, "doc long, tie long, item long, score double"), items.select("item", "item_id")
 
