@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from emberfold.llm.common import lookup, prepare, stored
 
 DEPTH = 8
+PART_BYTES = 16  # that an array of texts adds to each of them
 LITERAL_URLS, LITERAL_SHARE = 10, 0.02
 Z = 1.96
 EVIDENCE = 5
@@ -68,6 +69,10 @@ def segments(path: Column) -> Column:
     return F.when(F.size(found) > DEPTH, F.concat(F.slice(found, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(found)
 
 
+def _bytes(*texts: Column | str) -> Column:
+    return F.sum(sum((F.octet_length(t) for t in texts), F.lit(0)).cast("long")).alias("bytes")
+
+
 def template_tree(urls: DataFrame) -> DataFrame:
     """(host, parts, template, n, labelled, blocked): the template of each kind of path."""
     tree, seen = stored(urls.groupBy("host", "parts").agg(
@@ -81,9 +86,9 @@ def template_tree(urls: DataFrame) -> DataFrame:
         totals = values.groupBy("host", "template").agg(F.sum("own").alias("all"))
         literals = values.where(F.col("own") >= LITERAL_URLS).join(totals, ["host", "template"]).where(
             F.col("own") >= LITERAL_SHARE * F.col("all")).select("host", "template", "part")
-        literals, kept = stored(literals.withColumn("literal", F.lit(True)), "literals")
+        literals, kept = stored(literals.withColumn("literal", F.lit(True)), "literals", _bytes("host", "template", "part"))
         placed = tree.withColumn("part", F.get("parts", F.lit(level))).join(
-            lookup(literals, kept["rows"]), ["host", "template", "part"], "left")
+            lookup(literals, kept["rows"], kept["bytes"]), ["host", "template", "part"], "left")
         step = F.when(F.col("literal"), F.col("part")).otherwise(wildcard(F.col("part")))
         tree, _ = stored(placed.withColumn("template", F.when(
             F.col("part").isNotNull(), F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))).drop(
@@ -123,8 +128,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, label: Column
     rows = split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("says"),
                         segments(F.col("path")).alias("parts"), "given")
     known = F.col("given") if label is not None else F.col("says") == "block"
-    bad, seen = stored(rejected(template_tree(rows.withColumn("bad", known))).withColumn("bad", F.lit(True)), "templates")
+    bad, seen = stored(rejected(template_tree(rows.withColumn("bad", known))).withColumn("bad", F.lit(True)), "templates",
+                       _bytes("host", F.array_join("parts", "/" * PART_BYTES)))
     # Only rejected templates are joined back.
-    return rows.join(lookup(bad, seen["rows"]), ["host", "parts"], "left").select(
+    return rows.join(lookup(bad, seen["rows"], seen["bytes"]), ["host", "parts"], "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("says", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
