@@ -1,25 +1,30 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
-
-Words are compared without case and ASCII punctuation. A pass over the documents keeps the n-grams
-that a bitmap of the benchmark's n-grams lets through (`BITMAP_BITS` bits at any benchmark size) and
-the words around them. Counting these hits gives the frequency of every benchmark n-gram in the
-corpus; of each block of `RARE` consecutive n-grams of an item, the rarest becomes a seed. So any
-unedited stretch of `NGRAM + 2 * RARE - 2` words of an item holds a seed, however common its words
-are. Seeds joined with the hits give pairs of passage and item, and a pair's score is that of its
-best local alignment (match 1, mismatch and gap -1) as a share of the item's words. A document leaks
-an item from `THRESHOLD` on: half of the item verbatim, or all of it with a quarter of the words
+"""Benchmark decontamination: a count of shared word pairs finds passages, Smith-Waterman alignment scores them.
+
+Words are compared without case and ASCII punctuation. The score of a document and an item is that of
+their best local alignment (match 1, mismatch and gap -1) as a share of the item's words. A document
+leaks an item from `THRESHOLD` on: half of the item verbatim, or all of it with a quarter of the words
 changed.
 
+No such alignment is missed. One of m matches and e errors scores m - e >= n / 2 for an item of n words,
+its matches form e + 1 runs at most, so m - e - 1 pairs of neighbouring words or more are shared, and
+m + e <= n + n / 2 words of the text are spanned: `needed(n)` shared pairs within `span(n)` words. A pass
+over the documents keeps the pairs that a bitmap of the benchmark's pairs lets through (`BITMAP_BITS`
+bits at any benchmark size) where they lie that close for some length of item, and the words around them.
+Counting them gives the frequency of every pair in the corpus. Of an item's pairs, all but the
+`needed(n) - 1` most frequent become seeds: any `needed(n)` of its pairs hold one of them. Seeds joined
+with the passages give pairs of passage and item; those that share enough are aligned.
+
 A passage that a third of the documents share gives one row per document and item; the seed side of
 the join is unique per code and item, and Spark splits such skewed joins.
 
-Defined cases: null or empty texts and items match nothing, nor do items of less than `NGRAM` words;
+Defined cases: null or empty texts and items match nothing, nor do items of less than `LEAST` words;
 rows repeating id and text are reported as often as they occur; items with equal texts are all
 reported. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 
@@ -31,9 +36,10 @@ from pyspark.sql import functions as F
 from emberfold.llm.common import doc_key, lookup, prepare, real_id, split_by_keys, stored, text_tie
 from emberfold.llm.words import Words, ngrams
 
-NGRAM = 4
-RARE = 4
+GRAM = 2
+LEAST = 4
 THRESHOLD = 0.5
+BAND = 1.1  # lengths of items within this factor are looked for together
 BITMAP_BITS = 24
 BUCKET = 32768  # bits that one row of Spark's bitmap functions holds
 CELLS = 2_000_000
@@ -45,6 +51,16 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.decode("utf-8", "replace").lower().encode().translate(_SPACES).split()
 
 
+def needed(words: int) -> int:
+    """Least number of pairs that a leaked item of so many words shares with the text."""
+    return max((words + 1) // 2 - 1, 1)
+
+
+def span(words: int) -> int:
+    """Most words of the text that the alignment of a leaked item of so many words takes."""
+    return words + words // 2
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
@@ -52,7 +68,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text"):
             found = words.hashes(normal_words(text.as_py() or b""))
             packed.append(found.tobytes())
-            codes.append(ngrams(found, NGRAM).view(np.int64))
+            codes.append((ngrams(found, GRAM) if len(found) >= LEAST else found[:0]).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("item_id"), pa.array(packed, pa.binary()), pa.array(codes, pa.list_(pa.int64()))],
             names=["item_id", "item_words", "codes"])
@@ -70,8 +86,20 @@ def _bitmap(spark: SparkSession, codes: DataFrame) -> np.ndarray:
     return flags
 
 
-def _hits(flags: object, margin: int):
-    """Passages around the benchmark n-grams of each document."""
+def _close(at: np.ndarray, bands: list[tuple[int, int]]) -> np.ndarray:
+    """Those of the places that lie in a group close enough for an item of some band (least, most words)."""
+    edges = np.zeros(len(at) + 1, np.int64)
+    for least, most in bands:
+        some = needed(least)
+        first = np.flatnonzero(at[some - 1 :] - at[: max(len(at) - some + 1, 0)] + GRAM <= span(most))
+        edges[: len(at)] += np.bincount(first, minlength=len(at))
+        edges -= np.bincount(first + some, minlength=len(at) + 1)
+    return at[np.cumsum(edges[:-1]) > 0]
+
+
+def _hits(flags: object, bands: list[tuple[int, int]]):
+    """Passages around the benchmark's pairs of words where enough of them are close together."""
+    margin = span(max((most for _, most in bands), default=0))
     names = ["doc", "tie", "words", "codes"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
@@ -84,12 +112,13 @@ def _hits(flags: object, margin: int):
                 if not text:
                     continue
                 found = words.hashes(normal_words(text))
-                codes = ngrams(found, NGRAM)
+                codes = ngrams(found, GRAM)
                 bit = (codes >> shift).astype(np.int64)
                 at = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                at = _close(at, bands)
                 if len(at):
                     for group in np.split(at, np.flatnonzero(np.diff(at) > 2 * margin) + 1):
-                        low, high = max(group[0] - margin, 0), group[-1] + NGRAM + margin
+                        low, high = max(group[0] - margin, 0), group[-1] + GRAM + margin
                         rows.append((doc, tie, found[low:high].tobytes(), np.unique(codes[group]).view(np.int64)))
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -132,31 +161,41 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items = [np.frombuffer(x, np.uint64) for x in batch.column("item_words").to_pylist()]
         passages = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
+        some = [k for k, (item, passage) in enumerate(zip(items, passages))
+                if np.isin(ngrams(item, GRAM), ngrams(passage, GRAM)).sum() >= needed(len(item))]
+        items, passages = [items[k] for k in some], [passages[k] for k in some]
         scores = align(items, passages) / np.array([len(x) for x in items], float)
+        keys = batch.select(["doc", "tie", "item"]).take(pa.array(some, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc", "tie", "item")), pa.array(scores, pa.float64())],
-            names=["doc", "tie", "item", "score"])
+            [*keys.columns, pa.array(scores, pa.float64())], names=["doc", "tie", "item", "score"])
 
 
 def scores(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, tie, item, score) of documents and items with a common seed, and the items by number."""
+    """(doc, tie, item, score) of documents and items that share enough pairs, and the items by number."""
     spark = prepare(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     items, seen = stored(
         items.mapInArrow(_items, "item_id long, item_words binary, codes array<long>").withColumn(
-            "item", F.monotonically_increasing_id()), "items", F.max(F.length("item_words")).alias("longest"),
-        F.sum(F.length("item_words")).alias("bytes"))
+            "item", F.monotonically_increasing_id()), "items", F.sum(F.length("item_words")).alias("bytes"))
     grams = items.select("item", F.posexplode("codes").alias("at", "code"))
     flags = spark.sparkContext.broadcast(_bitmap(spark, grams))
-    longest = (seen["longest"] or 0) // 8
+    length = F.size("codes") + (GRAM - 1)
+    bands = [(row.least, row.most) for row in items.where(F.size("codes") > 0).groupBy(
+        F.floor(F.log(length) / math.log(BAND)).alias("band")).agg(
+        F.min(length).alias("least"), F.max(length).alias("most")).collect()]
     texts = docs.select(doc_key().alias("doc"), text_tie().alias("tie"), F.col("text").cast("binary").alias("text"))
     passages, _ = stored(texts.mapInArrow(
-        _hits(flags, longest + longest // 2), "doc long, tie long, words binary, codes array<long>").withColumn(
+        _hits(flags, bands), "doc long, tie long, words binary, codes array<long>").withColumn(
             "passage", F.monotonically_increasing_id()), "passages")
     hits = passages.select("passage", F.explode("codes").alias("code"))
     frequency = hits.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    seeds = grams.join(frequency, "code").groupBy("item", (F.col("at") / RARE).cast("int").alias("block")).agg(
-        F.min(F.struct("n", "at", "code")).alias("rarest")).select("item", "rarest.code").distinct()
+    # Any needed(n) of the n - 1 pairs of an item hold one of all but the needed(n) - 1 most frequent.
+    known = grams.join(frequency, "code", "left").groupBy("item").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "code"))).alias("rising"))
+    pairs_of = F.size("rising")
+    rarest = pairs_of - F.greatest(F.floor((pairs_of + GRAM) / 2).cast("int") - 1, F.lit(1)) + 1
+    seeds = known.select("item", F.explode(F.slice("rising", F.lit(1), rarest)).alias("seed")).where(
+        "seed.n > 0").select("item", "seed.code").distinct()
     seeds, counted = stored(seeds, "seeds")
     pairs = hits.join(lookup(seeds, counted["rows"]), "code").select("passage", "item").distinct()
     aligned = passages.drop("codes").join(pairs, "passage").join(

@@ -69,6 +69,33 @@ def test_seed_of_an_item_whose_words_are_all_common(spark):
     assert d.leaks(odd.documents(spark, docs), benchmark).count() == 30
 
 
+def test_every_edited_copy_beside_a_verbatim_one_is_found(spark):
+    items = [(k, " ".join(prose(40 + k, n))) for k, n in enumerate((15, 20, 33, 47, 59))]
+    texts = []
+    for _, text in items:
+        words = text.split()
+        texts.append(words)
+        for step in range(4, 11):
+            for start in range(step):
+                texts.append([f"new{j}" if j % step == start else w for j, w in enumerate(words)])
+        for step in range(2, 6):
+            texts.append([x for j, w in enumerate(words) for x in ([w] if j % step else [w, f"more{j}"])])
+            texts.append([w for j, w in enumerate(words) if j % step])
+        texts.append(words[: len(words) // 2 + 1])
+    docs = [(k, " ".join(prose(5000 + k, 20) + words + prose(9000 + k, 20)), "en", "s") for k, words in enumerate(texts)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in d.leaks(odd.documents(spark, docs), benchmark).collect()}
+    hashes = d.Words().hashes
+    wanted = [hashes(d.normal_words(t.encode())) for _, t in items]
+    held = [hashes(d.normal_words(t.encode())) for _, t, *_ in docs]
+    expected = {}
+    for item, words in enumerate(wanted):
+        for doc, best in enumerate(d.align([words] * len(held), held).tolist()):
+            if 2 * best >= len(words):
+                expected[doc, item] = round(best / len(words), 6)
+    assert found == expected and len(found) > 200
+
+
 def test_odd_rows(spark):
     schema = "item_id long, text string, doc string, words string"
     benchmark = spark.createDataFrame(
