@@ -197,3 +197,29 @@ def test_a_backlog_longer_than_the_window_reaches_history(spark, raw, tmp_path):
     days = (DAY - timedelta(days=9), DAY)
     assert store.read_history(spark, root, "fire_detections", *days).count() == 2
     assert store.read_history(spark, root, "fire_clusters", *days).count() == 2
+
+
+def test_a_backlog_equals_the_same_rows_in_hourly_batches(spark, raw, tmp_path):
+    hours = [
+        [seen(-60 * 14), seen(-60 * 14, north=9000), seen(-60 * 14, north=12000)],
+        [seen(-60, north=300), seen(-60, north=10500)],  # the second joins two clusters of the hour before
+        [seen(60 * 11, north=600)]]  # the first hour has left the window
+    days = (DAY - timedelta(days=9), DAY)
+    schema = raw(seen()).schema
+
+    def history(name, batches):
+        root, landing = str(tmp_path / name), str(tmp_path / f"{name}-landing")
+        for batch in batches:
+            raw(*batch).coalesce(1).write.mode("append").parquet(landing)
+            ingest.start_snapshots(
+                spark.readStream.schema(schema).parquet(landing), root, str(tmp_path / f"{name}-offsets"),
+                clock=lambda: NOW, availableNow=True).awaitTermination()
+        read = lambda table: store.read_history(spark, root, table, *days).collect()
+        clusters = sorted((r.snapshot_at, r.cluster_id, r.status, r.merged_into_cluster_id or "", r.detection_count)
+                          for r in read("fire_clusters"))
+        return clusters, sorted((r.observed_at, r.latitude, r.cluster_id) for r in read("fire_detections"))
+
+    clusters, detections = history("backlog", [[row for rows in hours for row in rows]])
+    assert (clusters, detections) == history("hourly", hours)
+    assert len({c for _, north, c in detections if north < where(5000)[0]}) == 1
+    assert [status for _, _, status, _, _ in clusters].count("merged") == 1
