@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from emberfold.llm import chat, classifier, decontaminate, extract, jaccard_join, line_dedup, mixture, quality_rules, urls, warc
+from emberfold.llm import chat, classifier, decontaminate, extract, infill, jaccard_join, line_dedup, mixture, quality_rules, urls, warc
 from emberfold.llm.common import prepare, table
 
 
@@ -53,6 +53,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(prepare(spark), sf_dir)
 
@@ -61,10 +65,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
         op1_decontamination, op2_source_mixing, op3_ngram_jaccard_join, op4_chat_formatting,
         op5_url_filters, op6_warc, op7_line_dedup,
-        op8_quality_classifier, op9_quality_rules, op10_html_extraction,
+        op8_quality_classifier, op9_quality_rules, op10_html_extraction, op12_fill_in_middle,
         pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_source_mixing": mixture.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL,
-            "op6_warc": warc.ORACLE_SQL}
+            "op6_warc": warc.ORACLE_SQL, "op12_fill_in_middle": infill.ORACLE_SQL}
