@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 import corpus_pipeline
-from emberfold.llm import chat, classifier, decontaminate, extract, infill, jaccard_join, line_dedup, mixture, quality_rules, urls, warc
+from emberfold.llm import chat, classifier, decontaminate, extract, infill, jaccard_join, line_dedup, mixture, quality_rules, tokenfile, urls, warc
 from emberfold.llm.common import prepare, table
 
 
@@ -57,6 +59,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(prepare(spark), sf_dir)
 
@@ -65,7 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
         op1_decontamination, op2_source_mixing, op3_ngram_jaccard_join, op4_chat_formatting,
         op5_url_filters, op6_warc, op7_line_dedup,
-        op8_quality_classifier, op9_quality_rules, op10_html_extraction, op12_fill_in_middle,
+        op8_quality_classifier, op9_quality_rules, op10_html_extraction, op12_fill_in_middle, op13_token_ids,
         pipeline)}
 
 
