@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 import corpus_pipeline
-from emberfold.llm import chat, classifier, decontaminate, extract, infill, jaccard_join, line_dedup, mixture, quality_rules, tokenfile, urls, warc
+from emberfold.llm import chat, classifier, decontaminate, extract, infill, jaccard_join, line_dedup, mixture, negatives, quality_rules, tokenfile, urls, warc
 from emberfold.llm.common import prepare, table
 
 
@@ -55,6 +55,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
@@ -71,10 +75,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
         op1_decontamination, op2_source_mixing, op3_ngram_jaccard_join, op4_chat_formatting,
         op5_url_filters, op6_warc, op7_line_dedup,
-        op8_quality_classifier, op9_quality_rules, op10_html_extraction, op12_fill_in_middle, op13_token_ids,
+        op8_quality_classifier, op9_quality_rules, op10_html_extraction,
+        op11_hard_negatives, op12_fill_in_middle, op13_token_ids,
         pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_source_mixing": mixture.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL,
-            "op6_warc": warc.ORACLE_SQL, "op12_fill_in_middle": infill.ORACLE_SQL}
+            "op6_warc": warc.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL,
+            "op12_fill_in_middle": infill.ORACLE_SQL}
