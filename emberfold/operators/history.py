@@ -33,16 +33,17 @@ def detection_id(dataset: str = SOURCE_DATASET) -> Column:
         fixed_text(F.col("latitude"), 5), fixed_text(F.col("longitude"), 5)), 256)
 
 
-def first_per_id(members: DataFrame) -> DataFrame:
-    """One row per detection_id: the first in (time, position, satellite) order.
+def first_per_id(members: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per detection_id (or other keys): the first in (time, position, satellite) order.
 
     A mergeable minimum, so any number of copies of one observation collapses before the shuffle.
     """
     order = ["observed_at", "latitude", "longitude", "satellite", "confidence", "frp"]
-    rest = [c for c in members.columns if c not in [*order, "detection_id"]]
+    keys = keys or ["detection_id"]
+    rest = [c for c in members.columns if c not in [*order, *keys]]
     return (
-        members.groupBy("detection_id").agg(F.min(F.struct(*order, *rest)).alias("row"))
-        .select("detection_id", "row.*")
+        members.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("row"))
+        .select(*keys, "row.*")
     )
 
 
@@ -102,12 +103,16 @@ def collisions(identities: DataFrame, merged: DataFrame) -> DataFrame:
     return claims.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("claims")).where("claims > 1")
 
 
+def _moment(at: datetime | Column) -> Column:
+    return at if isinstance(at, Column) else F.lit(at).cast("timestamp")
+
+
 def snapshot_rows(
-    described: DataFrame, facts: DataFrame, identities: DataFrame, merged: DataFrame, at: datetime
+    described: DataFrame, facts: DataFrame, identities: DataFrame, merged: DataFrame, at: datetime | Column
 ) -> DataFrame:
     """Active rows of every cluster plus one tombstone per merged id, in the history schema."""
     counted = facts.groupBy("component").agg(F.count(F.lit(1)).alias("distinct_members"))
-    moment = F.lit(at).cast("timestamp")
+    moment = _moment(at)
     whole = described.join(counted, "component").join(identities, "component")
     shared = [
         moment.alias("snapshot_at"), "center", geojson_polygon(F.col("boundary")).alias("boundary")]
@@ -125,25 +130,25 @@ def snapshot_rows(
     return active.unionByName(tombstones).select(*[f.name for f in FIRE_CLUSTERS])
 
 
-def snapshot_members(facts: DataFrame, identities: DataFrame, at: datetime, total_rows: int) -> DataFrame:
+def snapshot_members(facts: DataFrame, identities: DataFrame, at: datetime | Column, total_rows: int) -> DataFrame:
     """One row per detection of a cluster in this snapshot, in the history schema."""
-    moment = F.lit(at).cast("timestamp")
+    moment = _moment(at)
     return join_lookup(facts, identities, "component", total_rows).select(
         "cluster_id", moment.alias("snapshot_at"), "detection_id", moment.cast("date").alias("snapshot_date"))
 
 
 def detection_facts(
-    facts: DataFrame, identities: DataFrame, at: datetime, total_rows: int
+    facts: DataFrame, identities: DataFrame, at: datetime | Column, total_rows: int, first: Column | None = None
 ) -> DataFrame:
-    """One row per distinct detection with its cluster, in the history schema."""
-    moment = F.lit(at).cast("timestamp")
+    """One row per distinct detection with its cluster, in the history schema; `first` came in a snapshot before."""
+    moment = _moment(at)
     flags = F.col("quality_flags") if "quality_flags" in facts.columns else F.array().cast("array<string>")
     return join_lookup(facts, identities, "component", total_rows).select(
         "detection_id", "cluster_id", moment.alias("cluster_snapshot_at"), "observed_at",
         "latitude", "longitude", F.struct("latitude", "longitude").alias("position"),
         "satellite", "confidence", F.when(F.col("frp") >= 0, F.col("frp")).alias("frp_mw"),
         flags.alias("quality_flags"), F.lit(SOURCE_DATASET).alias("source_dataset"),
-        moment.alias("first_ingested_at"), moment.alias("last_ingested_at"),
+        (moment if first is None else first).alias("first_ingested_at"), moment.alias("last_ingested_at"),
         F.to_date("observed_at").alias("observation_date"),
     ).select(*[f.name for f in FIRE_DETECTIONS])
 

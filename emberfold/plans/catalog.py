@@ -179,7 +179,7 @@ def _history_rows(facts: DataFrame, at: datetime, frp=None) -> DataFrame:
 
 def _stored_facts(spark, d) -> str:
     root = new_path(spark, "history")
-    store.write_partitions(_history_rows(_facts(spark, d), NOW), root, "fire_detections")
+    store.commit(spark, root, {"fire_detections": _history_rows(_facts(spark, d), NOW)})
     return root
 
 
@@ -478,7 +478,7 @@ def h04_prior_assignments(spark, d):
     root = new_path(spark, "history")
     facts = _facts(spark, d)
     earlier = facts.where(F.col("observed_at") < F.lit(MIDDLE))
-    store.write_partitions(_history_rows(earlier, NOW), root, "fire_detections")
+    store.commit(spark, root, {"fire_detections": _history_rows(earlier, NOW)})
     past = store.read_history(spark, root, "fire_detections", date(2024, 1, 10), LAST_DAY)
     return H.prior_assignments(facts, past, facts.count())
 
@@ -574,8 +574,8 @@ def h12_upsert_clusters(spark, d):
         return df.withColumns(values)
 
     early = daily.where(F.col("snapshot_date") < F.lit(MIDDLE.date()))
-    store.upsert(spark, root, "fire_clusters", rows(early, "low", "first"))
-    store.upsert(spark, root, "fire_clusters", rows(daily, "high", "second"))
+    store.upsert(spark, root, {"fire_clusters": written(rows(early, "low", "first"), "early")[0]})
+    store.upsert(spark, root, {"fire_clusters": written(rows(daily, "high", "second"), "daily")[0]})
     return store.read_history(spark, root, "fire_clusters", FIRST_DAY, LAST_DAY).select(
         "cluster_id", F.col("snapshot_date").cast("string"), "detection_count", "maximum_frp_mw",
         "source_dataset", "severity")
@@ -587,8 +587,8 @@ def h13_upsert_detections(spark, d):
     facts = _facts(spark, d)
     early = facts.where(F.col("observed_at") < F.lit(MIDDLE)).withColumn("cluster_id", F.lit("cluster-old"))
     first = datetime(2024, 1, 30, tzinfo=timezone.utc)
-    store.upsert(spark, root, "fire_detections", _history_rows(early, first))
-    store.upsert(spark, root, "fire_detections", _history_rows(facts, NOW, F.col("frp") + 1))
+    store.upsert(spark, root, {"fire_detections": written(_history_rows(early, first), "early")[0]})
+    store.upsert(spark, root, {"fire_detections": written(_history_rows(facts, NOW, F.col("frp") + 1), "later")[0]})
     return store.read_history(spark, root, "fire_detections", FIRST_DAY, LAST_DAY).select(
         "detection_id", "cluster_id", "frp_mw", F.col("observation_date").cast("string"),
         _stamp("first_ingested_at"), _stamp("last_ingested_at"))
@@ -646,8 +646,8 @@ def h17_schema_evolution(spark, d):
     root = new_path(spark, "history")
     rows = _history_rows(_facts(spark, d), NOW)
     old = F.col("observed_at") < F.lit(MIDDLE)
-    store.write_partitions(rows.where(old).drop("quality_flags"), root, "fire_detections")
-    store.write_partitions(rows.where(~old), root, "fire_detections")
+    store.commit(spark, root, {"fire_detections": rows.where(old).drop("quality_flags")})
+    store.commit(spark, root, {"fire_detections": rows.where(~old)})
     return _per_day(spark, root).agg(
         F.count(F.lit(1)).alias("detections"),
         F.count_if(F.col("quality_flags").isNull()).alias("without_flags"))
@@ -749,15 +749,17 @@ def _event_stream(spark, d) -> DataFrame:
 
 @query
 def t01_stream_snapshots(spark, d):
-    root = new_path(spark, "history")
-    stream = derive.detections(_event_stream(spark, d))
+    """Hourly snapshots of a window of one day, from a stream that brings the month in two parts."""
+    landing, root = new_path(spark, "landing"), new_path(spark, "history")
+    derive.detections(_events(spark, d)).repartitionByRange(2, "observed_at").write.parquet(landing)
+    stream = spark.readStream.schema(spark.read.parquet(landing).schema).option("maxFilesPerTrigger", 1).parquet(landing)
     ingest.start_snapshots(
-        stream, root, new_path(spark, "offsets"), DAYS, availableNow=True).awaitTermination()
-    held = store.read_history(spark, root, "fire_detections", FIRST_DAY, LAST_DAY)
-    active = store.read_history(spark, root, "fire_clusters", FIRST_DAY, LAST_DAY).where("status = 'active'")
-    counted = held.select(F.lit(1).alias("d"), F.lit(0).alias("c")).unionByName(
-        active.select(F.lit(0).alias("d"), F.lit(1).alias("c")))
-    return counted.agg(F.sum("d").alias("detections"), F.sum("c").alias("clusters"))
+        stream, root, new_path(spark, "offsets"), 1, clock=lambda: NOW, availableNow=True).awaitTermination()
+    rows = store.read_history(spark, root, "fire_clusters", FIRST_DAY, LAST_DAY).where("status = 'active'")
+    return rows.groupBy(_stamp("snapshot_at")).agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("detection_count").alias("detections"),
+        F.max("detection_count").alias("largest"),
+        F.sum(F.round(F.col("total_frp_mw") * 100).cast("long")).alias("frp_cents"))
 
 
 @query

@@ -88,6 +88,17 @@ UNION
 SELECT reach.a, pairs.e FROM reach JOIN pairs ON reach.b = pairs.s),
 comp AS (SELECT a AS event_id, min(b) AS component FROM reach GROUP BY a)"""
 
+_HOURLY = _COMP[: _COMP.index("reach AS (")] + """hours AS (SELECT date_trunc('hour', observed_at) AS h, max(observed_at) AS snapshot_time FROM det GROUP BY 1),
+alive AS (SELECT h, event_id, frp FROM det JOIN hours ON observed_at BETWEEN snapshot_time - INTERVAL 1 DAY AND snapshot_time),
+hour_pairs AS (SELECT a.h, s, e FROM pairs JOIN alive a ON a.event_id = s JOIN alive b ON b.event_id = e AND b.h = a.h),
+reach AS (
+SELECT h, event_id AS a, event_id AS b FROM alive
+UNION
+SELECT reach.h, reach.a, hour_pairs.e FROM reach JOIN hour_pairs ON reach.b = hour_pairs.s AND reach.h = hour_pairs.h),
+hourly AS (
+SELECT h, component, count(*) AS n, sum(CAST(round(coalesce(frp, 0) * 100) AS BIGINT)) AS cents
+FROM (SELECT h, a AS event_id, min(b) AS component FROM reach GROUP BY ALL) JOIN alive USING (h, event_id) GROUP BY ALL)"""
+
 _INC = _COMP + """,
 members AS (
 SELECT det.*, component,
@@ -367,7 +378,8 @@ FROM events GROUP BY CAST(ts AS DATE)""",
   ELSE hours || CASE WHEN hours = 1 THEN ' hour ago' ELSE ' hours ago' END END AS age_label
 FROM (SELECT *, CAST(floor(minutes / 60e0 + 0.5) AS BIGINT) AS hours FROM (
   SELECT *, greatest(1, CAST(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_at)) / 60e0 + 0.5) AS BIGINT)) AS minutes FROM spot))""",
-        "t01_stream_snapshots": f"""WITH {_COMP} SELECT (SELECT count(*) FROM det) AS detections, (SELECT count(DISTINCT component) FROM comp) AS clusters""",
+        "t01_stream_snapshots": f"""WITH {_HOURLY} SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS snapshot_at, count(*) AS clusters, sum(n) AS detections,
+  max(n) AS largest, sum(cents) AS frp_cents FROM hourly GROUP BY h""",
         "t02_stream_dedup": ann + """SELECT DISTINCT sha256('VIIRS_NOAA20_NRT|' || satellite || '|' || strftime(observed_at, '%Y-%m-%dT%H:%M:%S') || '+00:00|' || printf('%.5f', latitude) || '|' || printf('%.5f', longitude)) AS detection_id FROM grouped""",
         "t03_quarantine": ann + """SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM (
   SELECT CASE WHEN reject_reason = 'invalid_coordinates' THEN reject_reason

@@ -12,7 +12,7 @@ from emberfold import settings
 from emberfold.operators import history as H
 from emberfold.operators import normalize as N
 from emberfold.operators.incidents import assign_clusters, describe
-from emberfold.session import pin_utc, written
+from emberfold.session import pin_utc, scratch, written
 from emberfold.sources import history as store
 
 
@@ -73,6 +73,11 @@ def run_snapshot(
     pin_utc(spark)
     if stale:
         raise StaleSource("a snapshot needs fresh data")
+    with scratch(spark):
+        return _run(spark, source, root, at, days, bounds, storage_limit, held)
+
+
+def _run(spark, source, root, at, days, bounds, storage_limit, held) -> DataFrame:
     hour = H.hour_of(N.utc(at))
     clean, report = N.normalize(source, days, at, bounds)
     if held is not None:
@@ -93,10 +98,8 @@ def run_snapshot(
     batch = build_batch(clean, prior_of, at)
     store.check_relationships(batch.detections, batch.clusters)
     store.check_storage(spark, root, storage_limit)
-    # Clusters first: a reader never sees a detection whose snapshot row is not there yet.
-    store.upsert(spark, root, "fire_clusters", batch.clusters)
-    store.upsert(spark, root, "fire_cluster_members", batch.members)
-    store.upsert(spark, root, "fire_detections", batch.detections)
+    store.upsert(spark, root, {
+        "fire_clusters": batch.clusters, "fire_cluster_members": batch.members, "fire_detections": batch.detections})
     return _result(
         spark, "ingested", hour, batch.detection_rows, batch.cluster_rows, batch.merged)
 

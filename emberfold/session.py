@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_scopes = threading.local()
 
 
 def build_session(app: str = "emberfold", master: str | None = None, **conf: str) -> SparkSession:
@@ -79,7 +83,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/emberfold-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/emberfold-{name}-{uuid.uuid4().hex}"
+    if open_scopes := getattr(_scopes, "open", None):
+        open_scopes[-1].append(path)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it knows it."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediates written inside when the block ends, also by an error.
+
+    Nothing that outlives the block may read them: results must be in tables of their own by then.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.open.pop():
+            fs, jvm_path = file_system(spark, path)
+            fs.delete(jvm_path, True)
 
 
 def written(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:

@@ -1,21 +1,27 @@
-"""The history tables: partitioned Parquet, read by date range, upserted by partition.
-
-Parquet has no MERGE, so an upsert rewrites the partitions a batch touches. The merged rows are
-written aside first and then replace those partitions with dynamic partition overwrite. Re-running
-the same batch gives the same tables, which is how an interrupted publish is repaired.
+"""The history tables: partitioned Parquet, read by date range, upserted by partition, published together.
+
+Data folders are immutable. A commit writes the partitions it changes, of all tables, into folders of its
+own and then publishes one manifest, a small file that names the folder of every partition, by a rename to
+the next version number. Readers resolve the newest manifest once and see one version of all tables: a
+job that stops anywhere before the rename changes nothing, and of two writers of one version the
+second fails. Parquet has no MERGE, so an upsert rewrites the partitions a batch touches. Folders that
+recent versions do not name are removed by `expire_versions`.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberfold import settings
 from emberfold.operators.normalize import InvalidBatch
-from emberfold.session import written
+from emberfold.session import file_system
 from emberfold.settings import FIRE_CLUSTER_MEMBERS, FIRE_CLUSTERS, FIRE_DETECTIONS
 
 
@@ -23,6 +29,10 @@ class DuplicateKeys(ValueError):
     """A batch names one row of a table twice, so what it means to write is not defined."""
 
 
+class ConcurrentCommit(RuntimeError):
+    """Another writer has published the version that this one was to be."""
+
+
 class StorageLimit(RuntimeError):
     """The history tables are at or above the size their owner allows."""
 
@@ -45,35 +55,81 @@ TABLES = {
 }
 
 
-def _path(root: str, table: str) -> str:
-    return f"{root.rstrip('/')}/{table}"
+MANIFESTS = "_versions"
+#: Versions whose folders stay when others are removed: readers that began on them can finish.
+KEPT_VERSIONS = 3
 
+#: version, and for each table the folder (below the table's) of each date
+Manifest = dict
 
-def _fs(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+def _path(root: str, table: str) -> str:
+    return f"{root.rstrip('/')}/{table}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, jvm_path = _fs(spark, path)
+    fs, jvm_path = file_system(spark, path)
     return fs.exists(jvm_path)
 
 
-def read_history(spark: SparkSession, root: str, table: str, start: date, end: date) -> DataFrame:
+def versions(spark: SparkSession, root: str) -> list[int]:
+    fs, path = file_system(spark, _path(root, MANIFESTS))
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+
+def read_manifest(spark: SparkSession, root: str, version: int | None = None) -> Manifest:
+    """The manifest of a version, by default the newest; an empty one where nothing was published."""
+    if version is None:
+        known = versions(spark, root)
+        if not known:
+            return {"version": 0, "tables": {t: {} for t in TABLES}}
+        version = known[-1]
+    fs, path = file_system(spark, f"{_path(root, MANIFESTS)}/{version:012d}.json")
+    stream = fs.open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, root: str, manifest: Manifest) -> None:
+    folder = _path(root, MANIFESTS)
+    fs, aside = file_system(spark, f"{folder}/.{uuid.uuid4().hex}")
+    _, target = file_system(spark, f"{folder}/{manifest['version']:012d}.json")
+    stream = fs.create(aside)
+    stream.write(bytearray(json.dumps(manifest).encode()))
+    stream.close()
+    if fs.exists(target) or not fs.rename(aside, target):
+        fs.delete(aside, False)
+        raise ConcurrentCommit(f"version {manifest['version']} is already published")
+
+
+def read_history(
+    spark: SparkSession, root: str, table: str, start: date, end: date, manifest: Manifest | None = None
+) -> DataFrame:
     """One history table between two dates, both inclusive. The range is required: it prunes partitions.
 
-    The full schema is given, so files written before a column existed read as NULL there.
+    The full schema is given, so files written before a column existed read as NULL there. Reads of
+    several tables that share a `manifest` see one version.
     """
     if not isinstance(start, date) or not isinstance(end, date):
         raise TypeError("a date range is required")
+    return _read(spark, root, table, start, end, manifest or read_manifest(spark, root))
+
+
+def _read(spark: SparkSession, root: str, table: str, start: date, end: date, manifest: Manifest) -> DataFrame:
     spec = TABLES[table]
-    path = _path(root, table)
-    if not exists(spark, path):
+    folders = [f for day, f in sorted(manifest["tables"][table].items()) if start.isoformat() <= day <= end.isoformat()]
+    if not folders:
         return spark.createDataFrame([], spec["schema"])
+    path = _path(root, table)
     day = F.col(spec["partition"])
     return (
-        spark.read.schema(spec["schema"]).parquet(path)
-        .where((day >= F.lit(start)) & (day <= F.lit(end)))
+        spark.read.schema(spec["schema"]).option("basePath", path).parquet(*[f"{path}/{f}" for f in folders])
+        .where((day >= F.lit(start)) & (day <= F.lit(end))).select(*[f.name for f in spec["schema"]])
     )
 
 
@@ -95,58 +151,82 @@ def merge_rows(current: DataFrame, batch: DataFrame, keys: list[str], update: li
     return joined.select(*[pick(c) for c in current.columns])
 
 
-def upsert(spark: SparkSession, root: str, table: str, batch: DataFrame) -> None:
-    """Merge a batch, unique on the table's keys, into the partitions it touches.
+def upsert(
+    spark: SparkSession, root: str, batches: dict[str, DataFrame], replaced: dict[str, Column] | None = None
+) -> None:
+    """Merge batches, each unique on its table's keys, into the history, as one version.
 
-    A detection keeps its partition for life (the date is part of its identity), and so does a
-    snapshot row, so only partitions named by the batch can hold a match.
+    Batches are read several times, so pass written tables. A detection keeps its partition for life (the
+    date is part of its identity), and so does a snapshot row, so only partitions named by the batch can
+    hold a match. `replaced` marks held rows of a table that go, whether a batch row matches them or not.
     """
-    spec = TABLES[table]
-    partition = spec["partition"]
-    columns = [f.name for f in spec["schema"]]
-    batch, state = written(
-        batch.select(*columns), f"batch-{table}",
-        F.min(partition).alias("start"), F.max(partition).alias("end"))
-    if state["rows"] == 0:
-        return
-    repeated = batch.groupBy(*spec["keys"]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if repeated:
-        raise DuplicateKeys(f"a batch for {table} must be unique on {', '.join(spec['keys'])}")
-    # Distinct partition dates: bounded by the retention, a few in practice.
-    days = batch.select(partition).distinct()
-    current = read_history(spark, root, table, state["start"], state["end"]).join(
-        F.broadcast(days), partition, "left_semi").select(*columns)
-    merged, _ = written(
-        merge_rows(current, batch, spec["keys"] + [partition], spec["update"]), f"merged-{table}")
-    write_partitions(merged.select(*columns), root, table)
-
-
-def write_partitions(df: DataFrame, root: str, table: str) -> None:
-    """Replace the partitions present in `df`, ranged and sorted by the table's layout columns.
+    manifest = read_manifest(spark, root)
+    replaced = replaced or {}
+    changes = {}
+    for table, batch in batches.items():
+        spec = TABLES[table]
+        partition = spec["partition"]
+        columns = [f.name for f in spec["schema"]]
+        batch = batch.select(*columns)
+        state = batch.groupBy(*spec["keys"], partition).agg(F.count(F.lit(1)).alias("n")).agg(
+            F.max("n").alias("most"), F.min(partition).alias("start"), F.max(partition).alias("end")).first()
+        if state.most is None:
+            continue
+        if state.most > 1:
+            raise DuplicateKeys(f"a batch for {table} must be unique on {', '.join(spec['keys'])}")
+        # Distinct partition dates: bounded by the retention, a few in practice.
+        days = batch.select(partition).distinct()
+        current = _read(spark, root, table, state.start, state.end, manifest).join(
+            F.broadcast(days), partition, "left_semi").select(*columns)
+        if table in replaced:
+            current = current.where(~replaced[table])
+        changes[table] = merge_rows(current, batch, spec["keys"] + [partition], spec["update"]).select(*columns)
+    commit(spark, root, changes, manifest)
+
+
+def commit(
+    spark: SparkSession, root: str, changes: dict[str, DataFrame], manifest: Manifest | None = None,
+    dropped: Callable[[str, date], bool] = lambda table, day: False,
+) -> Manifest:
+    """Replace the partitions present in `changes`, and leave out those `dropped`, as the version after `manifest`."""
+    manifest = manifest or read_manifest(spark, root)
+    tables = {t: {d: f for d, f in manifest["tables"].get(t, {}).items() if not dropped(t, date.fromisoformat(d))} for t in TABLES}
+    for table, rows in changes.items():
+        folder = f"commit={uuid.uuid4().hex}"
+        write_partitions(rows, f"{_path(root, table)}/{folder}", table)
+        tables[table] |= {day.isoformat(): f"{folder}/{TABLES[table]['partition']}={day.isoformat()}"
+                          for day in _dates(spark, f"{_path(root, table)}/{folder}", TABLES[table]["partition"])}
+    following = {"version": manifest["version"] + 1, "tables": tables}
+    _publish(spark, root, following)
+    return following
+
+
+def write_partitions(df: DataFrame, path: str, table: str) -> None:
+    """Write whole partitions to a new folder, ranged and sorted by the table's layout columns.
 
     Ranges over (date, layout) split a large date over many files whose statistics let a read by
     cluster skip most of them. The row key comes last, so a cluster holding a large share of the
     rows still spreads over many tasks.
     """
     spec = TABLES[table]
-    partition, path = spec["partition"], _path(root, table)
+    partition = spec["partition"]
     order = [partition, *spec["layout"], *[k for k in spec["keys"] if k not in spec["layout"]]]
     (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition).parquet(path)
+        .write.mode("errorifexists").partitionBy(partition).parquet(path)
     )
 
 
+def _dates(spark: SparkSession, path: str, partition: str) -> list[date]:
+    fs, jvm_path = file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(jvm_path)] if fs.exists(jvm_path) else []
+    return sorted(date.fromisoformat(n[len(partition) + 1:]) for n in names if n.startswith(f"{partition}="))
+
+
 def partitions(spark: SparkSession, root: str, table: str) -> list[date]:
-    """Dates that have a partition, from the directory listing alone."""
-    fs, path = _fs(spark, _path(root, table))
-    if not fs.exists(path):
-        return []
-    prefix = TABLES[table]["partition"] + "="
-    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-    return sorted(date.fromisoformat(n[len(prefix):]) for n in names if n.startswith(prefix))
+    """Dates that have a partition, from the manifest alone."""
+    return sorted(map(date.fromisoformat, read_manifest(spark, root)["tables"][table]))
 
 
 def expired_partitions(
@@ -159,20 +239,44 @@ def expire_partitions(
     spark: SparkSession, root: str, table: str, now: date,
     days: int = settings.RETENTION_DAYS, dry_run: bool = True,
 ) -> list[date]:
-    """Drop partitions older than the retention; by default only lists them."""
+    """Drop partitions older than the retention from the next version; by default only lists them."""
     old = expired_partitions(spark, root, table, now, days)
-    if not dry_run:
-        for day in old:
-            fs, path = _fs(spark, f"{_path(root, table)}/{TABLES[table]['partition']}={day.isoformat()}")
-            fs.delete(path, True)
+    if old and not dry_run:
+        commit(spark, root, {}, dropped=lambda t, day: t == table and day in old)
     return old
 
 
+def expire_versions(spark: SparkSession, root: str, keep: int = KEPT_VERSIONS) -> list[str]:
+    """Remove all manifests but the last `keep`, and the folders that only older versions, or stopped jobs, name.
+
+    Not to be run beside a writer, whose folders no manifest names yet. Returns the folders removed.
+    """
+    known = versions(spark, root)
+    kept = [read_manifest(spark, root, v) for v in known[-keep:]]
+    removed = []
+    for table in TABLES:
+        fs, path = file_system(spark, _path(root, table))
+        named = {f for m in kept for f in m["tables"].get(table, {}).values()}
+        for commit_folder in fs.listStatus(path) if fs.exists(path) else []:
+            inside = [s.getPath() for s in fs.listStatus(commit_folder.getPath())]
+            held = {f"{commit_folder.getPath().getName()}/{p.getName()}": p for p in inside}
+            dead = {name: p for name, p in held.items() if name not in named}
+            if not named.intersection(held):
+                dead = {commit_folder.getPath().getName(): commit_folder.getPath()}
+            for name, p in dead.items():
+                fs.delete(p, True)
+                removed.append(f"{table}/{name}")
+    for version in known[:-keep]:
+        fs, path = file_system(spark, f"{_path(root, MANIFESTS)}/{version:012d}.json")
+        fs.delete(path, False)
+    return removed
+
+
 def storage_bytes(spark: SparkSession, root: str) -> int:
-    """Bytes held by both tables, from file metadata."""
+    """Bytes held by the tables, from file metadata."""
     total = 0
     for table in TABLES:
-        fs, path = _fs(spark, _path(root, table))
+        fs, path = file_system(spark, _path(root, table))
         if fs.exists(path):
             total += fs.getContentSummary(path).getLength()
     return total

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import DAY, NOW, START, UTC, seen, where
 from emberfold.operators import history as H
 from emberfold.operators import normalize as N
-from emberfold.plans import snapshot
+from emberfold.plans import hours, snapshot
 from emberfold.sources import history as store
 from emberfold.streaming import ingest
 
@@ -28,7 +29,6 @@ def ids_of(detections):
 
 
 def test_identity_of_one_observation(spark):
-    import hashlib
     latitude, longitude = where(250, -90)
     rows = spark.createDataFrame(
         [(latitude, longitude, START, name) for name in ("N21", " N21 ")],
@@ -163,7 +163,7 @@ def test_json_pages_keep_every_value(spark, raw):
 
 def test_retention(spark, raw, tmp_path):
     batch = batch_of(spark, clean(raw, seen(80), seen(-45)), {})
-    store.upsert(spark, str(tmp_path), "fire_detections", batch.detections)
+    store.upsert(spark, str(tmp_path), {"fire_detections": batch.detections})
     listed = store.expire_partitions(spark, str(tmp_path), "fire_detections", DAY, days=0)
     assert listed == [DAY - timedelta(days=1)]
     assert store.partitions(spark, str(tmp_path), "fire_detections") == [DAY - timedelta(days=1), DAY]
@@ -174,7 +174,7 @@ def test_retention(spark, raw, tmp_path):
 def test_a_batch_with_repeated_keys_is_refused(spark, raw, tmp_path):
     batch = batch_of(spark, clean(raw, seen(75)), {})
     with pytest.raises(store.DuplicateKeys):
-        store.upsert(spark, str(tmp_path), "fire_detections", batch.detections.unionByName(batch.detections))
+        store.upsert(spark, str(tmp_path), {"fire_detections": batch.detections.unionByName(batch.detections)})
 
 
 def test_held_rows_keep_flags_and_new_rows_win(spark, raw, tmp_path):
@@ -182,7 +182,7 @@ def test_held_rows_keep_flags_and_new_rows_win(spark, raw, tmp_path):
     at = lambda m: START + timedelta(minutes=m)
     snapshot.run_snapshot(spark, raw(seen(60, craft="N21\x07", frp=5.5), seen(60, east=500, frp=7)), root, at(60))
     later = raw(seen(60, east=500, frp=9.9), seen(90, east=900))
-    snapshot.run_snapshot(spark, later, root, at(90), held=ingest.held_detections(spark, root, at(90), 1))
+    snapshot.run_snapshot(spark, later, root, at(90), held=hours.held_detections(spark, root, at(90) - timedelta(days=1), at(90)))
     rows = {r.longitude: r for r in store.read_history(spark, root, "fire_detections", DAY, DAY).collect()}
     assert len(rows) == 3 and len({r.cluster_id for r in rows.values()}) == 1
     assert (rows[where()[1]].frp_mw, rows[where()[1]].quality_flags) == (5.5, ["satellite_sanitized"])
@@ -199,27 +199,146 @@ def test_a_backlog_longer_than_the_window_reaches_history(spark, raw, tmp_path):
     assert store.read_history(spark, root, "fire_clusters", *days).count() == 2
 
 
-def test_a_backlog_equals_the_same_rows_in_hourly_batches(spark, raw, tmp_path):
-    hours = [
-        [seen(-60 * 14), seen(-60 * 14, north=9000), seen(-60 * 14, north=12000)],
-        [seen(-60, north=300), seen(-60, north=10500)],  # the second joins two clusters of the hour before
-        [seen(60 * 11, north=600)]]  # the first hour has left the window
-    days = (DAY - timedelta(days=9), DAY)
+def test_names_over_hours_equal_one_hour_after_the_other(spark):
+    """Many small cases at once: ties, merges, splits, returning names, and ids of earlier snapshots."""
+    rng = random.Random(11)
+    facts, heads, prior, expected, gone = [], [], [], {}, {}
+    name = lambda text: "cluster-" + hashlib.sha256(text.encode()).hexdigest()[:16]
+    stamp = lambda hour: 3600 * hour
+    for case in range(150):
+        at = {f"d{case}-{i}": rng.randint(0, 2) for i in range(7)}
+        alive = {i: (rng.randint(0, 3), rng.randint(3, 6)) for i in at}
+        held = {i: f"p{case}-{rng.randint(0, 2)}" for i, (start, _) in alive.items() if start == 0 and rng.random() < 0.6}
+        prior += list(held.items())
+        before = {}
+        for hour in range(6):
+            groups = {}
+            for i, (start, end) in alive.items():
+                if start <= hour <= end:
+                    groups.setdefault(rng.randint(0, 2), []).append(i)
+            components = {}
+            for g, members in groups.items():
+                key = (case * 10 + hour) * 10 + g
+                components[key] = (min(at[i] for i in members), f"i{rng.randint(0, 3)}", [(i, at[i]) for i in members])
+                heads.append((key, components[key][0], components[key][1]))
+                facts += [(hour, key, i, at[i], stamp(hour), before.get(i)) for i in members]
+            kept, merged = greedy({k: (f, (inc, k), m) for k, (f, inc, m) in components.items()}, held)
+            claims = [c for c in kept.values() if c] + [m for ms in merged.values() for m in ms]
+            held = {}
+            for key, (_, _, members) in components.items():
+                anchor = min((t, i) for i, t in members)[1]
+                own = kept[key] or name(anchor)
+                if not kept[key] and own in claims:
+                    own = name(f"{anchor}|{stamp(hour)}")
+                expected[key], gone[key] = own, merged[key]
+                held.update({i: own for i, _ in members})
+            before = {i: key for key, (_, _, members) in components.items() for i, _ in members}
+    moment = lambda c: F.timestamp_seconds(F.col(c)).alias(c)
+    fact_df = spark.createDataFrame(
+        facts, "number int, component long, detection_id string, observed_at long, snapshot_hour long, before long").select(
+        "number", "component", "detection_id", moment("observed_at"), moment("snapshot_hour"), "before")
+    head_df = spark.createDataFrame(heads, "component long, first_detected_at long, incident_id string").select(
+        "component", moment("first_detected_at"), "incident_id")
+    names, merged = hours.resolve_hours(
+        fact_df, head_df, spark.createDataFrame(prior, "detection_id string, prior_id string"))
+    got = {r.component: r.cluster_id for r in names.collect()}
+    assert got == expected
+    found = {}
+    for r in merged.collect():
+        found.setdefault(r.component, set()).add(r.merged_id)
+    assert found == {k: v for k, v in gone.items() if v}
+    assert any(v != name(i) for v in got.values() for i in ["x"]) and len(set(got.values())) > 100
+
+
+def plain_history(rows):
+    """Snapshot after snapshot of (minutes, metres north): active clusters, tombstones and final assignments."""
+    text = lambda row: hashlib.sha256("|".join([
+        "VIIRS_NOAA20_NRT", "N21", (START + timedelta(minutes=row[0])).isoformat(),
+        *(f"{c:.5f}" for c in where(row[1]))]).encode()).hexdigest()
+    held, clusters, final = {}, [], {}
+    for hour in sorted({m // 60 for m, _ in rows}):
+        end = max(m for m, _ in rows if m // 60 == hour)
+        left = [r for r in rows if end - 1440 <= r[0] <= end]
+        components = {}
+        while left:
+            group, grown = [left.pop()], True
+            while grown:
+                near = [r for r in left if any(abs(r[1] - g[1]) <= 2000 for g in group)]
+                group, left, grown = group + near, [r for r in left if r not in near], bool(near)
+            components[len(components)] = (min(group)[0], "", [(text(r), r[0]) for r in group])
+        kept, merged = greedy(components, held)
+        held = {}
+        for key, (_, _, members) in components.items():
+            own = kept[key] or "cluster-" + hashlib.sha256(min((t, i) for i, t in members)[1].encode()).hexdigest()[:16]
+            at = START + timedelta(hours=hour)
+            clusters.append((at, own, "active", "", len(members)))
+            clusters += [(at, m, "merged", own, 0) for m in merged[key]]
+            held.update({i: own for i, _ in members})
+            final.update({i: (own, at) for i, _ in members})
+    return sorted(clusters), sorted((i, *v) for i, v in final.items())
+
+
+def test_tables_depend_on_the_rows_alone(spark, raw, tmp_path):
+    """One batch, and batches that cut hours and come late, give what snapshot after snapshot gives."""
+    rng = random.Random(5)
+    rows = [(m, 1500 * rng.randint(0, 9)) for m in rng.sample(range(-600, 760, 5), 26)]
+    rows += [(-1500, 0), (-1500 + 1430, 1500), (-1490, 3000)]  # two that are joined, and joined again later
     schema = raw(seen()).schema
+    days = (DAY - timedelta(days=9), DAY)
 
     def history(name, batches):
         root, landing = str(tmp_path / name), str(tmp_path / f"{name}-landing")
         for batch in batches:
-            raw(*batch).coalesce(1).write.mode("append").parquet(landing)
+            raw(*[seen(m, north=n) for m, n in batch]).coalesce(1).write.mode("append").parquet(landing)
             ingest.start_snapshots(
                 spark.readStream.schema(schema).parquet(landing), root, str(tmp_path / f"{name}-offsets"),
                 clock=lambda: NOW, availableNow=True).awaitTermination()
         read = lambda table: store.read_history(spark, root, table, *days).collect()
-        clusters = sorted((r.snapshot_at, r.cluster_id, r.status, r.merged_into_cluster_id or "", r.detection_count)
+        clusters = sorted((r.snapshot_at.replace(tzinfo=UTC), r.cluster_id, r.status, r.merged_into_cluster_id or "", r.detection_count)
                           for r in read("fire_clusters"))
-        return clusters, sorted((r.observed_at, r.latitude, r.cluster_id) for r in read("fire_detections"))
+        return clusters, sorted((r.detection_id, r.cluster_id, r.cluster_snapshot_at.replace(tzinfo=UTC)) for r in read("fire_detections"))
+
+    expected = plain_history(rows)
+    assert {s for _, _, s, _, _ in expected[0]} == {"active", "merged"}
+    assert history("once", [rows]) == expected
+    late = [r for r in rows if r[1] % 4000 == 0]
+    assert history("parts", [[r for r in rows if r not in late], late]) == expected
 
-    clusters, detections = history("backlog", [[row for rows in hours for row in rows]])
-    assert (clusters, detections) == history("hourly", hours)
-    assert len({c for _, north, c in detections if north < where(5000)[0]}) == 1
-    assert [status for _, _, status, _, _ in clusters].count("merged") == 1
+
+def test_a_stopped_commit_leaves_the_version_before(spark, raw, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    batch = batch_of(spark, clean(raw, seen(80), seen(95, north=300)), {})
+    whole = {"fire_clusters": batch.clusters, "fire_cluster_members": batch.members, "fire_detections": batch.detections}
+    store.upsert(spark, root, whole)
+    count = lambda: [store.read_history(spark, root, t, DAY, DAY).count() for t in whole]
+    reader = store.read_history(spark, root, "fire_clusters", DAY, DAY)
+    before = count()
+    other = batch.clusters.withColumn("cluster_id", F.lit("cluster-other"))
+
+    def stop(*_):
+        raise RuntimeError("killed")
+
+    for step in ("write_partitions", "_dates", "_publish"):
+        with monkeypatch.context() as patch:
+            patch.setattr(store, step, stop)
+            with pytest.raises(RuntimeError, match="killed"):
+                store.upsert(spark, root, {"fire_clusters": other})
+        assert count() == before and store.versions(spark, root) == [1]
+    stale = store.read_manifest(spark, root)
+    store.commit(spark, root, {"fire_clusters": other})
+    with pytest.raises(store.ConcurrentCommit):
+        store.commit(spark, root, {"fire_clusters": other}, stale)
+    assert reader.count() == before[0] and {r.cluster_id for r in reader.collect()} != {"cluster-other"}
+    removed = store.expire_versions(spark, root, keep=1)
+    assert len(removed) >= 3 and store.versions(spark, root) == [2]  # two stopped ones, and that of version 1
+    assert count() == [1, *before[1:]]
+
+
+def test_intermediates_go_when_the_run_ends(spark):
+    from emberfold.session import scratch, written
+    with pytest.raises(ValueError), scratch(spark):
+        kept = written(spark.range(3), "aside")[0]
+        path = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert store.exists(spark, path)
+        raise ValueError
+    assert not store.exists(spark, path)
