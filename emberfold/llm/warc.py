@@ -4,10 +4,12 @@ An archive starts with a skippable frame that holds the dictionary, as the WARC-
 says; then every record is one frame. Spark's text writer puts frames into files, one archive a task:
 its line separator is an empty skippable frame, which decoders pass over, so files stay valid streams,
 commits are Spark's own, and any file system that Spark reaches will do. The same separator lets
-the text reader split a large archive over tasks.
+the text reader split a large archive over tasks. A record whose compressed frame holds the separator by
+chance, or by intent of its page, is stored in a frame of raw blocks that end inside every occurrence,
+so no payload can break an archive apart.
 
 The dictionary is trained on the `SAMPLES` records with the smallest hash of their id, `SAMPLE_BYTES`
-of each at most; this affects sizes only. Where they are too few to train on, their bytes are the
+of each at most, chosen by hashes before any payload moves; this affects sizes only. Where they are too few to train on, their bytes are the
 dictionary.
 
 Payloads of at least `REVISIT_BYTES` that occur again are stored once: the record with the smallest
@@ -38,6 +40,7 @@ SAMPLES = 400
 SAMPLE_BYTES = 16384
 DICTIONARY_BYTES = 65536
 LEVEL = 3
+RAW_BLOCK = 1 << 16
 DATE = "1970-01-01T00:00:00Z"  # archives of one table are to be equal; a crawl has its own date
 
 # Fixed values of the formats.
@@ -88,36 +91,65 @@ def decided(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).withColumn("digest", F.sha2("html", 256))
     ids, _ = stored(rows.where(F.length("html") >= REVISIT_BYTES).select("page", "digest"), "payloads")
-    firsts = ids.groupBy("digest").agg(F.min("page").alias("refers_to"), F.max("page").alias("last")).where(
-        "refers_to < last").drop("last")
+    # Stored before it is joined, so that Spark can split the rows of a digest that many pages share.
+    firsts, _ = stored(ids.groupBy("digest").agg(F.min("page").alias("refers_to"), F.max("page").alias("last")).where(
+        "refers_to < last").drop("last"), "firsts")
     revisits, seen = stored(ids.join(firsts, "digest").where("page > refers_to").distinct(), "revisits")
     return rows.join(lookup(revisits, seen["rows"]), ["page", "digest"], "left")
 
 
 def dictionary(pages: DataFrame) -> bytes:
-    order = F.xxhash64(F.col("page_id").cast("long"))
-    rows = pages.select(order.alias("o"), F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("html")).where(
-        "html is not null").orderBy("o", "html").limit(SAMPLES).collect()
-    samples = [record(k, "http://example.org/", bytes(r.html), "0" * 64, None) for k, r in enumerate(rows)]
+    html = F.col("html").cast("binary")
+    rows = pages.where(html.isNotNull()).select(
+        F.xxhash64(F.col("page_id").cast("long")).alias("o"), F.xxhash64(html).alias("h"),
+        F.substring(html, 1, SAMPLE_BYTES).alias("html"))
+    chosen = rows.select("o", "h").distinct().orderBy("o", "h").limit(SAMPLES)
+    found = rows.join(F.broadcast(chosen), ["o", "h"]).groupBy("o", "h").agg(F.min("html").alias("html")).collect()
+    found.sort(key=lambda r: (r.o, r.h))
+    samples = [record(k, "http://example.org/", bytes(r.html), "0" * 64, None) for k, r in enumerate(found)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
+def raw_frame(data: bytes, dictionary_id: int) -> bytes:
+    """A frame of raw blocks in which the separator does not occur.
+
+    A block ends after the third byte of every separator in `data`; no block header can complete it, as
+    its fourth byte is followed by four zeros in `data` itself and a header's third byte is 0x10 at most.
+    """
+    cuts = [0]
+    at = data.find(EMPTY_FRAME)
+    while at >= 0:
+        cuts.append(at + 3)
+        at = data.find(EMPTY_FRAME, at + 3)
+    cuts.append(len(data))
+    spans = [(k, min(k + RAW_BLOCK, b)) for a, b in zip(cuts, cuts[1:]) for k in range(a, b, RAW_BLOCK)] or [(0, 0)]
+    # Eight bytes of content size, four of dictionary id, no checksum, one segment.
+    out = [FRAME_MAGIC, bytes([0b11100011]), struct.pack("<I", dictionary_id), struct.pack("<Q", len(data))]
+    for k, (a, b) in enumerate(spans):
+        out += [struct.pack("<I", (b - a) << 3 | (k == len(spans) - 1))[:3], data[a:b]]
+    return b"".join(out)
+
+
+def frame(data: bytes, compressor: zstandard.ZstdCompressor, dictionary_id: int) -> bytes:
+    packed = compressor.compress(data)
+    return packed if EMPTY_FRAME not in packed else raw_frame(data, dictionary_id)
+
+
 def _frames(words: bytes):
     """Dictionary frame, then a frame for each record of a partition."""
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-                  for level in (LEVEL, LEVEL + 1, LEVEL + 2)]
+        learned = zstandard.ZstdCompressionDict(words) if words else None
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=learned)
+        number = learned.dict_id() if learned else 0
         leading = [DICTIONARY_MAGIC + struct.pack("<I", len(words)) + words]
         for batch in batches:
             frames, leading = leading, []
             for row in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "html", "digest", "refers_to"))):
-                data = record(*row)
-                # A frame must not hold the separator by chance.
-                frames.append(next(f for f in (c.compress(data) for c in levels) if EMPTY_FRAME not in f))
+                frames.append(frame(record(*row), compressor, number))
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
     return compress

@@ -65,3 +65,27 @@ def test_damage_is_noticed(spark):
     except ValueError:
         return
     raise AssertionError("a changed payload was accepted")
+
+
+def test_no_payload_breaks_an_archive(spark):
+    """The separator at every offset, alone and repeated, inside text that compresses and text that does not."""
+    sign = "P*M\x18\0\0\0\0"
+    rows = [(k, "u", "<p>" + "x" * k + sign + "</p>") for k in range(40)]
+    rows += [(100 + k, "u", page(k) + sign * (k + 1) + "\u6f22" * k) for k in range(12)]
+    rows += [(200, "u", sign * 20_000), (201, "u", sign[3:] + sign + sign[:3]), (202, "u", "P*M" * 30 + "\x18\0\0\0\0\0\0")]
+    got = sorted([tuple(r) for r in w.archived(table(spark, rows)).collect()], key=str)
+    assert got == expected(rows)
+
+
+def test_raw_frames_hold_no_separator():
+    for before in range(20):
+        for after in range(12):
+            data = b"\0" * before + w.EMPTY_FRAME * 2 + b"\0" * after + w.EMPTY_FRAME[:before % 8] + b"x" * (70_000 * (after == 0))
+            made = w.raw_frame(data, 0)
+            assert w.EMPTY_FRAME not in made and zstandard.ZstdDecompressor().decompress(made) == data
+    learned = zstandard.ZstdCompressionDict(zstandard.train_dictionary(4096, [page(k).encode() for k in range(200)]).as_bytes())
+    data = page(3).encode() + w.EMPTY_FRAME
+    made = w.raw_frame(data, learned.dict_id())
+    assert zstandard.get_frame_parameters(made).dict_id == learned.dict_id()
+    assert zstandard.ZstdDecompressor(dict_data=learned).decompress(made) == data
+    assert w.raw_frame(b"", 0) and zstandard.ZstdDecompressor().decompress(w.raw_frame(b"x", 0)) == b"x"
