@@ -1,15 +1,21 @@
 """Leaf blocks of an HTML page, read tolerantly in one pass, inside tasks.
 
-A block is the text between two block-level boundaries. Scripts, styles, comments and the head are
-passed over; inline markup disappears; character references are decoded; white space becomes one
-space. Missing end tags are closed by what follows, stray ones are ignored, a tag or comment cut off
-at the end of the page ends it.
+A block is the text between two block-level boundaries. Scripts, styles, templates, comments, the head and
+the contents of text fields are passed over; all other text is read, also that of hidden elements, formulas,
+drawings and fallbacks. Inline markup disappears; character references are decoded; white space
+becomes one space. Missing end tags are closed by what follows, stray ones are ignored, a tag or comment
+cut off at the end of the page ends it.
+
+An element knows its parent and only the marks that none of its ancestors has, so pages of any depth take
+memory in proportion to their length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 # Element names of the HTML standard.
@@ -18,7 +24,7 @@ BLOCK = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol optgroup option p "
     "pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe object svg math head".split())
+RAW = frozenset("script style template title textarea head".split())
 ONE_LEVEL = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"),
              "th": ("tr", "table"), "option": ("select",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -34,15 +40,32 @@ SPACES = re.compile(r"\s+")
 class Element:
     tag: str
     names: tuple[str, ...]
-    hidden: bool = False
+    parent: Element | None
+    fresh: tuple[str, ...]  # marks of the element that its ancestors lack
 
 
 @dataclass
 class Leaf:
     text: str
-    path: tuple[Element, ...]
+    inside: Element | None
     linked: int  # characters inside links
 
+    def path(self) -> Iterator[Element]:
+        """The elements around, innermost first."""
+        element = self.inside
+        while element is not None:
+            yield element
+            element = element.parent
+
+
+def _marks(tag: str, names: tuple[str, ...], hidden: bool) -> set[str]:
+    marks = {f"in {tag}", *(f"name {n}" for n in names)}
+    if hidden:
+        marks.add("hidden")
+    if tag in ("article", "main"):
+        marks.add("inside")
+    return marks
+
 
 def _names(attributes: str) -> tuple[tuple[str, ...], bool]:
     names, hidden = [], False
@@ -60,6 +83,8 @@ def _names(attributes: str) -> tuple[tuple[str, ...], bool]:
 def leaves(page: str) -> list[Leaf]:
     out: list[Leaf] = []
     stack: list[Element] = []
+    marked: Counter[str] = Counter()  # how many open elements bear a mark as a fresh one: one or none
+    opened: Counter[str] = Counter()  # open elements by tag
     pieces: list[str] = []
     linked, links = 0, 0
 
@@ -67,15 +92,29 @@ def leaves(page: str) -> list[Leaf]:
         nonlocal linked
         text = SPACES.sub(" ", html.unescape("".join(pieces))).strip()
         pieces.clear()
-        if text and not any(e.hidden for e in stack):
-            out.append(Leaf(text, tuple(stack), min(linked, len(text))))
+        if text:
+            out.append(Leaf(text, stack[-1] if stack else None, min(linked, len(text))))
         linked = 0
 
+    def push(tag: str, names: tuple[str, ...], hidden: bool) -> None:
+        fresh = tuple(sorted(m for m in _marks(tag, names, hidden) if not marked[m]))
+        marked.update(fresh)
+        opened[tag] += 1
+        stack.append(Element(tag, names, stack[-1] if stack else None, fresh))
+
+    def pop() -> None:
+        element = stack.pop()
+        opened[element.tag] -= 1
+        marked.subtract(element.fresh)
+
     def close_to(tag: str, within: tuple[str, ...] = ()) -> None:
         """Close the nearest open `tag`, unless an element of `within` lies between."""
+        if not opened[tag]:
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k].tag == tag:
-                del stack[k:]
+                while len(stack) > k:
+                    pop()
                 return
             if stack[k].tag in within:
                 return
@@ -102,7 +141,7 @@ def leaves(page: str) -> list[Leaf]:
             finish = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             if tag == "head" and not finish:
                 finish = re.compile(r"(?=<body\b)", re.I).search(page, at)
-            at = finish.end() if finish else (at if tag in ("head", "svg", "math", "object") else end)
+            at = finish.end() if finish else (at if tag == "head" else end)
             if tag in BLOCK:
                 close_block()
             continue
@@ -117,15 +156,14 @@ def leaves(page: str) -> list[Leaf]:
             close_block()
             links = 0
             if closing:
-                if tag in HEADINGS or any(e.tag == tag for e in stack):
-                    close_to(tag)
+                close_to(tag)
                 continue
             if tag in ONE_LEVEL:
                 close_to(tag, ONE_LEVEL[tag])
             elif stack and stack[-1].tag in ("p", *HEADINGS):
-                stack.pop()
+                pop()
             names, hidden = _names(attributes) if attributes else ((), False)
             if not attributes.endswith("/"):
-                stack.append(Element(tag, names, hidden))
+                push(tag, names, hidden)
     close_block()
     return out

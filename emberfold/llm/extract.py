@@ -54,10 +54,11 @@ OTHER_NAMES = {
 Model = dict[str, tuple[float, float]]
 
 
-def features(page: list[Leaf]) -> list[list[str]]:
+def own_features(page: list[Leaf]) -> list[list[str]]:
+    """What describes each block but the marks of the elements around it."""
     out = []
     for k, leaf in enumerate(page):
-        text, path = leaf.text, leaf.path
+        text, inner = leaf.text, leaf.inside
         words = text.count(" ") + 1
         density = leaf.linked / len(text)
         found = {"bias", f"words {int(math.log2(words))}", f"links {math.ceil(density * 3)}",
@@ -65,18 +66,44 @@ def features(page: list[Leaf]) -> list[list[str]]:
         found.add("ends" if text[-1] in ".!?:;\"'”’)…。" else "open")
         if "©" in text or "copyright" in text[:200].lower():
             found.add("copyright")
-        if path:
-            found.add(f"own {path[-1].tag}")
-            found.add(f"pair {path[-1].tag} {int(math.log2(words)) > 2} {density > 0.5}")
-        for element in path:
-            found.add(f"in {element.tag}")
-            found.update(f"name {n}" for n in element.names)
-        if not any(e.tag in ("article", "main") for e in path):
-            found.add("outside")
+        if inner is not None:
+            found.add(f"own {inner.tag}")
+            found.add(f"pair {inner.tag} {int(math.log2(words)) > 2} {density > 0.5}")
         out.append(sorted(found))
     return out
 
 
+def features(page: list[Leaf]) -> list[list[str]]:
+    """All that describes each block; for pages of bounded size."""
+    return [sorted({*own, *(m for element in leaf.path() for m in element.fresh)})
+            for leaf, own in zip(page, own_features(page))]
+
+
+def block_scores(page: list[Leaf], model: Model) -> list[tuple[float, float]]:
+    """Sums of the weights of each block's features; those of an element serve all blocks in it."""
+    none = (0.0, 0.0)
+    sums: dict[int, tuple[float, float]] = {}
+
+    def around(element) -> tuple[float, float]:
+        chain = []
+        while element is not None and id(element) not in sums:
+            chain.append(element)
+            element = element.parent
+        total = sums[id(element)] if element is not None else none
+        for element in reversed(chain):
+            pairs = [model.get(m, none) for m in element.fresh]
+            total = (total[0] + sum(p[0] for p in pairs), total[1] + sum(p[1] for p in pairs))
+            sums[id(element)] = total
+        return total
+
+    out = []
+    for leaf, own in zip(page, own_features(page)):
+        pairs = [model.get(f, none) for f in own]
+        outer = around(leaf.inside)
+        out.append((outer[0] + sum(p[0] for p in pairs), outer[1] + sum(p[1] for p in pairs)))
+    return out
+
+
 def chain(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of blocks and of neighbours, and the log partition, by forward and backward sums."""
     n = len(unary)
@@ -122,22 +149,19 @@ def train(pages: list[tuple[list[list[str]], list[int]]]) -> tuple[Model, list[l
     return {f: (float(weights[k, 0]), float(weights[k, 1])) for f, k in index.items()}, moves.tolist()
 
 
-def decode(blocks: list[list[str]], model: Model, moves: list[list[float]]) -> list[int]:
+def decode(unary: list[tuple[float, float]], moves: list[list[float]]) -> list[int]:
     """The most probable labels, by Viterbi."""
     (m00, m01), (m10, m11) = moves
-    none = (0.0, 0.0)
     best0 = best1 = 0.0
     back: list[tuple[int, int]] = []
-    for k, block in enumerate(blocks):
-        pairs = [model.get(f, none) for f in block]
-        u0, u1 = sum(p[0] for p in pairs), sum(p[1] for p in pairs)
+    for k, (u0, u1) in enumerate(unary):
         if k == 0:
             best0, best1 = u0, u1
             continue
         from0, from1 = best1 + m10 > best0 + m00, best1 + m11 > best0 + m01
         back.append((int(from0), int(from1)))
         best0, best1 = (u0 + (best1 + m10 if from0 else best0 + m00), u1 + (best1 + m11 if from1 else best0 + m01))
-    if not blocks:
+    if not unary:
         return []
     labels = [int(best1 > best0)]
     for step in reversed(back):
@@ -266,18 +290,25 @@ def self_labelled(page: str) -> tuple[list[Leaf], list[int]] | None:
     """Blocks of a page whose elements say what is main text, or nothing."""
     found = leaves(page)
     outside = {name for names in OTHER_NAMES.values() for name in names}
+    if len(found) > SAMPLE_LEAVES:
+        return None
     labels = []
     for leaf in found:
-        tags = [e.tag for e in leaf.path]
+        tags = [e.tag for e in leaf.path()]
         main = any(t in ("article", "main") for t in tags)
-        other = ASIDE_TAGS.intersection(tags) or any(outside.intersection(e.names) for e in leaf.path)
+        other = ASIDE_TAGS.intersection(tags) or any(outside.intersection(e.names) for e in leaf.path())
         labels.append(int(main and not other))
-    return (found, labels) if 0 < sum(labels) and len(found) <= SAMPLE_LEAVES else None
+    return (found, labels) if sum(labels) else None
 
 
 def fit(pages: DataFrame) -> tuple[Model, list[list[float]]]:
-    rows = pages.select(F.xxhash64(F.col("page_id").cast("long")).alias("o"), F.col("html").cast("string").alias("html")).where(
-        (F.length("html") <= SAMPLE_BYTES) & F.col("html").rlike("(?i)<(article|main)[ >]")).orderBy("o", "html").limit(SAMPLE).collect()
+    html = F.col("html").cast("string")
+    usable = pages.where((F.length(html) <= SAMPLE_BYTES) & html.rlike("(?i)<(article|main)[ >]")).select(
+        F.xxhash64(F.col("page_id").cast("long")).alias("o"), F.xxhash64(html).alias("h"), html.alias("html"))
+    # Chosen by their hashes first, so that tasks send no pages that are not wanted.
+    chosen = usable.select("o", "h").distinct().orderBy("o", "h").limit(SAMPLE)
+    rows = usable.join(F.broadcast(chosen), ["o", "h"]).groupBy("o", "h").agg(F.min("html").alias("html")).collect()
+    rows.sort(key=lambda r: (r.o, r.h))
     examples = [e for row in rows if (e := self_labelled(row.html))]
     layouts = Layouts(SEED)
     examples += [layouts.page() for _ in range(LAYOUTS)]
@@ -286,7 +317,7 @@ def fit(pages: DataFrame) -> tuple[Model, list[list[float]]]:
 
 def main_text(page: str, model: Model, moves: list[list[float]]) -> str:
     found = leaves(page)
-    labels = decode(features(found), model, moves)
+    labels = decode(block_scores(found, model), moves)
     return "\n".join(leaf.text for leaf, label in zip(found, labels) if label)
 
 

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 
@@ -31,8 +32,7 @@ def test_chain_sums_equal_enumeration():
     for k in range(6):
         assert abs(single[k, 1] - sum(np.exp(s - total) for y, s in scores.items() if y[k])) < 1e-9
     assert abs(pairs[2, 1, 0] - sum(np.exp(s - total) for y, s in scores.items() if y[2] and not y[3])) < 1e-9
-    model = {f"f{k}": tuple(unary[k]) for k in range(6)}
-    assert tuple(e.decode([[f"f{k}"] for k in range(6)], model, moves.tolist())) == max(scores, key=scores.get)
+    assert tuple(e.decode([tuple(u) for u in unary], moves.tolist())) == max(scores, key=scores.get)
 
 
 def test_blocks_of_broken_pages():
@@ -43,7 +43,9 @@ def test_blocks_of_broken_pages():
     assert texts("a < b and c > d") == ["a < b and c > d"]
     assert texts("<p>a<p>b</div></p><br>c") == ["a", "b", "c"]
     assert texts('<a href="x>y">k</a><img alt="<p>">l') == ["kl"]
-    assert texts("<div hidden>z</div><p style='display: none'>y</p>q &#65;&bogus;") == ["q A&bogus;"]
+    assert texts("<div hidden>z</div><p style='display: none'>y</p>q &#65;&bogus;") == ["z", "y", "q A&bogus;"]
+    assert texts("<p>a<math><mi>x</mi></math>b<noscript>c</noscript><object>d<object>e</object>f</object><svg><title>no</title>g</svg>") == ["axbcdefg"]
+    assert texts("<p>a<textarea>no</textarea><p>b<template><p>no</template>c") == ["a", "bc"]
     assert texts("<![CDATA[a <p> b]]>") == ["a <p> b"]
     assert texts("<ul><li>a<ul><li>b</ul><li>c</ul>") == ["a", "b", "c"]
     assert len(texts("<p>x" * 50_000)) == 50_000
@@ -56,7 +58,7 @@ def test_held_out_layouts(spark):
     hit = wrong = missed = 0
     for _ in range(100):
         found, labels = held.page()
-        for a, b in zip(e.decode(e.features(found), model, moves), labels):
+        for a, b in zip(e.decode(e.block_scores(found, model), moves), labels):
             hit, wrong, missed = hit + (a and b), wrong + (a and not b), missed + (b and not a)
     assert 2 * hit / (2 * hit + wrong + missed) > 0.93
     got = e.extract(pages).collect()
@@ -72,3 +74,32 @@ def test_odd_rows(spark):
     assert (None, None, "", 0) in got and (2, "u", "", 0) in got and (3, "u", "", 0) in got
     assert [len(t.split("\n")) for k, _, t, _ in got if k == 4] == [20_000]
     assert e.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_scores_equal_sums_of_features():
+    random = np.random.default_rng(4)
+    for seed in range(20):
+        found, _ = e.Layouts(seed).page()
+        listed = e.features(found)
+        model = {f: tuple(random.normal(size=2)) for f in {f for block in listed for f in block}}
+        for block, score in zip(listed, e.block_scores(found, model)):
+            assert np.allclose(score, np.sum([model[f] for f in block], axis=0))
+
+
+def test_hidden_formulas_and_fallbacks_stay(spark):
+    story = "A long sentence of the story that goes on and on until its end."
+    page = PAGE.replace("<ul><li>An", f"<div hidden><p>{story}</div><p>Sum <math><mi>x</mi></math> is in this formula, as all know."
+                        f"<noscript><p>{story}</noscript><ul><li>An")
+    got = e.extract(spark.createDataFrame([(1, "u", page, None, None)], SCHEMA)).first().text
+    assert got.count(story) == 2 and "Sum x is in this formula, as all know." in got
+    assert got.replace(f"{story}\n", "").replace("Sum x is in this formula, as all know.\n", "") == TEXT
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    deep = leaves("<div class=a><p>x" * 50_000)
+    assert len(deep) == 50_000
+    scores = e.block_scores(deep, {"in div": (1.0, 0.0), "name a": (0.0, 1.0), "own p": (0.5, 0.5)})
+    assert set(scores) == {(1.5, 1.5)}
+    leaves("<div>" * 50_000 + "</span></b></li>" * 50_000 + "</div>" * 50_000)
+    assert time.process_time() - began < 30
