@@ -59,6 +59,116 @@ def test_similar_siblings_are_merged_and_different_ones_are_not(spark):
     assert {got[k] for k in range(60)} == {"block"} and {got[100 + k] for k in range(60)} == {"allow"}
 
 
+def slow_wildcard(part):
+    found = re.search(r"(\.[A-Za-z]{1,5})$", part)
+    return "*" + (found[1] if found else "")
+
+
+def slow_verdicts(rows):
+    """Tree, merging and purity, one host and family at a time; rows are (host, path, bad or None)."""
+    parts = [[slow_wildcard(p) if re.match(u.ITEM, p) else p for p in path.split("/") if p] for _, path, _ in rows]
+    names = [""] * len(rows)
+    for level in range(max(map(len, parts), default=0)):
+        groups = {}
+        for k, found in enumerate(parts):
+            if len(found) > level:
+                groups.setdefault((rows[k][0], names[k]), []).append(k)
+        for members in groups.values():
+            count = {}
+            for k in members:
+                count[parts[k][level]] = count.get(parts[k][level], 0) + 1
+            for k in members:
+                part = parts[k][level]
+                literal = count[part] >= u.LITERAL_URLS and count[part] >= u.LITERAL_SHARE * len(members)
+                names[k] += "/" + (part if literal else slow_wildcard(part))
+    known = [bad for _, _, bad in rows if bad is not None]
+    prior = sum(known) / len(known) if known else 0.0
+    templates = {}
+    for (host, _, bad), name in zip(rows, names):
+        labels = templates.setdefault((host, name), [])
+        if bad is not None:
+            labels.append(bad)
+    patterns = {key: [p for p in key[1].split("/") if p] for key in templates}
+    for level in range(max(map(len, patterns.values())) - 1, -1, -1):
+        families = {}
+        for key, pattern in patterns.items():
+            if len(pattern) > level:
+                family = families.setdefault((key[0], *pattern[:level], None, *pattern[level + 1:]), {})
+                family.setdefault(pattern[level], []).append(key)
+        for family in families.values():
+            pooled = {name: [bad for key in keys for bad in templates[key]] for name, keys in family.items()}
+            branches = []
+            for rate, name in sorted((sum(t) / len(t), name) for name, t in pooled.items() if t):
+                t = pooled[name]
+                if branches:
+                    last = branches[-1]
+                    share = (last[1] + sum(t)) / (last[0] + len(t))
+                    error = (share * (1 - share) * (1 / last[0] + 1 / len(t))) ** 0.5
+                    if abs(rate - last[1] / last[0]) <= u.Z * error:
+                        last[0], last[1] = last[0] + len(t), last[1] + sum(t)
+                        last[2].append(name)
+                        continue
+                branches.append([len(t), sum(t), [name]])
+            unknown = [name for name, t in pooled.items() if not t]
+            for _, _, inside in branches:
+                for name in inside + (unknown if len(branches) == 1 else []):
+                    for key in family[name]:
+                        patterns[key] = patterns[key][:level] + [min(inside)] + patterns[key][level + 1:]
+    groups = {}
+    for key, pattern in patterns.items():
+        groups.setdefault((key[0], *pattern), []).append(key)
+    rejected = set()
+    for members in groups.values():
+        t = [bad for key in members for bad in templates[key]]
+        if len(t) >= u.EVIDENCE and (sum(t) + u.STRENGTH * prior) / (len(t) + u.STRENGTH) >= u.PURITY:
+            rejected |= set(members)
+    return ["block" if (host, name) in rejected else "allow" for (host, _, _), name in zip(rows, names)]
+
+
+def labelled(spark, rows):
+    """Verdicts for (host, path, bad or None) without rules."""
+    urls = [(k, f"https://{host}/{path}") for k, (host, path, _) in enumerate(rows)]
+    marks = {k: bad for k, (_, _, bad) in enumerate(rows)}
+    known = [k for k, bad in marks.items() if bad is not None]
+    bad = [k for k, b in marks.items() if b]
+    label = F.when(F.col("page_id").isin(known), F.col("page_id").isin(bad))
+    return [r.verdict for r in u.judge(table(spark, urls), [], label).orderBy("page_id").collect()]
+
+
+def test_equals_the_slow_version(spark):
+    random.seed(8)
+    rows = []
+    for host in ("a.org", "b.org", "c.org"):
+        odds = {}
+        for _ in range(400):
+            depth = random.randint(0, 11)
+            path = "/".join(random.choice(["x", "y", "z", "p.html", "q.html", str(random.randint(0, 99)), f"n{random.randint(0, 200)}.php"])
+                            if level > 1 else f"s{random.randint(0, 4)}" for level in range(depth))
+            odds.setdefault(path[:5], random.choice([0, 0.05, 0.9, 1, 1]))
+            rows.append((host, path, random.random() < odds[path[:5]] if random.random() < 0.4 else None))
+    want = slow_verdicts(rows)
+    assert labelled(spark, rows) == want
+    assert 20 < want.count("block") < len(want) - 20
+
+
+def test_thin_siblings_are_judged_together(spark):
+    rows = [("t.org", f"sec{'abcdefghij'[s % 10]}{'xyz'[s // 10]}/{k}", True if k < 4 else None) for s in range(30) for k in range(10)]
+    rows += [("o.org", "ok", False)] * 3
+    assert set(labelled(spark, rows)[:300]) == {"block"}
+
+
+def test_unlabelled_siblings_join_a_uniform_family_only(spark):
+    rows = [("t.org", f"p{s}x/{k}", True if s != "c" else None) for s in "abc" for k in range(20)]
+    rows += [("m.org", f"p{s}x/{k}", {"a": True, "b": False}.get(s)) for s in "abc" for k in range(40)]
+    got = labelled(spark, rows)
+    assert set(got[:60]) == {"block"} and set(got[140:]) == {"allow"}
+
+
+def test_paths_that_differ_deep_down(spark):
+    rows = [("d.org", "a/b/c/d/e/f/g/" + ("good" if k % 2 else "bad") + f"/h/i/{k}", k % 2 == 0) for k in range(40)]
+    assert labelled(spark, rows) == ["block" if k % 2 == 0 else "allow" for k in range(40)]
+
+
 def test_odd_rows(spark):
     deep = "https://d.org/" + "/".join(f"s{k}" for k in range(40))
     rows = [(1, None), (1, None), (None, "https://a.com/x"), (2, "://"), (3, deep), (3, deep), (4, "https://l.org/" + "a" * 200_000)]
