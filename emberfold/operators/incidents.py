@@ -46,10 +46,7 @@ def assign_clusters(
     """
     usable, _ = written(coerce_for_clustering(detections), "usable")
     clusters = find_clusters(usable, radius_km, window_hours)
-    labelled, _ = written(clusters.label(usable), "labelled")
-    seconds = F.unix_seconds("observed_at")
-    bins = [F.floor(seconds / 3600), F.struct(F.floor(seconds / 60), F.floor(F.col("latitude") * 100))]
-    members, _ = written(with_place(labelled, ["component"], MEMBER_ORDER, bins), "members")
+    members, _ = written(with_place(clusters.label(usable), ["component"], MEMBER_ORDER), "members")
     return members, clusters
 
 
@@ -170,10 +167,8 @@ def ranked(described: DataFrame) -> DataFrame:
 
 
 def with_rank(described: DataFrame) -> DataFrame:
-    """Every incident with its `rank` in that order, counted over bins of its total."""
-    total = F.coalesce("total_frp_mw", F.lit(0.0))
-    bins = [-F.floor(F.log2(total + 1)), -F.floor(total * 100)]
-    return with_place(described, [], [F.desc("total_frp_mw"), "first_member"], bins, "rank")
+    """Every incident with its `rank` in that order."""
+    return with_place(described, [], [F.desc("total_frp_mw"), "first_member"], "rank")
 
 
 def detection_clusters(detections: DataFrame) -> DataFrame:

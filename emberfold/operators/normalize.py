@@ -262,10 +262,8 @@ def canonical_sort(df: DataFrame) -> DataFrame:
 
 
 def canonical_places(df: DataFrame) -> DataFrame:
-    """Every row with its `place` in canonical order, counted over days and minutes."""
-    day = F.coalesce(F.unix_date(F.to_date("acq_date")), F.lit(-1))
-    minute = F.coalesce(F.col("acq_time").cast("int"), F.lit(-1))
-    return with_place(df, [], CANONICAL_ORDER, [day, minute])
+    """Every row with its `place` in canonical order."""
+    return with_place(df, [], CANONICAL_ORDER)
 
 
 def coerce_for_clustering(df: DataFrame) -> DataFrame:

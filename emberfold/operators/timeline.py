@@ -1,8 +1,7 @@
 """Per-key time operators that hold when one key has a large share of the rows.
 
-Each works in two levels: inside short time bins of a key, and over one summary row per bin. The
-rows of a key therefore spread over its bins, and what is ordered per key grows with the time range
-only, not with the number of rows.
+Rows are cut into ranges of (key, time), however many of them one key or one hour holds. Each function works
+inside the ranges, and over one summary row of each range that a key touches.
 """
 
 from __future__ import annotations
@@ -22,17 +21,11 @@ from emberfold.functions.geo import SpaceTimeGrid
 from emberfold.operators.links import add_runs, build_slots
 from emberfold.operators.normalize import instant, utc
 from emberfold.functions.numeric import exact_round, exact_sum
-
-HOUR_US = 3600 * 1_000_000
-
-
-def _bin(ts: str, width_us: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(width_us)).cast("bigint")
-
+from emberfold.operators.ranking import in_ranges
 
 def freshness(
     reads: DataFrame, snapshots: DataFrame, key: str,
-    ttl_s: int = settings.CACHE_TTL_S, bin_us: int = HOUR_US,
+    ttl_s: int = settings.CACHE_TTL_S, parts: int | None = None,
 ) -> DataFrame:
     """For each read, the latest snapshot of its key at or before it, with age and staleness.
 
@@ -48,21 +41,19 @@ def freshness(
         key, F.col("succeeded_at").alias("at"), F.lit(0).alias("kind"),
         F.col("succeeded_at").alias("known"),
         *[F.lit(None).cast(nothing[c].dataType).alias(c) for c in others])
-    timeline = asked.unionByName(loaded).withColumn("bin", _bin("at", bin_us))
-    inside = W.partitionBy(key, "bin").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    timeline = in_ranges(asked.unionByName(loaded), [key, "at", "kind"], parts)
+    inside = W.partitionBy(key, "_part").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
     local = timeline.withColumn("local", F.max("known").over(inside)).where("kind = 1")
-    ends = snapshots.groupBy(key, _bin("succeeded_at", bin_us).alias("bin")).agg(
-        F.max("succeeded_at").alias("bin_last"))
-    # Bins that only hold reads also need the value carried over from earlier bins.
-    bins = ends.unionByName(reads.select(
-        key, _bin("read_at", bin_us).alias("bin"), F.lit(None).cast("timestamp").alias("bin_last")))
-    bins = bins.groupBy(key, "bin").agg(F.max("bin_last").alias("bin_last"))
-    earlier = W.partitionBy(key).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    carried = bins.select(key, "bin", F.max("bin_last").over(earlier).alias("carried"))
+    earlier = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = timeline.groupBy(key, "_part").agg(F.max("known").alias("last")).select(
+        F.col(key).alias("_key"), F.col("_part").alias("_at"), F.max("last").over(earlier).alias("carried")).where(
+        "carried IS NOT NULL")
+    # One key of a range at most goes on from the range before.
+    local = local.join(F.broadcast(carried), (F.col("_part") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key")), "left")
     found = F.coalesce("local", "carried")
     age = F.floor((F.unix_micros("at") - F.unix_micros("snapshot_at")) / 1_000_000)
     exact = (F.unix_micros("at") - F.unix_micros("snapshot_at")) >= ttl_s * 1_000_000
-    return local.join(carried, [key, "bin"], "left").withColumn("snapshot_at", found).select(
+    return local.withColumn("snapshot_at", found).select(
         key, F.col("at").alias("read_at"), *others, "snapshot_at",
         F.col("snapshot_at").isNotNull().alias("available"),
         age.alias("data_age_seconds"), exact.alias("data_stale"))
@@ -71,32 +62,33 @@ def freshness(
 def failure_backoff(
     attempts: DataFrame, key: str, tie: str,
     initial_s: int = settings.BACKOFF_INITIAL_S, maximum_s: int = settings.BACKOFF_MAX_S,
-    bin_us: int = HOUR_US,
+    parts: int | None = None,
 ) -> DataFrame:
     """Failed attempts with their place in the current failure streak and the delay it calls for.
 
     attempts: key, ts, succeeded and `tie`, a unique column that orders equal times. A success ends
     the streak.
     """
-    rows = attempts.withColumn("bin", _bin("ts", bin_us))
-    order = W.partitionBy(key, "bin").orderBy("ts", tie).rowsBetween(W.unboundedPreceding, 0)
+    rows = in_ranges(attempts, [key, "ts", tie], parts)
+    order = W.partitionBy(key, "_part").orderBy("ts", tie).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("island", F.count_if("succeeded").over(order))
-    island = W.partitionBy(key, "bin", "island").orderBy("ts", tie).rowsBetween(W.unboundedPreceding, 0)
+    island = W.partitionBy(key, "_part", "island").orderBy("ts", tie).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("failed_here", F.count_if(~F.col("succeeded")).over(island))
-    tail = rows.groupBy(key, "bin").agg(F.max(F.struct("island", "failed_here")).alias("last"))
-    by_bin = W.partitionBy(key).orderBy("bin")
-    running = by_bin.rowsBetween(W.unboundedPreceding, 0)
+    tail = rows.groupBy(key, "_part").agg(F.max(F.struct("island", "failed_here")).alias("last"))
+    by_part = W.partitionBy(key).orderBy("_part")
+    running = by_part.rowsBetween(W.unboundedPreceding, 0)
     tail = tail.withColumn("streak", F.sum(
         F.when(F.col("last.island") > 0, 1).otherwise(0)).over(running))
-    in_streak = W.partitionBy(key, "streak").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    in_streak = W.partitionBy(key, "streak").orderBy("_part").rowsBetween(W.unboundedPreceding, 0)
     tail = tail.withColumn("at_end", F.sum("last.failed_here").over(in_streak))
     carried = tail.select(
-        key, "bin", F.coalesce(F.lag("at_end").over(by_bin), F.lit(0)).alias("carried"))
-    count = F.col("failed_here") + F.when(F.col("island") == 0, F.col("carried")).otherwise(0)
+        F.col(key).alias("_key"), F.col("_part").alias("_at"), F.lag("at_end").over(by_part).alias("carried")).where("carried > 0")
+    same = (F.col("_part") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key"))
+    count = F.col("failed_here") + F.when(F.col("island") == 0, F.coalesce("carried", F.lit(0))).otherwise(0)
     delay = F.least(F.pow(F.lit(2), F.least(F.col("failure_count") - 1, F.lit(30))) * initial_s,
                     F.lit(maximum_s)).cast("bigint")
     return (
-        rows.where(~F.col("succeeded")).join(carried, [key, "bin"])
+        rows.where(~F.col("succeeded")).join(F.broadcast(carried), same, "left")
         .withColumn("failure_count", count)
         .select(key, "ts", tie, "failure_count", delay.alias("delay_seconds"))
         .withColumn("retry_at", F.col("ts") + F.make_dt_interval(secs=F.col("delay_seconds")))
@@ -145,14 +137,14 @@ class Bucket:
     ttl_s: float = settings.BUCKET_TTL_S
 
     def take(self, state: tuple[float, float] | None, now: float):
-        """((tokens, refilled_at) or None when refused, seconds to wait). A refusal changes nothing."""
-        if state is None or state[1] + self.ttl_s <= now:
-            tokens = float(self.capacity)
-        else:
-            tokens = min(float(self.capacity), state[0] + max(0.0, now - state[1]) / self.refill_s)
-        if tokens < 1:
-            return None, max(1, math.ceil((1 - tokens) * self.refill_s))
-        return (tokens - 1, now), 0
+        """((tokens, time) after the request, or None if it is refused; seconds to wait). A refusal changes nothing."""
+        spent = 0.0
+        if state is not None and now - state[1] < self.ttl_s:
+            spent = self.capacity - state[0] - max(now - state[1], 0.0) / self.refill_s
+        left = self.capacity - max(spent, 0.0)
+        if left >= 1:
+            return (left - 1, now), 0
+        return None, max(math.ceil(self.refill_s * (1 - left)), 1)
 
     @property
     def full_after_s(self) -> float:
