@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import public_tokenizers
-
 import corpus_pipeline
 from emberfold.llm import chat, classifier, decontaminate, extract, infill, jaccard_join, line_dedup, mixture, negatives, quality_rules, tokenfile, urls, warc
 from emberfold.llm.common import prepare, table
@@ -64,6 +62,8 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # vocabulary files; only this query needs them
+
     return tokenfile.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
