@@ -301,8 +301,10 @@ def a03_overview(spark, d):
 
 @query
 def a04_severity_histogram(spark, d):
+    merged = F.col("detection_count") % 3 == 0
     rows = _described(spark, d).select(
-        "severity", F.lit("active").alias("status"), F.lit(NOW.date()).alias("snapshot_date"))
+        "severity", F.when(merged, "merged").otherwise("active").alias("status"),
+        F.to_date("last_detected_at").alias("snapshot_date"))
     return stats.severity_histogram(rows, NOW.date())
 
 

