@@ -64,10 +64,16 @@ def exact_sum(value: Column) -> Column:
 
     Values that fit DECIMAL(20,8) are added exactly; anything larger is added as DOUBLE.
     """
+    exact, rest = sum_parts(value)
+    return F.when(F.count(value) > 0, exact.cast("double") + rest)
+
+
+def sum_parts(value: Column) -> tuple[Column, Column]:
+    """The two sums that `exact_sum` adds, 0 when empty. Parts of groups can be stored and added up later."""
     exact = value.try_cast(_SUM_TYPE)
     rest = F.when(exact.isNull(), value)
-    total = F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(rest), F.lit(0.0))
-    return F.when(F.count(value) > 0, total)
+    nothing = F.lit(0).cast("decimal(38,8)")
+    return F.coalesce(F.sum(exact).cast("decimal(38,8)"), nothing), F.coalesce(F.sum(rest), F.lit(0.0))
 
 
 def array_sum(values: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberfold import settings
 from emberfold.functions.geo import geojson_polygon
 from emberfold.functions.numeric import fixed_text
+from emberfold.operators.bloom import likely
 from emberfold.operators.incidents import iso_utc
 from emberfold.operators.joins import join_lookup
 from emberfold.session import written
@@ -50,11 +51,14 @@ def first_per_id(members: DataFrame, keys: list[str] | None = None) -> DataFrame
 def prior_assignments(batch_ids: DataFrame, history: DataFrame, rows: int) -> DataFrame:
     """(detection_id, prior_id) of batch detections already in history.
 
-    `history` is a date-pruned read; a small batch is broadcast after its size is known.
+    `history` is a date-pruned read; a small batch is broadcast after its size is known. Of a larger
+    one a Bloom filter goes to the history, so that only likely matches are shuffled to the join.
     """
     ids = batch_ids.select("detection_id").distinct()
     if rows <= settings.BROADCAST_ROWS:
         ids = F.broadcast(ids)
+    else:
+        history = likely(history, batch_ids, ["detection_id"], rows)
     return history.join(ids, "detection_id", "left_semi").select(
         "detection_id", F.col("cluster_id").alias("prior_id"))
 

@@ -15,7 +15,7 @@ from emberfold.operators import incidents as I
 from emberfold.operators import links, logs, reports, stats, timeline
 from emberfold.operators import normalize as N
 from emberfold.operators.joins import join_lookup
-from emberfold.plans import derive, snapshot
+from emberfold.plans import derive, reads, snapshot
 from emberfold.plans.derive import DAYS, NOW
 from emberfold.session import new_path, pin_utc, written
 from emberfold.settings import DETECTION_COLUMNS
@@ -596,6 +596,48 @@ def h13_upsert_detections(spark, d):
         _stamp("first_ingested_at"), _stamp("last_ingested_at"))
 
 
+# --- Reads of the last days ---------------------------------------------------------------------
+
+READ_AT = datetime(2024, 1, 30, 15, 30, tzinfo=timezone.utc)
+
+
+def _corrected(spark, d) -> str:
+    """A history whose first values were all too high and half of which was corrected by an upsert."""
+    root = new_path(spark, "history")
+    facts = _facts(spark, d)
+    store.commit(spark, root, {"fire_detections": _history_rows(facts, READ_AT, F.col("frp") * 2)})
+    right = _history_rows(facts.where("event_id % 2 = 0"), NOW)
+    store.upsert(spark, root, {"fire_detections": written(right, "right")[0]})
+    return root
+
+
+@query
+def t07_history_rolling(spark, d):
+    return reads.rolling_summary(spark, _corrected(spark, d), READ_AT, [1, 3, 7, 30])
+
+
+@query
+def a02_history_satellites(spark, d):
+    return reads.rolling_by_satellite(spark, _corrected(spark, d), READ_AT, 10)
+
+
+@query
+def a04_history_severity(spark, d):
+    """Snapshots of every day and hot spot, all low and active until an upsert says better."""
+    root = new_path(spark, "history")
+    daily = _facts(spark, d).groupBy("cluster_id", F.to_date("observed_at").alias("snapshot_date")).agg(
+        F.count(F.lit(1)).alias("detection_count"), F.max("frp").alias("maximum_frp_mw"))
+    held = {f.name: F.lit(None).cast(f.dataType) for f in settings.FIRE_CLUSTERS if f.name not in daily.columns}
+    rows = daily.withColumns(held | {
+        "snapshot_at": F.col("snapshot_date").cast("timestamp"), "severity": F.lit("low"), "status": F.lit("active")})
+    store.commit(spark, root, {"fire_clusters": rows})
+    better = rows.withColumns({
+        "severity": labels.severity(F.col("maximum_frp_mw")),
+        "status": F.when(F.col("detection_count") % 3 == 0, "merged").otherwise("active")})
+    store.upsert(spark, root, {"fire_clusters": written(better, "better")[0]})
+    return reads.severity_history(spark, root, MIDDLE.date())
+
+
 @query
 def h14_json_batches(spark, d):
     rows = _facts(spark, d).select(
@@ -861,6 +903,22 @@ def t07_sliding_stream(spark, d):
         _stamp("window_start"), "total_detections", "total_frp", "maximum_frp")
 
 
+@query
+def t07_sliding_append(spark, d):
+    """Windows closed by the watermark, from four deliveries of which the last brings rows three weeks late."""
+    landing, path = new_path(spark, "landing"), new_path(spark, "windows")
+    rows = derive.detections(_events(spark, d))
+    late = F.expr("event_id % 97 = 0 AND observed_at < TIMESTAMP '2024-01-08 00:00:00'")
+    delivery = F.when(late, 3).otherwise(F.least(F.floor((F.dayofmonth("observed_at") - 1) / 8), F.lit(3)))
+    for k in range(4):  # one after the other, as the source takes files by their time
+        rows.where(delivery == k).coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    ingest.start_sliding(
+        stream, path, new_path(spark, "offsets"), slide="6 hours", availableNow=True).awaitTermination()
+    return spark.read.parquet(path).select(
+        _stamp("window_start"), "total_detections", "total_frp", "maximum_frp")
+
+
 @query
 def t08_location_sessions(spark, d):
     return timeline.location_sessions(_clean(spark, d)).select(

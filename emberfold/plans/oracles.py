@@ -244,6 +244,7 @@ def statements() -> dict[str, str]:
     stats = """count(*) AS total_detections,
   coalesce(CAST(printf('%.2f', sum(CAST(round(frp * 100) AS BIGINT)) / 1e2 / count(frp)) AS DOUBLE), 0) AS average_frp,
   coalesce(max(frp), 0) AS maximum_frp"""
+    corrected = "(SELECT observed_at, satellite, CASE WHEN event_id % 2 = 0 THEN frp ELSE 2 * frp END AS frp FROM det)"
     sql = {
         "fire_stats": det + f"SELECT {stats} FROM det",
         "s01_read_csv": det + "SELECT " + ", ".join(
@@ -402,6 +403,16 @@ SELECT user_id, event_id, k AS failure_count, CAST(least(60 * 2 ** least(k - 1,
   ON observed_at >= TIMESTAMP '2024-01-31 00:00:00' - to_days(days) GROUP BY days""",
         "t07_sliding_stream": det + """SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS total_detections, sum(CAST(round(frp * 100) AS BIGINT)) / 1e2 AS total_frp, max(frp) AS maximum_frp
 FROM (SELECT frp, date_trunc('hour', observed_at) - to_hours(CAST(k * 6 AS INT)) - to_hours(CAST(hour(observed_at) % 6 AS INT)) AS window_start FROM det, range(4) AS r(k)) GROUP BY window_start""",
+        "t07_sliding_append": det + """SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS total_detections, sum(CAST(round(frp * 100) AS BIGINT)) / 1e2 AS total_frp, max(frp) AS maximum_frp
+FROM (SELECT frp, date_trunc('hour', observed_at) - to_hours(CAST(k * 6 AS INT)) - to_hours(CAST(hour(observed_at) % 6 AS INT)) AS window_start FROM det, range(4) AS r(k)
+  WHERE event_id % 97 <> 0 OR observed_at >= TIMESTAMP '2024-01-08 00:00:00') GROUP BY window_start
+HAVING window_start + INTERVAL 24 HOUR <= (SELECT max(observed_at) FROM det) - INTERVAL 24 HOUR""",
+        "t07_history_rolling": det + f"""SELECT CAST(days AS BIGINT) AS days, {stats} FROM {corrected} JOIN (VALUES (1), (3), (7), (30)) AS v(days)
+  ON observed_at BETWEEN TIMESTAMP '2024-01-30 15:30:00' - to_days(days) AND TIMESTAMP '2024-01-30 15:45:00' GROUP BY days""",
+        "a02_history_satellites": det + f"""SELECT satellite, {stats} FROM {corrected}
+WHERE observed_at BETWEEN TIMESTAMP '2024-01-20 15:30:00' AND TIMESTAMP '2024-01-30 15:45:00' GROUP BY satellite""",
+        "a04_history_severity": det + """SELECT CASE WHEN top < 10 THEN 'low' WHEN top < 50 THEN 'moderate' WHEN top < 150 THEN 'high' ELSE 'extreme' END AS severity, count(*) AS snapshot_count
+FROM (SELECT user_id, acq_date, count(*) AS n, max(frp) AS top FROM det GROUP BY ALL) WHERE n % 3 <> 0 AND acq_date >= '2024-01-09' GROUP BY ALL""",
         "t08_location_sessions": _sessions(),
         "l01_sanitize": """SELECT 'documents' AS origin, CAST(doc_id AS VARCHAR) AS id, left(regexp_replace(replace(replace(text, 'the', '[REDACTED]'), 'license', '[REDACTED]'), '[\\x00-\\x1f\\x7f]+', ' ', 'g'), 1000) AS text FROM documents
 UNION ALL SELECT 'conversations', conv_id || '-' || turn, left(regexp_replace(replace(replace(text, 'the', '[REDACTED]'), 'license', '[REDACTED]'), '[\\x00-\\x1f\\x7f]+', ' ', 'g'), 1000) FROM conversations""",

@@ -115,3 +115,21 @@ FIRE_CLUSTER_MEMBERS = T.StructType([
     T.StructField("detection_id", T.StringType()),
     T.StructField("snapshot_date", T.DateType()),
 ])
+
+# Partial statistics of a date. Sums are kept as an exact part and a rest too large for it.
+FIRE_DAILY_DETECTIONS = T.StructType([
+    T.StructField("satellite", T.StringType()),
+    T.StructField("detections", T.LongType()),
+    T.StructField("known_frp", T.LongType()),
+    T.StructField("exact_frp", T.DecimalType(38, 8)),
+    T.StructField("rest_frp", T.DoubleType()),
+    T.StructField("maximum_frp_mw", T.DoubleType()),
+    T.StructField("observation_date", T.DateType()),
+])
+
+FIRE_DAILY_CLUSTERS = T.StructType([
+    T.StructField("severity", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("snapshot_count", T.LongType()),
+    T.StructField("snapshot_date", T.DateType()),
+])

@@ -6,6 +6,9 @@ the next version number. Readers resolve the newest manifest once and see one ve
 job that stops anywhere before the rename changes nothing, and of two writers of one version the
 second fails. Parquet has no MERGE, so an upsert rewrites the partitions a batch touches. Folders that
 recent versions do not name are removed by `expire_versions`.
+
+Partial statistics of each date are tables of the same commit. They are made from the rows of a partition
+whenever it is written, so a corrected value leaves its date's count, sum and maximum with the old rows.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberfold import settings
+from emberfold.functions.numeric import sum_parts
+from emberfold.operators.bloom import with_likely, worthwhile
 from emberfold.operators.normalize import InvalidBatch
 from emberfold.session import file_system
-from emberfold.settings import FIRE_CLUSTER_MEMBERS, FIRE_CLUSTERS, FIRE_DETECTIONS
+from emberfold.settings import (
+    FIRE_CLUSTER_MEMBERS, FIRE_CLUSTERS, FIRE_DAILY_CLUSTERS, FIRE_DAILY_DETECTIONS, FIRE_DETECTIONS)
 
 
 class DuplicateKeys(ValueError):
@@ -52,9 +58,28 @@ TABLES = {
     "fire_cluster_members": dict(
         schema=FIRE_CLUSTER_MEMBERS, partition="snapshot_date", keys=["cluster_id", "snapshot_at", "detection_id"],
         layout=["cluster_id"], update=[]),
+    "fire_daily_detections": dict(
+        schema=FIRE_DAILY_DETECTIONS, partition="observation_date", keys=["satellite"], layout=[],
+        source="fire_detections"),
+    "fire_daily_clusters": dict(
+        schema=FIRE_DAILY_CLUSTERS, partition="snapshot_date", keys=["severity", "status"], layout=[],
+        source="fire_clusters"),
 }
 
 
+def partials(rows: DataFrame, table: str) -> DataFrame:
+    """The partial statistics `table` of rows of its source."""
+    spec = TABLES[table]
+    exact, rest = sum_parts(F.col("frp_mw"))
+    values = {
+        "fire_daily_detections": [
+            F.count(F.lit(1)).alias("detections"), F.count("frp_mw").alias("known_frp"),
+            exact.alias("exact_frp"), rest.alias("rest_frp"), F.max("frp_mw").alias("maximum_frp_mw")],
+        "fire_daily_clusters": [F.count(F.lit(1)).alias("snapshot_count")],
+    }[table]
+    return rows.groupBy(*spec["keys"], spec["partition"]).agg(*values).select(*[f.name for f in spec["schema"]])
+
+
 MANIFESTS = "_versions"
 #: Versions whose folders stay when others are removed: readers that began on them can finish.
 KEPT_VERSIONS = 3
@@ -122,7 +147,7 @@ def read_history(
 
 def _read(spark: SparkSession, root: str, table: str, start: date, end: date, manifest: Manifest) -> DataFrame:
     spec = TABLES[table]
-    folders = [f for day, f in sorted(manifest["tables"][table].items()) if start.isoformat() <= day <= end.isoformat()]
+    folders = [f for day, f in sorted(manifest["tables"].get(table, {}).items()) if start.isoformat() <= day <= end.isoformat()]
     if not folders:
         return spark.createDataFrame([], spec["schema"])
     path = _path(root, table)
@@ -133,6 +158,24 @@ def _read(spark: SparkSession, root: str, table: str, start: date, end: date, ma
     )
 
 
+def read_partials(
+    spark: SparkSession, root: str, table: str, start: date, end: date, manifest: Manifest | None = None
+) -> DataFrame:
+    """Partial statistics of the dates between two, both inclusive.
+
+    Dates written before the table existed have no partial rows; theirs are made from their rows.
+    """
+    manifest = manifest or read_manifest(spark, root)
+    source = TABLES[table]["source"]
+    days = manifest["tables"].get(source, {})
+    missing = {d: f for d, f in days.items() if d not in manifest["tables"].get(table, {})}
+    known = _read(spark, root, table, start, end, manifest)
+    if not any(start.isoformat() <= d <= end.isoformat() for d in missing):
+        return known
+    older = _read(spark, root, source, start, end, {"tables": {source: missing}})
+    return known.unionByName(partials(older, table))
+
+
 def merge_rows(current: DataFrame, batch: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
     """Rows of `current` updated from `batch` on `keys`, plus the rows only `batch` has.
 
@@ -169,7 +212,8 @@ def upsert(
         columns = [f.name for f in spec["schema"]]
         batch = batch.select(*columns)
         state = batch.groupBy(*spec["keys"], partition).agg(F.count(F.lit(1)).alias("n")).agg(
-            F.max("n").alias("most"), F.min(partition).alias("start"), F.max(partition).alias("end")).first()
+            F.max("n").alias("most"), F.sum("n").alias("rows"), F.min(partition).alias("start"),
+            F.max(partition).alias("end")).first()
         if state.most is None:
             continue
         if state.most > 1:
@@ -180,7 +224,14 @@ def upsert(
             F.broadcast(days), partition, "left_semi").select(*columns)
         if table in replaced:
             current = current.where(~replaced[table])
-        changes[table] = merge_rows(current, batch, spec["keys"] + [partition], spec["update"]).select(*columns)
+        keys = [*spec["keys"], partition]
+        if state.rows <= settings.BROADCAST_ROWS or not worthwhile(state.rows):
+            changes[table] = merge_rows(current, batch, keys, spec["update"]).select(*columns)
+            continue
+        # Of a large batch only rows that a Bloom filter lets through are shuffled to the merge.
+        current = with_likely(current, batch, keys, state.rows)
+        merged = merge_rows(current.where("_likely").drop("_likely"), batch, keys, spec["update"])
+        changes[table] = merged.select(*columns).unionByName(current.where("NOT _likely").select(*columns))
     commit(spark, root, changes, manifest)
 
 
@@ -190,17 +241,27 @@ def commit(
 ) -> Manifest:
     """Replace the partitions present in `changes`, and leave out those `dropped`, as the version after `manifest`."""
     manifest = manifest or read_manifest(spark, root)
-    tables = {t: {d: f for d, f in manifest["tables"].get(t, {}).items() if not dropped(t, date.fromisoformat(d))} for t in TABLES}
+    tables = {t: {d: f for d, f in manifest["tables"].get(t, {}).items()
+                  if not dropped(spec.get("source", t), date.fromisoformat(d))} for t, spec in TABLES.items()}
     for table, rows in changes.items():
-        folder = f"commit={uuid.uuid4().hex}"
-        write_partitions(rows, f"{_path(root, table)}/{folder}", table)
-        tables[table] |= {day.isoformat(): f"{folder}/{TABLES[table]['partition']}={day.isoformat()}"
-                          for day in _dates(spark, f"{_path(root, table)}/{folder}", TABLES[table]["partition"])}
+        tables[table] |= (fresh := _write_folder(spark, root, table, rows))
+        for partial in (p for p, spec in TABLES.items() if spec.get("source") == table and fresh):
+            first, last = date.fromisoformat(min(fresh)), date.fromisoformat(max(fresh))
+            again = _read(spark, root, table, first, last, {"tables": {table: fresh}})
+            tables[partial] |= _write_folder(spark, root, partial, partials(again, partial))
     following = {"version": manifest["version"] + 1, "tables": tables}
     _publish(spark, root, following)
     return following
 
 
+def _write_folder(spark: SparkSession, root: str, table: str, rows: DataFrame) -> dict[str, str]:
+    """Write rows to a folder of their own; the folder of each of their dates."""
+    folder, partition = f"commit={uuid.uuid4().hex}", TABLES[table]["partition"]
+    path = f"{_path(root, table)}/{folder}"
+    write_partitions(rows, path, table)
+    return {day.isoformat(): f"{folder}/{partition}={day.isoformat()}" for day in _dates(spark, path, partition)}
+
+
 def write_partitions(df: DataFrame, path: str, table: str) -> None:
     """Write whole partitions to a new folder, ranged and sorted by the table's layout columns.
 

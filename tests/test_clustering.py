@@ -115,6 +115,9 @@ def test_hot_key_join(spark, monkeypatch):
     for how, want in plain.items():
         got = joins.join_lookup(rows, lookup, "k", 300, how)
         assert sorted(map(tuple, got.collect()), key=str) == want
+        counted = lookup.join(rows.groupBy("k").count(), "k", "left")
+        got = joins.join_lookup(rows, counted, "k", 300, how, count="count")
+        assert sorted(map(tuple, got.collect()), key=str) == want
 
 
 def test_components_of_chains_and_stars(spark):

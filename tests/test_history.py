@@ -1,14 +1,16 @@
 import hashlib
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import DAY, NOW, START, UTC, seen, where
+from emberfold.operators import bloom
 from emberfold.operators import history as H
 from emberfold.operators import normalize as N
-from emberfold.plans import hours, snapshot
+from emberfold.plans import hours, reads, snapshot
 from emberfold.sources import history as store
 from emberfold.streaming import ingest
 
@@ -342,3 +344,81 @@ def test_intermediates_go_when_the_run_ends(spark):
         assert store.exists(spark, path)
         raise ValueError
     assert not store.exists(spark, path)
+
+
+def facts_of(spark, rows):
+    """History rows of (id, day, minute, satellite, frp)."""
+    values = [(f"d{i}", START + timedelta(days=day, minutes=minute), craft, frp) for i, day, minute, craft, frp in rows]
+    df = spark.createDataFrame(values, "detection_id string, observed_at timestamp, satellite string, frp_mw double")
+    df = df.withColumn("observation_date", F.to_date("observed_at"))
+    return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in store.FIRE_DETECTIONS])
+
+
+def test_rolling_reads_equal_a_scan_after_corrections(spark, tmp_path):
+    rng, root = random.Random(5), str(tmp_path)
+    crafts = ["N20", "N21", "NPP"]
+    rows = [(i, rng.randrange(9), rng.randrange(1440), rng.choice(crafts), rng.choice([None, 0.0, round(rng.random() * 90, 2)]))
+            for i in range(300)]
+    rows += [(900 + d, d, m, "N20", 5e3) for d, m in ((0, 0), (2, 1439), (5, 600))]  # maxima that go again
+    store.upsert(spark, root, {"fire_detections": facts_of(spark, rows)})
+    rows = [r[:4] + (1.25,) if r[0] >= 900 or r[0] % 7 == 0 else r for r in rows]
+    store.upsert(spark, root, {"fire_detections": facts_of(spark, [r for r in rows if r[0] >= 900 or r[0] % 7 == 0])})
+    for now in (START + timedelta(days=8), START + timedelta(days=8, hours=9, minutes=17), START + timedelta(days=40)):
+        got = {r.days: tuple(r)[1:] for r in reads.rolling_summary(spark, root, now, [1, 2, 6]).collect()}
+        for days, found in got.items():
+            inside = [r for r in rows if now - timedelta(days=days) <= START + timedelta(days=r[1], minutes=r[2])
+                      <= now + timedelta(minutes=15)]
+            known = [r[4] for r in inside if r[4] is not None]
+            assert found[0] == len(inside)
+            assert abs(found[1] - (sum(known) / len(known) if known else 0)) <= 0.00501
+            assert found[2] == max(known, default=0)
+            crafts_seen = {r.satellite: r.total_detections for r in reads.rolling_by_satellite(spark, root, now, days).collect()}
+            assert crafts_seen == Counter(r[3] for r in inside)
+
+
+def test_partials_go_with_their_rows_and_old_histories_have_none(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [(i, i % 4, 30 * i, "N21", float(i)) for i in range(20)]
+    store.commit(spark, root, {"fire_detections": facts_of(spark, rows)})
+    day = lambda k: DAY + timedelta(days=k)
+    count = lambda manifest=None: sum(r.detections for r in store.read_partials(
+        spark, root, "fire_daily_detections", day(0), day(9), manifest).collect())
+    assert count() == 20
+    old = store.read_manifest(spark, root)
+    files = store._read(spark, root, "fire_daily_detections", day(0), day(9), old)
+    assert files.count() == 4  # a row for each date and satellite
+    del old["tables"]["fire_daily_detections"]
+    assert count(old) == 20
+    store.expire_partitions(spark, root, "fire_detections", day(2), days=0, dry_run=False)
+    assert count() == 10
+
+
+def test_a_bloom_filter_never_loses_a_key(spark, monkeypatch):
+    keys = spark.range(0, 60_000, 3).select(F.col("id").cast("string").alias("k")).unionByName(
+        spark.sql("SELECT CAST(NULL AS STRING) AS k"))
+    rows = spark.range(60_000).select(F.col("id").cast("string").alias("k"), "id")
+    flagged = bloom.with_likely(rows, keys, ["k"], 20_001)
+    found = flagged.groupBy((F.col("id") % 3 == 0).alias("held")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_likely").alias("likely")).collect()
+    by = {r.held: r for r in found}
+    assert by[True].likely == by[True].n == 20_000 and by[False].n == 40_000
+    assert by[False].likely < 0.01 * by[False].n
+    monkeypatch.setattr(bloom, "MAX_BYTES", 4096)  # too small: lets more through, still loses none
+    assert bloom.with_likely(rows, keys, ["k"], 20_001).where("_likely AND id % 3 = 0").count() == 20_000
+    assert bloom.likely(rows, keys, ["k"], 20_001).count() == 60_000
+
+
+def test_large_batches_give_the_same_history(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 3, i, "NPP", float(i)) for i in range(200)]
+    later = [(i, i % 3, i, "NPP", -1.0) for i in range(150, 260)]
+    out = []
+    for most in (store.settings.BROADCAST_ROWS, 10):
+        monkeypatch.setattr(store.settings, "BROADCAST_ROWS", most)
+        root = f"{tmp_path}/{most}"
+        for batch in (rows, later):
+            store.upsert(spark, root, {"fire_detections": facts_of(spark, batch)})
+        past = store.read_history(spark, root, "fire_detections", DAY, DAY + timedelta(days=5))
+        prior = H.prior_assignments(facts_of(spark, later), past.fillna("c", ["cluster_id"]), len(later))
+        out.append((sorted((r.detection_id, r.frp_mw) for r in past.collect()), sorted(map(tuple, prior.collect()))))
+    assert out[0] == out[1] and len(out[0][0]) == 260 and len(out[0][1]) == 110
