@@ -12,8 +12,9 @@ either starts with a full window or cannot lose its first line. Longer repeats a
 A run is deleted where equal lines come earlier, by document id, then text hash, then line. This
 finds exactly the lines that lie in a repeated run of enough words, whichever document it repeats.
 
-A fingerprint or run that a third of all documents share is aggregated map-side to its first
-position; only this one position is joined back, and Spark splits such skewed joins.
+A fingerprint or run that a third of all documents share is aggregated map-side to its count and first
+position. These are stored, so keys with more than a thousandth of the rows are known, at most a thousand,
+and are joined back by broadcast: their rows never meet in one task.
 
 Defined cases: null and empty texts stay as they are; lines without a word are never compared, but
 go if they lie inside a deleted run; rows repeating both id and text are one document and keep the
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberfold.operators.joins import join_lookup
 from emberfold.llm.common import doc_key, lookup, prepare, spare, stored, text_tie
 
 RUN_WORDS = 50
@@ -98,14 +100,17 @@ def _list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def later_runs(docs: DataFrame) -> DataFrame:
     """(doc, tie, first, last): the lines of each run that repeats an earlier one."""
     texts = docs.select(doc_key().alias("doc"), text_tie().alias("tie"), F.col("text").cast("binary"))
-    runs, _ = stored(texts.mapInArrow(_list_runs, SCHEMA), "runs")
+    runs, listed = stored(texts.mapInArrow(_list_runs, SCHEMA), "runs")
     differ = [F.min(c) != F.max(c) for c in ("doc", "tie", "at")]
-    repeated = runs.groupBy("print").agg((differ[0] | differ[1] | differ[2]).alias("many")).where("many").select("print")
-    matched, _ = stored(runs.join(repeated, "print", "left_semi").select("run", "doc", "tie", "first", "last"), "matched")
+    rows = F.count(F.lit(1)).alias("rows")
+    repeated, _ = stored(runs.groupBy("print").agg((differ[0] | differ[1] | differ[2]).alias("many"), rows).where(
+        "many").select("print", "rows"), "prints")
+    matched, held = stored(join_lookup(runs, repeated, "print", listed["rows"], "left_semi", "rows").select(
+        "run", "doc", "tie", "first", "last"), "matched")
     place = F.struct("doc", "tie", "first")
-    earliest = matched.groupBy("run").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where(
-        "origin < end").select("run", "origin")
-    return matched.join(earliest, "run").where(F.struct("doc", "tie", "first") > F.col("origin")).select(
+    earliest, _ = stored(matched.groupBy("run").agg(F.min(place).alias("origin"), F.max(place).alias("end"), rows).where(
+        "origin < end").select("run", "origin", "rows"), "origins")
+    return join_lookup(matched, earliest, "run", held["rows"], count="rows").where(place > F.col("origin")).select(
         "doc", "tie", "first", "last")
 
 
