@@ -7,8 +7,8 @@ max-pooled and averaged over all chunks and combined into one probability. Chunk
 come, so a text of any length takes bounded memory.
 
 Training uses at most `SAMPLE` labelled documents of each class, those with the smallest hash of
-their id, and at most `TRAIN_CHUNKS` chunks spread evenly over each; everything else covers all
-documents. The intercept is then moved from the balanced sample to the share of classes among all
+their id, and of these as many whole texts as take `SAMPLE_BYTES`, in the order of a text hash; it reads all
+chunks of each. Sizes are collected first, so the driver never holds more. Everything else covers all documents. The intercept is then moved from the balanced sample to the share of classes among all
 training labels.
 
 Defined cases: a null or empty text is one empty chunk; a null doc_id is held out and never learned
@@ -31,14 +31,14 @@ from emberfold.llm.common import prepare
 FOLDS = 5
 CUT = 0.3
 SAMPLE = 1500
-TRAIN_CHUNKS = 24
+SAMPLE_BYTES = 8 << 20
 CHUNK, OVERLAP = 512, 64
 STRIDE = 4
 EMBED, FILTERS, HIDDEN = 8, 24, 16
 EPOCHS, BATCH, RATE, DECAY = 10, 32, 4e-3, 1e-4
 MIN_STEPS = 400
 SEED = 11
-SCORE_CHUNKS = 256  # chunks that are scored at once
+SCORE_CHUNKS = 256  # chunks that are scored, or followed back in training, at once
 
 Weights = dict[str, np.ndarray]
 
@@ -47,17 +47,14 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def chunks(text: bytes | None, most: int | None = None) -> np.ndarray:
-    """Overlapping chunks that cover the text, the last one padded with zeros; or `most` of them."""
+def chunks(text: bytes | None) -> np.ndarray:
+    """Overlapping chunks that cover the text, the last one padded with zeros."""
     data = np.frombuffer(text or b"", np.uint8)
     step = CHUNK - OVERLAP
     n = max(1, -(-(len(data) - OVERLAP) // step))
     padded = np.zeros((n - 1) * step + CHUNK, np.uint8)
     padded[: len(data)] = data
-    views = np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
-    if most and n > most:
-        views = views[np.linspace(0, n - 1, most).astype(int)]
-    return views
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
 
 
 def initial(random: np.random.Generator) -> Weights:
@@ -96,8 +93,14 @@ def probability(logit: np.ndarray | float) -> np.ndarray:
 
 
 def gradients(w: Weights, block: np.ndarray, owner: np.ndarray, label: np.ndarray) -> tuple[float, Weights]:
-    """Mean log loss of a batch of documents and its gradient; `owner` is the document of a chunk."""
-    parts, active, pooled, unit = describe(w, block)
+    """Mean log loss of a batch of documents and its gradient; `owner` is the document of a chunk.
+
+    Activations are held for some chunks at a time and made again on the way back, so a long document
+    costs time but no memory.
+    """
+    parts = [slice(low, low + SCORE_CHUNKS) for low in range(0, len(block), SCORE_CHUNKS)]
+    described = [describe(w, block[part]) for part in parts] if len(parts) == 1 else None
+    unit = described[0][3] if described else np.concatenate([describe(w, block[part])[3] for part in parts])
     n = len(label)
     count = np.bincount(owner, minlength=n).astype(np.float32)
     starts = np.searchsorted(owner, np.arange(n))
@@ -107,13 +110,23 @@ def gradients(w: Weights, block: np.ndarray, owner: np.ndarray, label: np.ndarra
     p = probability(features @ w["out"] + w["out_bias"])
     loss = float(-np.mean(np.where(label == 1, np.log(p + 1e-9), np.log(1 - p + 1e-9))))
     error = ((p - label) / n).astype(np.float32)
-    g = {"out": features.T @ error, "out_bias": error.sum(keepdims=True)}
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    g["out"], g["out_bias"] = features.T @ error, error.sum(keepdims=True)
     to_features = error[:, None] * w["out"][None, :]
     is_top = unit == top[owner]
     ties = np.add.reduceat(is_top.astype(np.float32), starts, axis=0)
     to_unit = is_top * (to_features[:, :HIDDEN] / ties)[owner] + (to_features[:, HIDDEN:] / count[:, None])[owner]
     to_unit *= unit > 0
-    g["hidden"], g["hidden_bias"] = pooled.T @ to_unit, to_unit.sum(axis=0)
+    for k, part in enumerate(parts):
+        follow_back(w, g, block[part], to_unit[part], described[k] if described else describe(w, block[part]))
+    return loss, g
+
+
+def follow_back(w: Weights, g: Weights, block: np.ndarray, to_unit: np.ndarray, described: tuple) -> None:
+    """Add to `g` what some chunks contribute, whose features have the gradient `to_unit`."""
+    parts, active, pooled, _ = described
+    g["hidden"] += pooled.T @ to_unit
+    g["hidden_bias"] += to_unit.sum(axis=0)
     to_pooled = to_unit @ w["hidden"].T
     positions = active.shape[1]
     to_active = np.repeat((to_pooled[:, None, FILTERS:] / positions), positions, axis=1)
@@ -121,20 +134,19 @@ def gradients(w: Weights, block: np.ndarray, owner: np.ndarray, label: np.ndarra
     rows, columns = np.arange(len(block))[:, None], np.arange(FILTERS)[None, :]
     to_active[rows, at, columns] += to_pooled[:, :FILTERS]
     to_active *= active > 0
-    g["bias"] = to_active.sum(axis=(0, 1))
+    g["bias"] += to_active.sum(axis=(0, 1))
     width = STRIDE * EMBED
     flat = to_active.reshape(-1, FILTERS)
-    g["first"] = parts[:, :-1].reshape(-1, width).T @ flat
-    g["second"] = parts[:, 1:].reshape(-1, width).T @ flat
+    g["first"] += parts[:, :-1].reshape(-1, width).T @ flat
+    g["second"] += parts[:, 1:].reshape(-1, width).T @ flat
     to_parts = np.zeros_like(parts)
     to_parts[:, :-1] += to_active @ w["first"].T
     to_parts[:, 1:] += to_active @ w["second"].T
     to_bytes = to_parts.reshape(-1, EMBED)
-    g["embed"] = np.stack([np.bincount(block.ravel(), to_bytes[:, k], 256) for k in range(EMBED)], axis=1)
-    return loss, g
+    g["embed"] += np.stack([np.bincount(block.ravel(), to_bytes[:, k], 256) for k in range(EMBED)], axis=1)
 
 
-def train(examples: list[tuple[np.ndarray, int]], share: float) -> Weights:
+def train(examples: list[tuple[bytes, int]], share: float) -> Weights:
     """Adam on shuffled batches; `share` is that of label 1 among all training labels."""
     random = np.random.default_rng(SEED)
     w = initial(random)
@@ -151,8 +163,9 @@ def train(examples: list[tuple[np.ndarray, int]], share: float) -> Weights:
         order = random.permutation(len(examples))
         for low in range(0, len(order), BATCH):
             some = order[low : low + BATCH]
-            block = np.concatenate([examples[k][0] for k in some])
-            owner = np.repeat(np.arange(len(some)), [len(examples[k][0]) for k in some])
+            pieces = [chunks(examples[k][0]) for k in some]
+            block = np.concatenate(pieces)
+            owner = np.repeat(np.arange(len(some)), [len(piece) for piece in pieces])
             _, g = gradients(w, block, owner, labels[some])
             step += 1
             rate = RATE * min(1.0, step / 20) * (1 - 0.9 * step / steps)
@@ -176,12 +189,14 @@ def score_text(w: Weights, text: bytes | None) -> float:
     return float(probability(features @ w["out"] + w["out_bias"][0]))
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [chunks(t.as_py(), TRAIN_CHUNKS).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("quality"), pa.array(packed, pa.binary())],
-            names=["doc_id", "quality", "chunks"])
+def within(rows: list, most: int) -> list[tuple]:
+    """(doc_id, quality, tie) of whole texts, in an order by their hashes, that take `most` bytes of a class."""
+    left, taken = {}, []
+    for r in sorted(rows, key=lambda r: (r.tie, r.doc_id)):
+        if r.size <= left.setdefault(r.quality, most):
+            left[r.quality] -= r.size
+            taken.append((r.doc_id, r.quality, r.tie))
+    return taken
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Weights:
@@ -194,11 +209,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Weights:
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE) for q in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * SAMPLE rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(
-        sample, "doc_id").mapInArrow(_examples, "doc_id long, quality int, chunks binary")
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks")).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    # Rows that share an id count as one, with the smallest text: 2 * SAMPLE rows again, without texts.
+    sizes = texts.join(sample, "doc_id").groupBy("doc_id", "quality").agg(
+        F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("tie"))).alias("least")
+    ).select("doc_id", "quality", "least.*").collect()
+    taken = within(sizes, SAMPLE_BYTES)
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, quality int, tie long")
+    rows = texts.withColumn("tie", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "tie"]).groupBy(
+        "doc_id", "quality").agg(F.first("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
-    return train([(np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK), r.quality) for r in rows], share)
+    return train([(r.text, r.quality) for r in rows], share)
 
 
 def _score(weights: object):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from emberfold.llm import classifier as c
@@ -30,7 +31,7 @@ def test_chunks_cover_all_bytes():
         found = c.chunks(data)
         joined = found[0].tobytes() + b"".join(x[c.OVERLAP :].tobytes() for x in found[1:])
         assert joined.rstrip(b"\0") == data and len(joined) - len(data) <= c.CHUNK
-    assert len(c.chunks(b"x" * 100_000, 24)) == 24
+    assert len(c.chunks(b"x" * 100_000)) == 224
 
 
 def test_score_of_a_long_text_equals_that_of_all_chunks_at_once(monkeypatch):
@@ -41,6 +42,36 @@ def test_score_of_a_long_text_equals_that_of_all_chunks_at_once(monkeypatch):
     assert abs(c.score_text(w, text) - whole) < 1e-6
 
 
+def test_gradients_do_not_depend_on_how_many_chunks_are_held(monkeypatch):
+    random_ = np.random.default_rng(4)
+    w = c.initial(random_)
+    block = random_.integers(0, 256, (23, c.CHUNK)).astype(np.uint8)
+    owner, label = np.repeat(np.arange(4), [1, 15, 2, 5]), np.array([0.0, 1.0, 1.0, 0.0])
+    loss, whole = c.gradients(w, block, owner, label)
+    for held in (1, 4, 22):
+        monkeypatch.setattr(c, "SCORE_CHUNKS", held)
+        again, parts = c.gradients(w, block, owner, label)
+        assert abs(loss - again) < 1e-5
+        assert all(np.allclose(parts[k], whole[k], rtol=1e-3, atol=1e-5) for k in whole)
+
+
+def test_training_reads_every_chunk_of_every_example(monkeypatch):
+    monkeypatch.setattr(c, "MIN_STEPS", 1)
+    monkeypatch.setattr(c, "EPOCHS", 1)
+    read, gradients = [], c.gradients
+    monkeypatch.setattr(c, "gradients", lambda w, block, *rest: read.append(block.copy()) or gradients(w, block, *rest))
+    examples = [(random.Random(k).randbytes(700 * k * k), k % 2) for k in range(8)]  # up to 77 chunks
+    c.train(examples, 0.5)
+    want = sorted(piece.tobytes() for text, _ in examples for piece in c.chunks(text))
+    assert sorted(piece.tobytes() for block in read for piece in block) == want
+
+
+def test_the_sample_takes_whole_texts_within_its_bytes():
+    rows = [Row(doc_id=k, quality=k % 2, size=size, tie=-k) for k, size in enumerate([10, 10, 500, 60, 30, 30, 0, 200])]
+    taken = c.within(rows, 100)
+    assert sorted(t[0] for t in taken) == [0, 1, 3, 4, 5, 6]
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
