@@ -56,7 +56,7 @@ def test_gradients_do_not_depend_on_how_many_chunks_are_held(monkeypatch):
 
 
 def test_training_reads_every_chunk_of_every_example(monkeypatch):
-    monkeypatch.setattr(c, "MIN_STEPS", 1)
+    monkeypatch.setattr(c, "MIN_STEPS", 0)
     monkeypatch.setattr(c, "EPOCHS", 1)
     read, gradients = [], c.gradients
     monkeypatch.setattr(c, "gradients", lambda w, block, *rest: read.append(block.copy()) or gradients(w, block, *rest))
