@@ -7,11 +7,13 @@ below `TOLERANCE` (Satuluri and Parthasarathy, 2012, with a uniform prior); the
 verified exactly on the whole sets.
 
 No table of pairs is made. Buckets become star edges, their connected components are candidate
-groups, and a group is cut into blocks of bounded size; each pair of blocks is one group of rows for
-Spark, which returns, per node, its links and one node it is connected to. Counts are summed and
-components of the verified links closed afterwards, so a group of any size is spread over many tasks
-and nothing is capped. A pair at exactly 0.8 shares no band with probability 3e-6, a pair at 0.85
-with 1e-8.
+groups, and a group is cut into blocks of bounded size. A node goes to a pair of blocks only where it
+shares a band with a node of the other block; each such pair of blocks is one group of rows for
+Spark. First the MinHash values alone are compared, 288 bytes a node; sets of shingles are made and
+sent only for nodes with a pair that outlasts this, and only to those pairs of blocks. Verification
+returns, per node, its links and one node it is connected to. Counts are summed and components of the
+verified links closed afterwards, so a group of any size is spread over many tasks and nothing is
+capped. A pair at exactly 0.8 shares no band with probability 3e-6, a pair at 0.85 with 1e-8.
 
 Defined cases: words are separated by ASCII white space; a text of one to four words is one shingle;
 null or empty texts have no links and a class of their own; rows with equal texts, repeated rows
@@ -35,6 +37,7 @@ from emberfold.llm.common import (
     doc_key, lookup, prepare, real_id, spare, split_by_keys, stored, text_tie)
 from emberfold.llm.words import Words, ngrams
 from emberfold.operators.components import connected_components
+from emberfold.operators.joins import join_lookup
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5  # the threshold, 0.8
@@ -97,40 +100,37 @@ def sketch(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
-        digests, sizes, bands = [], [], []
+        digests, sizes, marks, bands = [], [], [], []
         for text in batch.column("text"):
             codes = shingles(text.as_py(), words)
+            mark, band = sketch(codes) if len(codes) else (None, None)
             sizes.append(len(codes))
             digests.append(xxhash.xxh3_128_digest(codes.tobytes()) if len(codes) else None)
-            bands.append(sketch(codes)[1] if len(codes) else [])
+            marks.append(mark.tobytes() if len(codes) else None)
+            bands.append(band if len(codes) else [])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc"), batch.column("tie"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
-             pa.array(bands, pa.list_(pa.int64()))], names=["doc", "tie", "digest", "size", "bands"])
+             pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc", "tie", "digest", "size", "marks", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
-        codes, marks, bands = [], [], []
-        for text in batch.column("text"):
-            found = shingles(text.as_py(), words)
-            mark, band = sketch(found)
-            codes.append(found.tobytes())
-            marks.append(mark.tobytes())
-            bands.append(band.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), *[pa.array(c, pa.binary()) for c in (codes, marks, bands)]],
-            names=["node", "codes", "marks", "bands"])
+        codes = [shingles(text.as_py(), words).tobytes() for text in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(codes, pa.binary())], names=["node", "codes"])
 
 
 class Block:
+    """Nodes of one block: their MinHash values and bands, and their sets where `frame` has them."""
+
     def __init__(self, frame: pd.DataFrame) -> None:
         self.nodes = frame["node"].to_numpy(np.int64)
+        self.sizes = frame["size"].to_numpy(np.int64)
         self.copies = frame["copies"].to_numpy(np.int64)
-        self.codes = [np.frombuffer(c, np.uint64) for c in frame["codes"]]
-        self.sizes = np.array([len(c) for c in self.codes], np.int64)
         self.marks = np.frombuffer(b"".join(frame["marks"]), np.uint8).reshape(-1, HASHES)
-        self.bands = np.frombuffer(b"".join(frame["bands"]), np.int64).reshape(-1, BANDS)
+        self.bands = np.array(frame["bands"].tolist(), np.int64).reshape(-1, BANDS)
+        self.codes = [np.frombuffer(c, np.uint64) for c in frame["codes"]] if "codes" in frame else []
 
 
 def candidates(a: Block, b: Block, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -206,12 +206,26 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def compare_blocks(frame: pd.DataFrame) -> pd.DataFrame:
-    """(node, root, links, set_links) of the nodes that have a link inside this pair of blocks."""
+def two_blocks(frame: pd.DataFrame) -> tuple[Block, Block, bool]:
+    """The sides of a pair of blocks, and whether they are one block."""
     frame = frame.drop_duplicates("node").sort_values("node")
     same = bool((frame["low"] == frame["high"]).iloc[0])
     a = Block(frame[frame["block"] == frame["low"]])
-    b = a if same else Block(frame[frame["block"] == frame["high"]])
+    return a, a if same else Block(frame[frame["block"] == frame["high"]]), same
+
+
+def outlasting(frame: pd.DataFrame) -> pd.DataFrame:
+    """Nodes with a pair that the MinHash values of this pair of blocks cannot rule out."""
+    a, b, same = two_blocks(frame)
+    i, j = candidates(a, b, same)
+    nodes = np.unique(np.concatenate([a.nodes[i], b.nodes[j]]))
+    return pd.DataFrame({"component": frame["component"].iloc[0], "low": frame["low"].iloc[0],
+                         "high": frame["high"].iloc[0], "node": nodes})
+
+
+def compare_blocks(frame: pd.DataFrame) -> pd.DataFrame:
+    """(node, root, links, set_links) of the nodes that have a link inside this pair of blocks."""
+    a, b, same = two_blocks(frame)
     i, j = candidates(a, b, same)
     common = common_counts(a, b, i, j)
     linked = (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (a.sizes[i] + b.sizes[j])
@@ -227,12 +241,30 @@ def compare_blocks(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes[held], "root": nodes[label[held]], "links": links[held], "set_links": sets[held]})
 
 
+def faces(placed: DataFrame, postings: DataFrame, rows: int) -> DataFrame:
+    """(node, component, block, low, high): the pairs of blocks in which a node shares a band with another one.
+
+    A group of one block is its own pair. In a larger one every node goes to its own block, and to a pair
+    with another block if a node there has one of its bands. `rows` is the size of `postings`.
+    """
+    columns = ["node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    own = placed.withColumn("other", F.col("block")).select(*columns)
+    split = placed.where("blocks > 1").select("node", "component", "block")
+    held = postings.withColumnRenamed("row", "node").join(split, "node")
+    # Of a band that lies in one block only, no node leaves that block.
+    spread = held.groupBy("band").agg(F.collect_set("block").alias("others"), F.count(F.lit(1)).alias("n")).where(
+        F.size("others") > 1)
+    away = join_lookup(held, spread, "band", rows, count="n").select(
+        "node", "component", "block", F.explode("others").alias("other")).where("block <> other").distinct()
+    return own.unionByName(away.select(*columns))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (doc, tie, digest) and nodes (digest, doc, tie, copies, links, set_links, class_doc, class_tie)."""
     prepare(docs.sparkSession)
     texts = docs.select(doc_key().alias("doc"), text_tie().alias("tie"), F.col("text").cast("binary").alias("text"))
     members, _ = stored(texts.mapInArrow(
-        _sketches, "doc long, tie long, digest binary, size long, bands array<long>").withColumn(
+        _sketches, "doc long, tie long, digest binary, size long, marks binary, bands array<long>").withColumn(
             "row", F.monotonically_increasing_id()), "sketches")
     # The row number is settled by the write; a node takes the number of one of its rows.
     nodes, _ = stored(members.where("digest is not null").groupBy("digest").agg(
@@ -240,26 +272,27 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max("size").alias("size")).select("digest", "node", "first.doc", "first.tie", "copies", "size"), "nodes")
     postings = members.select("row", F.explode("bands").alias("band")).join(
         nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    postings, _ = stored(postings, "postings")
-    buckets = postings.groupBy("band").agg(F.min("row").alias("least"), F.max("row").alias("most")).where(
-        "least < most").select("band", "least")
-    edges = postings.join(buckets, "band").where("row <> least").select(
+    postings, posted = stored(postings, "postings")
+    buckets, _ = stored(postings.groupBy("band").agg(
+        F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    edges = join_lookup(postings, buckets, "band", posted["rows"], count="n").where("row <> least").select(
         F.col("row").alias("src"), F.col("least").alias("dst")).distinct()
     groups, seen = stored(connected_components(edges), "groups")
     placed = groups.join(nodes, "node")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    cut = placed.groupBy("component").agg(blocks.alias("blocks"))
-    placed, _ = stored(placed.join(cut, "component").select(
-        "node", "component", "doc", "tie", "copies", "blocks",
+    cut, _ = stored(placed.groupBy("component").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")), "cuts")
+    placed, _ = stored(join_lookup(placed, cut, "component", seen["rows"], count="n").select(
+        "node", "component", "doc", "tie", "copies", "size", "blocks",
         F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block")), "blocks")
-    wanted = lookup(placed.select("doc", "tie", "node"), seen["rows"])
-    sets, _ = stored(texts.join(wanted, ["doc", "tie"]).select("node", "text").mapInArrow(
-        _sets, "node long, codes binary, marks binary, bands binary"), "sets")
-    turned = placed.select("node", "component", "copies", "block", F.explode(
-        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-            "node", "component", "copies", "block", F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"))
-    compared, _ = stored(turned.join(sets, "node").groupBy("component", "low", "high").applyInPandas(
+    marked, _ = stored(placed.select("node", "block", "copies", "size").join(
+        members.select(F.col("row").alias("node"), "marks", "bands"), "node"), "marks")
+    pair = ["component", "low", "high"]
+    left, _ = stored(faces(placed, postings, posted["rows"]).drop("block").join(marked, "node").groupBy(*pair).applyInPandas(
+        lambda frame: outlasting(frame), "component long, low int, high int, node long"), "outlasting")
+    alive, living = stored(placed.join(left.select("node").distinct(), "node", "left_semi").select("doc", "tie", "node"), "alive")
+    sets, _ = stored(texts.join(lookup(alive, living["rows"]), ["doc", "tie"]).select("node", "text").mapInArrow(
+        _sets, "node long, codes binary"), "sets")
+    compared, _ = stored(left.join(marked, "node").join(sets, "node").groupBy(*pair).applyInPandas(
         lambda frame: compare_blocks(frame), "node long, root long, links long, set_links long"), "links")
     joined = connected_components(compared.where("node <> root").select(
         F.col("node").alias("src"), F.col("root").alias("dst")))

@@ -51,6 +51,35 @@ def test_equals_all_pairs_in_one_and_in_many_blocks(spark, monkeypatch):
     assert {r.doc_id for r in j.keep_one(table).collect()} == heads
 
 
+def test_sets_go_only_where_a_pair_outlasts_its_minhash_values(spark, monkeypatch):
+    """A long chain of candidates in many blocks: nodes meet neighbours, not every block of their group."""
+    monkeypatch.setattr(j, "BLOCK_NODES", 4)
+    words = [f"w{k}" for k in range(4000)]
+    docs = [(k, " ".join(words[12 * k:12 * k + 130])) for k in range(200)]  # neighbours share 118 of 130 words
+    expected = slow_join(docs)
+    written = {}
+    plain = j.stored
+
+    def noted(df, name, *metrics):
+        out, seen = plain(df, name, *metrics)
+        written[name] = seen["rows"]
+        return out, seen
+
+    monkeypatch.setattr(j, "stored", noted)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in j.join(odd.documents(spark, [(k, t, "en", "s") for k, t in docs])).collect()}
+    assert got == expected and len({c for c, _ in expected.values()}) == 1
+    assert written["outlasting"] <= 8 * len(docs)  # all pairs of the 50 blocks would take 50 copies of each
+
+
+def test_one_group_of_many_near_copies(spark, monkeypatch):
+    """Links of every node of a group of 5,200 texts, each a base with one word of its own: all are linked."""
+    base = [f"b{k}" for k in range(60)]
+    docs = [(k, " ".join([*base, f"own{k}"])) for k in range(5200)]
+    got = j.join(odd.documents(spark, [(k, t, "en", "s") for k, t in docs])).groupBy(
+        "class_id", "n_links", "n_text_links").count().collect()
+    assert [tuple(r) for r in got] == [(0, 5199, 5199, 5200)]
+
+
 def test_both_ways_to_count_agree():
     random.seed(5)
     universe = np.arange(1, 3000, dtype=np.uint64)
