@@ -241,20 +241,19 @@ def compare_blocks(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes[held], "root": nodes[label[held]], "links": links[held], "set_links": sets[held]})
 
 
-def faces(placed: DataFrame, postings: DataFrame, rows: int) -> DataFrame:
+def faces(marked: DataFrame, rows: int) -> DataFrame:
     """(node, component, block, low, high): the pairs of blocks in which a node shares a band with another one.
 
     A group of one block is its own pair. In a larger one every node goes to its own block, and to a pair
-    with another block if a node there has one of its bands. `rows` is the size of `postings`.
+    with another block if a node there has one of its bands. `rows` is the size of `marked`.
     """
     columns = ["node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
-    own = placed.withColumn("other", F.col("block")).select(*columns)
-    split = placed.where("blocks > 1").select("node", "component", "block")
-    held = postings.withColumnRenamed("row", "node").join(split, "node")
+    own = marked.withColumn("other", F.col("block")).select(*columns)
+    held = marked.where("blocks > 1").select("node", "component", "block", F.explode("bands").alias("band"))
     # Of a band that lies in one block only, no node leaves that block.
     spread = held.groupBy("band").agg(F.collect_set("block").alias("others"), F.count(F.lit(1)).alias("n")).where(
         F.size("others") > 1)
-    away = join_lookup(held, spread, "band", rows, count="n").select(
+    away = join_lookup(held, spread, "band", BANDS * rows, count="n").select(
         "node", "component", "block", F.explode("others").alias("other")).where("block <> other").distinct()
     return own.unionByName(away.select(*columns))
 
@@ -284,15 +283,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed, _ = stored(join_lookup(placed, cut, "component", seen["rows"], count="n").select(
         "node", "component", "doc", "tie", "copies", "size", "blocks",
         F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block")), "blocks")
-    marked, _ = stored(placed.select("node", "block", "copies", "size").join(
+    marked, _ = stored(placed.select("node", "component", "blocks", "block", "copies", "size").join(
         members.select(F.col("row").alias("node"), "marks", "bands"), "node"), "marks")
     pair = ["component", "low", "high"]
-    left, _ = stored(faces(placed, postings, posted["rows"]).drop("block").join(marked, "node").groupBy(*pair).applyInPandas(
+    sides = marked.drop("component", "blocks")
+    left, _ = stored(faces(marked, seen["rows"]).drop("block").join(sides, "node").groupBy(*pair).applyInPandas(
         lambda frame: outlasting(frame), "component long, low int, high int, node long"), "outlasting")
     alive, living = stored(placed.join(left.select("node").distinct(), "node", "left_semi").select("doc", "tie", "node"), "alive")
     sets, _ = stored(texts.join(lookup(alive, living["rows"]), ["doc", "tie"]).select("node", "text").mapInArrow(
         _sets, "node long, codes binary"), "sets")
-    compared, _ = stored(left.join(marked, "node").join(sets, "node").groupBy(*pair).applyInPandas(
+    compared, _ = stored(left.join(sides, "node").join(sets, "node").groupBy(*pair).applyInPandas(
         lambda frame: compare_blocks(frame), "node long, root long, links long, set_links long"), "links")
     joined = connected_components(compared.where("node <> root").select(
         F.col("node").alias("src"), F.col("root").alias("dst")))
