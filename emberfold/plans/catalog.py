@@ -12,7 +12,7 @@ from emberfold import settings
 from emberfold.functions import geo, labels, numeric, text
 from emberfold.operators import history as H
 from emberfold.operators import incidents as I
-from emberfold.operators import links, logs, reports, stats, timeline
+from emberfold.operators import links, logs, reports, series, stats, timeline
 from emberfold.operators import normalize as N
 from emberfold.operators.joins import join_lookup
 from emberfold.plans import derive, reads, snapshot
@@ -621,6 +621,21 @@ def a02_history_satellites(spark, d):
     return reads.rolling_by_satellite(spark, _corrected(spark, d), READ_AT, 10)
 
 
+@query
+def a06_period_comparison(spark, d):
+    return reads.compare_periods(spark, _corrected(spark, d), READ_AT, 9)
+
+
+@query
+def h20_hourly_series(spark, d):
+    return series.hourly_series(_facts(spark, d), "cluster_id", READ_AT, "frp").withColumn("hour_start", _stamp("hour_start"))
+
+
+@query
+def h20_persistence(spark, d):
+    return series.persistence(_facts(spark, d), "cluster_id", READ_AT, "frp")
+
+
 @query
 def a04_history_severity(spark, d):
     """Snapshots of every day and hot spot, all low and active until an upsert says better."""

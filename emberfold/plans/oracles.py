@@ -231,6 +231,12 @@ SELECT CAST(min(observed_at) AS VARCHAR) AS started_at, CAST(max(observed_at) AS
 _ISO = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
+_HOURS = """hours AS (SELECT 'cluster-' || user_id AS cluster_id, date_trunc('hour', observed_at) AS hour, count(*) AS n, sum(coalesce(CAST(round(frp * 100) AS BIGINT), 0)) AS cents
+  FROM det WHERE observed_at <= TIMESTAMP '2024-01-30 15:30:00' GROUP BY ALL),
+filled AS (SELECT cluster_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM hours GROUP BY cluster_id),
+series AS (SELECT f.cluster_id, f.hour, coalesce(h.n, 0) AS n, coalesce(h.cents, 0) AS cents FROM filled f LEFT JOIN hours h ON f.cluster_id = h.cluster_id AND f.hour = h.hour)"""
+
+
 def statements() -> dict[str, str]:
     det = f"WITH {_DET} "
     dirty = f"WITH {_DIRTY} "
@@ -411,6 +417,21 @@ HAVING window_start + INTERVAL 24 HOUR <= (SELECT max(observed_at) FROM det) - I
   ON observed_at BETWEEN TIMESTAMP '2024-01-30 15:30:00' - to_days(days) AND TIMESTAMP '2024-01-30 15:45:00' GROUP BY days""",
         "a02_history_satellites": det + f"""SELECT satellite, {stats} FROM {corrected}
 WHERE observed_at BETWEEN TIMESTAMP '2024-01-20 15:30:00' AND TIMESTAMP '2024-01-30 15:45:00' GROUP BY satellite""",
+        "a06_period_comparison": det + f"""SELECT satellite, coalesce(l.total_detections, 0) AS total_detections, coalesce(l.average_frp, 0) AS average_frp, coalesce(l.maximum_frp, 0) AS maximum_frp,
+  coalesce(e.total_detections, 0) AS earlier_total_detections, coalesce(e.average_frp, 0) AS earlier_average_frp, coalesce(e.maximum_frp, 0) AS earlier_maximum_frp,
+  coalesce(l.total_detections, 0) - coalesce(e.total_detections, 0) AS change_detections
+FROM (SELECT satellite, {stats} FROM {corrected} WHERE observed_at BETWEEN TIMESTAMP '2024-01-21 15:30:00' AND TIMESTAMP '2024-01-30 15:45:00' GROUP BY satellite) AS l
+FULL JOIN (SELECT satellite, {stats} FROM {corrected} WHERE observed_at >= TIMESTAMP '2024-01-12 15:30:00' AND observed_at < TIMESTAMP '2024-01-21 15:30:00' GROUP BY satellite) AS e USING (satellite)""",
+        "h20_hourly_series": det + f""", {_HOURS} SELECT cluster_id, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour_start, n AS detections, cents / 1e2 AS total_frp FROM series""",
+        "h20_persistence": det + f""", {_HOURS}, placed AS (SELECT *, row_number() OVER w - 1 AS x, count(*) OVER (PARTITION BY cluster_id) AS size, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER w AS run FROM series
+  WINDOW w AS (PARTITION BY cluster_id ORDER BY hour)),
+pauses AS (SELECT cluster_id, max(empty) AS pause FROM (SELECT cluster_id, run, count(*) - 1 AS empty FROM placed GROUP BY ALL) GROUP BY cluster_id)
+SELECT cluster_id, any_value(size) AS span_hours, count(*) FILTER (n > 0) AS active_hours, any_value(pause) AS longest_pause_hours, CAST(sum(n) AS BIGINT) AS detections, sum(cents) / 1e2 AS total_frp,
+  CASE WHEN any_value(size) > 1 THEN CAST(6 * (2 * sum(x * cents) - (any_value(size) - 1) * sum(cents)) AS DOUBLE) / (CAST(any_value(size) AS DOUBLE) * (CAST(any_value(size) AS DOUBLE) * any_value(size) - 1)) / 1e2 END AS slope_mw_per_hour,
+  coalesce(sum(cents) FILTER (hour > TIMESTAMP '2024-01-29 15:00:00'), 0) / 1e2 AS last_24h_frp,
+  coalesce(sum(cents) FILTER (hour > TIMESTAMP '2024-01-28 15:00:00' AND hour <= TIMESTAMP '2024-01-29 15:00:00'), 0) / 1e2 AS before_24h_frp,
+  (coalesce(sum(cents) FILTER (hour > TIMESTAMP '2024-01-29 15:00:00'), 0) - coalesce(sum(cents) FILTER (hour > TIMESTAMP '2024-01-28 15:00:00' AND hour <= TIMESTAMP '2024-01-29 15:00:00'), 0)) / 1e2 AS change_frp
+FROM placed JOIN pauses USING (cluster_id) GROUP BY cluster_id""",
         "a04_history_severity": det + """SELECT CASE WHEN top < 10 THEN 'low' WHEN top < 50 THEN 'moderate' WHEN top < 150 THEN 'high' ELSE 'extreme' END AS severity, count(*) AS snapshot_count
 FROM (SELECT user_id, acq_date, count(*) AS n, max(frp) AS top FROM det GROUP BY ALL) WHERE n % 3 <> 0 AND acq_date >= '2024-01-09' GROUP BY ALL""",
         "t08_location_sessions": _sessions(),

@@ -88,6 +88,26 @@ def rolling_by_satellite(spark: SparkSession, root: str, now: datetime, days: in
         F.desc("total_detections"), "satellite")
 
 
+def compare_periods(spark: SparkSession, root: str, now: datetime, days: int) -> DataFrame:
+    """Per satellite, the last N days beside the N days before: detections, average and maximum FRP of both, and the change.
+
+    A satellite of one period alone has zeros in the other. The moment between the periods is in the last one.
+    """
+    manifest = store.read_manifest(spark, root)
+    low, high = _window(now, days)
+    periods = {"": (low, high), "earlier_": (low - timedelta(days=days), low - timedelta(microseconds=1))}
+    rows = None
+    for name, (start, end) in periods.items():
+        part = window_partials(spark, root, start, end, manifest).withColumn("period", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    facts = _rounded(rows.groupBy("satellite", "period").agg(*_totals()), "satellite", "period")
+    value = lambda name, zero, period: F.coalesce(
+        F.max(F.when(F.col("period") == period, F.col(name))), F.lit(zero)).alias(period + name)
+    columns = [("total_detections", 0), ("average_frp", 0.0), ("maximum_frp", 0.0)]
+    return facts.groupBy("satellite").agg(*[value(*c, p) for p in periods for c in columns]).withColumn(
+        "change_detections", F.col("total_detections") - F.col("earlier_total_detections"))
+
+
 def severity_history(spark: SparkSession, root: str, today: date, days: int = 7) -> DataFrame:
     """Active snapshots per severity since `today - days`, from the partial rows of the snapshot dates."""
     # Snapshots may lie ahead of `today`, as in a scan without an upper bound.
