@@ -15,6 +15,7 @@ from emberfold.operators import incidents as I
 from emberfold.operators import links, logs, reports, series, stats, timeline
 from emberfold.operators import normalize as N
 from emberfold.operators.joins import join_lookup
+from emberfold.operators.ranking import with_place
 from emberfold.plans import derive, reads, snapshot
 from emberfold.plans.derive import DAYS, NOW
 from emberfold.session import new_path, pin_utc, written
@@ -165,6 +166,16 @@ def _facts(spark, d, user_clusters: bool = True) -> DataFrame:
     return rows.withColumn("cluster_id", F.concat(F.lit("cluster-"), F.col("user_id").cast("string")))
 
 
+def _apart(facts: DataFrame) -> DataFrame:
+    """Facts that each have a key in history: events that are one observation are numbered from the second on.
+
+    A batch may not name one key twice, but each event is a row of the results. Numbers follow the events.
+    """
+    placed = with_place(facts, ["detection_id"], ["event_id"], "copy")
+    key = F.when(F.col("copy") > 1, F.concat_ws("#", "detection_id", "copy")).otherwise(F.col("detection_id"))
+    return placed.withColumn("detection_id", key).drop("copy")
+
+
 def _history_rows(facts: DataFrame, at: datetime, frp=None) -> DataFrame:
     moment = F.lit(at).cast("timestamp")
     return facts.select(
@@ -586,13 +597,13 @@ def h12_upsert_clusters(spark, d):
 @query
 def h13_upsert_detections(spark, d):
     root = new_path(spark, "history")
-    facts = _facts(spark, d)
+    facts = _apart(_facts(spark, d))
     early = facts.where(F.col("observed_at") < F.lit(MIDDLE)).withColumn("cluster_id", F.lit("cluster-old"))
     first = datetime(2024, 1, 30, tzinfo=timezone.utc)
     store.upsert(spark, root, {"fire_detections": written(_history_rows(early, first), "early")[0]})
     store.upsert(spark, root, {"fire_detections": written(_history_rows(facts, NOW, F.col("frp") + 1), "later")[0]})
     return store.read_history(spark, root, "fire_detections", FIRST_DAY, LAST_DAY).select(
-        "detection_id", "cluster_id", "frp_mw", F.col("observation_date").cast("string"),
+        F.substring_index("detection_id", "#", 1).alias("detection_id"), "cluster_id", "frp_mw", F.col("observation_date").cast("string"),
         _stamp("first_ingested_at"), _stamp("last_ingested_at"))
 
 
@@ -604,7 +615,7 @@ READ_AT = datetime(2024, 1, 30, 15, 30, tzinfo=timezone.utc)
 def _corrected(spark, d) -> str:
     """A history whose first values were all too high and half of which was corrected by an upsert."""
     root = new_path(spark, "history")
-    facts = _facts(spark, d)
+    facts = _apart(_facts(spark, d))
     store.commit(spark, root, {"fire_detections": _history_rows(facts, READ_AT, F.col("frp") * 2)})
     right = _history_rows(facts.where("event_id % 2 = 0"), NOW)
     store.upsert(spark, root, {"fire_detections": written(right, "right")[0]})
