@@ -500,11 +500,12 @@ def _identities(spark, d):
     members, clusters = _members(spark, d)
     members, state = written(H.with_ids(members), "members")
     described, _ = written(I.describe(members, clusters.largest).drop("first_member"), "described")
-    facts = H.first_per_id(members)
+    facts, _ = written(H.first_per_id(members), "facts")
     prior = facts.where(F.col("observed_at") < F.lit(MIDDLE)).select(
         "detection_id", F.concat_ws(
             "-", F.lit("cluster"), "user_id", F.floor(F.hour("observed_at") / 12)).alias("prior_id"))
     identities, merged = H.resolve_identities(facts, H.heads_of(described), prior)
+    identities, merged = written(identities, "identities")[0], written(merged, "merged")[0]
     return described, facts, identities, merged, state["rows"]
 
 
