@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF, seen
 from emberfold import settings
-from emberfold.operators import hull, incidents as I, joins, links
+from emberfold.operators import components, hull, incidents as I, joins, links
 from emberfold.operators.components import connected_components
 from emberfold.operators.normalize import coerce_for_clustering
 from emberfold.plans import derive
@@ -245,3 +245,19 @@ def test_no_pairwise_join_in_the_plan(spark):
     slots = links.add_runs(links.build_slots(coerce_for_clustering(sample(spark)), grid), grid)
     plan = links.slot_pairs(slots, grid)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_rounds_run_only_where_stars_share_a_node(spark, monkeypatch):
+    rounds = []
+    whole = components._round
+    monkeypatch.setattr(components, "_round", lambda edges, size: rounds.append(size) or whole(edges, size))
+    paths = [(10 * p + k, 10 * p + k + 1) for p in range(50) for k in range(4)]
+    found = connected_components(spark.createDataFrame(paths, "src long, dst long").repartition(1))
+    assert {(r.node, r.component) for r in found.collect()} == {(10 * p + k, 10 * p) for p in range(50) for k in range(5)}
+    assert rounds == []
+    # In chunks that meet, only the centres of their stars go on.
+    monkeypatch.setattr(components, "CHUNK_EDGES", 1)
+    line = [(k, k + 1) for k in range(40)]
+    random.Random(3).shuffle(line)
+    found = connected_components(spark.createDataFrame(line, "src long, dst long").repartition(5))
+    assert {(r.node, r.component) for r in found.collect()} == {(k, 0) for k in range(41)}
