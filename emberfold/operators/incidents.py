@@ -44,10 +44,20 @@ def assign_clusters(
 
     Clusters of any size keep their members as such rows; no cluster is one value or one task.
     """
+    labelled, clusters = label_clusters(detections, radius_km, window_hours)
+    members, _ = written(with_place(labelled, ["component"], MEMBER_ORDER), "members")
+    return members, clusters
+
+
+def label_clusters(
+    detections: DataFrame,
+    radius_km: float = settings.CLUSTER_RADIUS_KM,
+    window_hours: float = settings.CLUSTER_WINDOW_HOURS,
+) -> tuple[DataFrame, Clusters]:
+    """`assign_clusters` without places, which take an order of all rows: enough for `totals`."""
     usable, _ = written(coerce_for_clustering(detections), "usable")
     clusters = find_clusters(usable, radius_km, window_hours)
-    members, _ = written(with_place(clusters.label(usable), ["component"], MEMBER_ORDER), "members")
-    return members, clusters
+    return clusters.label(usable), clusters
 
 
 def _digest_parts() -> list[Column]:
@@ -62,17 +72,13 @@ def _digest_parts() -> list[Column]:
     ]
 
 
-def cluster_aggregates(members: DataFrame) -> DataFrame:
-    """One row per component, by mergeable aggregates only: a giant cluster is combined before the shuffle."""
+def _total_columns() -> list[Column]:
     degrees = lambda c: F.sum(F.col(c).cast("decimal(13,10)")).cast("double") / F.count(c)
     votes = lambda name: F.count_if(F.col("confidence_normalized") == name)
     tally = F.array_max(F.array(*[
         F.struct(votes(name).alias("n"), F.lit(rank).alias("rank"), F.lit(name).alias("label"))
         for name, rank in settings.CONFIDENCE_RANK.items()]))
-    early = F.col("place") <= F.floor(F.col("cluster_size") / 2)
-    mean = lambda half: exact_sum(F.when(half, F.col("frp"))) / F.nullif(F.count(F.when(half, F.col("frp"))), F.lit(0))
-    few = F.col("cluster_size") <= hull.PART_POSITIONS
-    return members.groupBy("component").agg(
+    return [
         F.count(F.lit(1)).alias("detection_count"),
         degrees("latitude").alias("mean_latitude"),
         degrees("longitude").alias("mean_longitude"),
@@ -81,11 +87,21 @@ def cluster_aggregates(members: DataFrame) -> DataFrame:
         F.min("observed_at").alias("first_detected_at"),
         F.max("observed_at").alias("last_detected_at"),
         tally["label"].alias("confidence"),
+        *_digest_parts(),
+    ]
+
+
+def cluster_aggregates(members: DataFrame) -> DataFrame:
+    """One row per component, by mergeable aggregates only: a giant cluster is combined before the shuffle."""
+    early = F.col("place") <= F.floor(F.col("cluster_size") / 2)
+    mean = lambda half: exact_sum(F.when(half, F.col("frp"))) / F.nullif(F.count(F.when(half, F.col("frp"))), F.lit(0))
+    few = F.col("cluster_size") <= hull.PART_POSITIONS
+    return members.groupBy("component").agg(
+        *_total_columns(),
         mean(early).alias("earlier"), mean(~early).alias("later"),
         F.min(F.struct("observed_at", "latitude", "longitude", "satellite")).alias("first_member"),
         # Positions of a bounded number of rows; larger clusters go through partial hulls.
         F.collect_set(F.when(few, F.struct("longitude", "latitude"))).alias("positions"),
-        *_digest_parts(),
     )
 
 
@@ -125,23 +141,34 @@ def describe(members: DataFrame, largest: int) -> DataFrame:
         large = members.where(F.col("cluster_size") > hull.PART_POSITIONS)
         described = described.join(hull.envelopes_of_large(large), "component", "left").withColumn(
             "ring", F.coalesce("ring", "boundary")).drop("boundary")
-    hours = (F.unix_seconds("last_detected_at") - F.unix_seconds("first_detected_at")) / 3600
-    described = described.withColumn("hours", hours)
     return described.select(
         "component", "first_member", "total_frp", "mean_latitude", "mean_longitude",
+        *_figures(rounded_ring(F.col("ring")).alias("boundary"), F.col("trend")))
+
+
+def _figures(boundary: Column | None = None, trend: Column | None = None) -> list[Column]:
+    """Incident columns from totals, with those of envelope and trend where they are given."""
+    hours = (F.unix_seconds("last_detected_at") - F.unix_seconds("first_detected_at")) / 3600
+    return [
         incident_id().alias("id"),
         F.struct(
             exact_round(F.col("mean_latitude"), 5).alias("latitude"),
             exact_round(F.col("mean_longitude"), 5).alias("longitude")).alias("center"),
-        rounded_ring(F.col("ring")).alias("boundary"),
-        "detection_count",
+        *([] if boundary is None else [boundary]),
+        F.col("detection_count"),
         exact_round(F.col("total_frp"), 2).alias("total_frp_mw"),
         exact_round(F.col("maximum_frp"), 2).alias("maximum_frp_mw"),
-        "first_detected_at", "last_detected_at",
-        exact_round(F.col("hours"), 2).alias("duration_hours"),
-        "confidence", "trend",
+        F.col("first_detected_at"), F.col("last_detected_at"),
+        exact_round(hours, 2).alias("duration_hours"),
+        F.col("confidence"),
+        *([] if trend is None else [trend]),
         severity(F.col("total_frp")).alias("severity"),
-    )
+    ]
+
+
+def totals(labelled: DataFrame) -> DataFrame:
+    """`component` and the incident columns that need neither an envelope nor places in time order."""
+    return labelled.groupBy("component").agg(*_total_columns()).select("component", *_figures())
 
 
 def member_list(members: DataFrame, described: DataFrame, total_rows: int) -> DataFrame:

@@ -77,6 +77,10 @@ def _described(spark, d) -> DataFrame:
     return I.describe(members, clusters.largest)
 
 
+def _totals(spark, d) -> DataFrame:
+    return I.totals(I.label_clusters(derive.detections(_events(spark, d), "user_id"))[0])
+
+
 def _clustered(spark, d):
     members, clusters = _members(spark, d)
     return members, I.describe(members, clusters.largest), clusters.total_rows
@@ -358,30 +362,30 @@ def c04_detection_clusters(spark, d):
 
 @query
 def c05_incident_id(spark, d):
-    return _described(spark, d).select("id", "detection_count")
+    return _totals(spark, d).select("id", "detection_count")
 
 
 @query
 def c06_center(spark, d):
-    return _described(spark, d).select(
+    return _totals(spark, d).select(
         "id", F.col("center.latitude").alias("center_latitude"),
         F.col("center.longitude").alias("center_longitude"))
 
 
 @query
 def c07_frp_totals(spark, d):
-    return _described(spark, d).select("id", "total_frp_mw", "maximum_frp_mw")
+    return _totals(spark, d).select("id", "total_frp_mw", "maximum_frp_mw")
 
 
 @query
 def c08_time_extent(spark, d):
-    return _described(spark, d).select(
+    return _totals(spark, d).select(
         "id", _stamp("first_detected_at"), _stamp("last_detected_at"), "duration_hours")
 
 
 @query
 def c09_confidence(spark, d):
-    return _described(spark, d).select("id", "confidence")
+    return _totals(spark, d).select("id", "confidence")
 
 
 @query
@@ -391,7 +395,7 @@ def c10_trend(spark, d):
 
 @query
 def c11_severity(spark, d):
-    return _described(spark, d).select("id", "severity")
+    return _totals(spark, d).select("id", "severity")
 
 
 @query

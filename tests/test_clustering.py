@@ -9,7 +9,7 @@ from emberfold import settings
 from emberfold.operators import components, hull, incidents as I, joins, links
 from emberfold.operators.components import connected_components
 from emberfold.operators.normalize import coerce_for_clustering
-from emberfold.plans import derive
+from emberfold.plans import catalog, derive
 
 
 def km(a, b):
@@ -261,3 +261,22 @@ def test_rounds_run_only_where_stars_share_a_node(spark, monkeypatch):
     random.Random(3).shuffle(line)
     found = connected_components(spark.createDataFrame(line, "src long, dst long").repartition(5))
     assert {(r.node, r.component) for r in found.collect()} == {(k, 0) for k in range(41)}
+
+
+def test_totals_take_neither_places_nor_envelopes(spark, monkeypatch):
+    rows = derive.detections(derive.table(spark, SF, "events"))
+    members, clusters = I.assign_clusters(rows)
+    described = I.describe(members, clusters.largest)
+
+    def refused(*_, **__):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr(I, "with_place", refused)
+    monkeypatch.setattr(hull, "envelopes_of_large", refused)
+    monkeypatch.setattr(hull, "PART_POSITIONS", 1)
+    for name in ("c05_incident_id", "c06_center", "c07_frp_totals", "c08_time_extent", "c09_confidence", "c11_severity"):
+        catalog.queries()[name](spark, SF)
+    totals = I.totals(I.label_clusters(rows)[0])
+    assert "trend" not in totals.columns and "boundary" not in totals.columns
+    same = [c for c in totals.columns if c != "component"]
+    assert {repr(r) for r in totals.select(same).collect()} == {repr(r) for r in described.select(same).collect()}
