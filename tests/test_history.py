@@ -307,6 +307,18 @@ def test_tables_depend_on_the_rows_alone(spark, raw, tmp_path):
     assert history("parts", [[r for r in rows if r not in late], late]) == expected
 
 
+def test_a_cluster_is_described_once_while_it_stays_the_same(spark, raw):
+    """Lasting spots: their clusters are rows of a span each, however many snapshots the span has."""
+    rows = [(0, 0), (30, 500), (300, 500), *[(60 * k + 20, 90_000 + 9000 * k) for k in range(20)]]
+    table = H.with_ids(N.normalize(raw(*[seen(m, north=n) for m, n in rows]), 9, START + timedelta(days=1))[0])
+    at = [int((START + timedelta(minutes=60 * k + (30 if k == 0 else 20))).timestamp()) for k in range(20)]
+    members, largest = hours._clusters_of_all_hours(spark, table, [(t - t % 3600, t) for t in at], 1)
+    spans = Counter((r.number, r.until, r.cluster_size) for r in members.collect())
+    lone = {(k, 19, 1): 1 for k in range(1, 20)}
+    assert spans == Counter({(0, 19, 1): 1, (0, 4, 2): 2, (5, 19, 3): 3}) + Counter(lone)
+    assert largest == 3
+
+
 def test_a_stopped_commit_leaves_the_version_before(spark, raw, tmp_path, monkeypatch):
     root = str(tmp_path)
     batch = batch_of(spark, clean(raw, seen(80), seen(95, north=300)), {})
