@@ -92,6 +92,39 @@ def test_blocks_of_unequal_sizes_and_orders():
     assert sum(len(code) for _, _, code in blocks[:2]) < 2 * 2048 // 4
 
 
+def test_the_last_two_ids_foretell_what_the_last_one_cannot():
+    random = np.random.default_rng(11)
+    following = random.integers(0, 12, (12, 12))
+    blocks = []
+    for _ in range(20):  # each id has many successors, each pair of ids has one
+        ids = list(random.integers(0, 12, 2))
+        while len(ids) < rangecoder.BLOCK_IDS:
+            ids.append(following[ids[-2], ids[-1]] if len(ids) % 60 else random.integers(0, 12))
+        blocks.append(ids)
+    ids = np.array(blocks).reshape(-1).astype(np.int32) + 40_000
+    coded = rangecoder.encode(ids, 2)
+    assert rangecoder.decode(coded, 2).tolist() == ids.tolist()
+    assert sum(len(code) for _, _, code in coded) < len(ids) // 5
+
+
+def test_a_guess_of_order_1_has_its_own_code_beside_order_2():
+    random = np.random.default_rng(12)
+    ids = np.concatenate([random.permutation(30)[:6] for _ in range(1500)])
+    ids = np.where(random.random(len(ids)) < 0.5, ids, np.roll(ids, 1) * 7 % 30).astype(np.int32)
+    kinds = np.zeros(4, int)
+    pick = rangecoder.Encoder.pick
+
+    def counted(self, ends, choice):
+        kinds[:] += np.bincount(choice, minlength=4)
+        return pick(self, ends, choice)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rangecoder.Encoder, "pick", counted)
+        coded = rangecoder.encode(ids, 2)
+    assert rangecoder.decode(coded, 2).tolist() == ids.tolist()
+    assert kinds.sum() == len(ids) and kinds.min() > 0
+
+
 def test_damage_is_noticed():
     ids = (np.random.default_rng(2).zipf(1.3, 5000) % 50_257).astype(np.int32)
     chunk = tokenfile.pack_chunk(3, 0, 17, [5, None], np.array([4000, 1000]), ids)
