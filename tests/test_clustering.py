@@ -280,3 +280,15 @@ def test_totals_take_neither_places_nor_envelopes(spark, monkeypatch):
     assert "trend" not in totals.columns and "boundary" not in totals.columns
     same = [c for c in totals.columns if c != "component"]
     assert {repr(r) for r in totals.select(same).collect()} == {repr(r) for r in described.select(same).collect()}
+
+
+def test_few_stars_are_joined_in_one_task(spark, monkeypatch):
+    line = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7)]
+    random.Random(4).shuffle(line)
+    edges = spark.createDataFrame(line, "src long, dst long").repartition(5)
+    by_rounds = {(r.node, r.component) for r in connected_components(edges).collect()}
+    monkeypatch.setattr(components, "_round", lambda *_: pytest.fail("no rounds are needed"))
+    found = connected_components(edges, whole=1000).collect()
+    assert {(r.node, r.component) for r in found} == by_rounds and len(found) == len(by_rounds) == 44
+    monkeypatch.undo()
+    assert {(r.node, r.component) for r in connected_components(edges, whole=1).collect()} == by_rounds

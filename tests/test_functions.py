@@ -4,6 +4,7 @@ import math
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,22 @@ def test_labels(spark):
         "1 hour ago", "1 minute ago", "1 minute ago", "10 minutes ago"]
     assert one(labels.age_label(null.cast("timestamp"), at(0))) == "an earlier update"
     assert [one(labels.status_severity(F.lit(v))) for v in (200, 404, 503)] == ["INFO", "WARNING", "ERROR"]
+
+
+def test_rings_of_many_rows_equal_those_of_each(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [[(round(-9 + rng.randint(0, 3) / 100 + rng.randint(-20, 20) / 1000, 5), round(36 + rng.randint(0, 9) / 10, 5))
+             for _ in range(rng.choice([1, 1, 2, 3, 4, 30]))] for _ in range(300)]
+    rows += [None, [(-9.0, 36.0), (-8.99, 36.0)], [(-9.0, 36.0), (-9.0, 36.01), (-9.0, 36.02)], [(179.99, 89.99), (-179.99, -89.99)], None]
+    monkeypatch.setattr(hull, "RING_POSITIONS", 50)
+    lists = [pa.array([None if r is None else [p[k] for p in r] for r in rows], pa.list_(pa.float64())) for k in (0, 1)]
+    got = hull._envelopes.func(*lists).to_pylist()
+    assert hull._envelopes.func(*[a.slice(7, 20) for a in lists]).to_pylist() == got[7:27]
+    rounded = lambda ring: [(round(x, 5), round(y, 5)) for x, y in ring]
+    want = [None if r is None else rounded(hull.convex_ring(hull._buffered(*zip(*r)))) for r in rows]
+    assert [None if r is None else [(p["longitude"], p["latitude"]) for p in r] for r in got] == want
+    # One position needs no hull; Spark's ring of it is the same.
+    alone = spark.createDataFrame([r[0] for r in rows if r and len(r) == 1], "longitude double, latitude double")
+    rings = alone.select("longitude", "latitude", geo.rounded_ring(geo.envelope_ring(F.col("latitude"), F.col("longitude"))).alias("r"))
+    known = {tuple(r[0]): ring for r, ring in zip(rows, want) if r and len(r) == 1}
+    assert known == {(r.longitude, r.latitude): [(p.longitude, p.latitude) for p in r.r] for r in rings.collect()}

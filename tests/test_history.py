@@ -319,6 +319,52 @@ def test_a_cluster_is_described_once_while_it_stays_the_same(spark, raw):
     assert largest == 3
 
 
+def test_chains_of_pointers_end_alike_in_one_task_and_by_doubling(spark, monkeypatch):
+    chains = [("#1", "#0"), ("#2", "#1"), ("#3", "#2"), ("#0", "cluster-a"), ("#9", "#8"), ("#8", "#7"), ("#20", "cluster-b"), ("#31", "#30")]
+    random.Random(1).shuffle(chains)
+    pointers = lambda rows: spark.createDataFrame(rows, "key string, root string").repartition(3)
+    want = {("#1", "cluster-a"), ("#2", "cluster-a"), ("#3", "cluster-a"), ("#0", "cluster-a"), ("#9", "#7"), ("#8", "#7"),
+            ("#20", "cluster-b"), ("#31", "#30")}
+    at_once = hours._roots(pointers(chains))
+    with pytest.raises(Exception, match="cycle"):
+        hours._roots(pointers([("#1", "#2"), ("#2", "#3"), ("#3", "#1"), ("#5", "#1")]))
+    assert hours._roots(pointers(chains).where("key = ''")).count() == 0
+    monkeypatch.setattr(hours, "WHOLE_POINTERS", 0)
+    by_doubling = hours._roots(pointers(chains))
+    assert {tuple(r) for r in at_once.collect()} == {tuple(r) for r in by_doubling.collect()} == want
+
+
+def test_rows_of_a_span_are_written_once(spark, raw, tmp_path, monkeypatch):
+    rows = [(0, 0), (30, 500), (300, 500), *[(60 * k + 20, 90_000 + 9000 * k) for k in range(12)]]
+    table = N.normalize(raw(*[seen(m, north=n) for m, n in rows]), 9, START + timedelta(days=1))[0]
+    sizes, plain = {}, hours.written
+
+    def counted(df, name, *metrics):
+        out, state = plain(df, name, *metrics)
+        sizes[name] = state["rows"]
+        return out, state
+
+    monkeypatch.setattr(hours, "written", counted)
+    assert hours.run_hours(spark, table, str(tmp_path), 1) == 12
+    # The spot has a span of two and one of three members; each lone one has a span.
+    assert (sizes["cluster-rows"], sizes["member-rows"]) == (2 + 12, 5 + 12)
+    read = lambda name: store.read_history(spark, str(tmp_path), name, DAY, DAY)
+    assert Counter(r.snapshot_at.hour for r in read("fire_clusters").collect()) == Counter({k: k + 2 for k in range(12)})
+    held = Counter(r.snapshot_at.hour for r in read("fire_cluster_members").collect())
+    assert held == Counter({k: k + 1 + (3 if k >= 5 else 2) for k in range(12)})
+
+
+def test_calls_side_by_side_keep_their_order_and_leave_nothing(spark):
+    from emberfold.session import scratch, together, written
+    with scratch(spark):
+        made = together(spark, *[lambda k=k: written(spark.range(k), "some") for k in (3, 1, 2)])
+        paths = [path for df, _ in made for path in df.inputFiles()]
+        assert [state["rows"] for _, state in made] == [3, 1, 2] and paths
+        with pytest.raises(ZeroDivisionError):
+            together(spark, lambda: 1, lambda: 1 // 0)
+    assert not any(store.exists(spark, path) for path in paths)
+
+
 def test_a_stopped_commit_leaves_the_version_before(spark, raw, tmp_path, monkeypatch):
     root = str(tmp_path)
     batch = batch_of(spark, clean(raw, seen(80), seen(95, north=300)), {})
